@@ -50,6 +50,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def grouped(f, *args):
+    """f(*args, table) as a function of the group's table alone, as applyInArrow takes it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return f(*args, table)
+
+    return run
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its len + 1 offsets into them."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,15 +124,20 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hash_words(lower, starts, ends), first
 
 
+def hash_runs(columns: list[np.ndarray]) -> np.ndarray:
+    """Order-sensitive hashes of the rows that these columns of hashes form."""
+    out = np.full(len(columns[0]), len(columns), dtype=np.uint64)
+    for c in columns:
+        out = mix(out * _BASE + c)
+    return out
+
+
 def combine(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k successive words, over row ends too; the caller leaves those out."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, k, dtype=np.uint64)
-    for j in range(k):
-        out = mix(out * _BASE + words[j : j + n])
-    return out
+    return hash_runs([words[j : j + n] for j in range(k)])
 
 
 def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import exact_dedup, packing
+from tarnlake.llm import exact_dedup, ngram_lm, packing, quality, secrets, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +21,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_documents(spark, sf_dir))
+
+
+def op6_kneser_ney_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.held_out_scores(_documents(spark, sf_dir))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op5_best_fit_packing, op6_kneser_ney_lm, op7_quality_classifier, op8_warc_converter)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
