@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import exact_dedup, ngram_lm, packing, quality, secrets, warc
+from tarnlake.llm import decontaminate, exact_dedup, near_dedup, ngram_lm, packing, quality, secrets, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,15 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op5_best_fit_packing, op6_kneser_ney_lm, op7_quality_classifier, op8_warc_converter)}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), k=4, threshold=(85, 100))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op5_best_fit_packing, op6_kneser_ney_lm, op7_quality_classifier, op8_warc_converter, op9_ngram_jaccard_join, op10_decontamination)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
