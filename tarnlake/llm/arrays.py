@@ -22,9 +22,9 @@ IS_SPACE[list(SPACE_BYTES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers = np.ones(1, dtype=np.uint64)
 _inverse_powers = np.ones(1, dtype=np.uint64)
 
@@ -33,7 +33,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse_powers
     if len(_powers) < n:
         size = max(n, 2 * len(_powers))
-        for name, base in (("_powers", _BASE), ("_inverse_powers", _BASE_INVERSE)):
+        for name, base in (("_powers", BASE), ("_inverse_powers", BASE_INVERSE)):
             table = np.full(size, base, dtype=np.uint64)
             table[0] = 1
             globals()[name] = np.multiply.accumulate(table)
@@ -113,7 +113,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     powers, inverse = _power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * powers[: len(data)], out=sums[1:])
+    np.cumsum(BYTE_VALUE[data] * powers[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -128,7 +128,7 @@ def hash_runs(columns: list[np.ndarray]) -> np.ndarray:
     """Order-sensitive hashes of the rows that these columns of hashes form."""
     out = np.full(len(columns[0]), len(columns), dtype=np.uint64)
     for c in columns:
-        out = mix(out * _BASE + c)
+        out = mix(out * BASE + c)
     return out
 
 
