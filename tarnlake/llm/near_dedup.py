@@ -5,13 +5,14 @@ A text's set is its distinct k-word shingles (here: tokens). Two texts link when
 
 1. Texts with equal sets collapse to one representative, so that copies cost one row each whatever their number.
 2. All representatives' tokens are counted; a token in up to `rare_most` of them is rare, others are frequent. Tokens order rare before frequent, then by hash.
-3. Of a set of n tokens at most p = n - ceil(t n) can be missing from a linked set, so linked sets share a token of their first p + 1. Rare tokens of
-   that prefix are indexed singly. A set whose prefix reaches into the frequent class indexes combinations of frequent tokens as well: the prefix is extended over all of them,
-   which are dealt by hash to m classes, and the tokens in one class form one combination. If no rare token is shared, the frequent tokens of linked sets differ in at most d tokens;
-   m > d classes leave a class that is alike in both. d and m follow from ranges of set sizes, and each set takes part in its range and the next, so that linked sets
+3. Of a set of n tokens at most p = n - ceil(t n) can be missing from a linked set. Prefixes are extended to p + c tokens, c = 1 + n / 10, so that of linked sets each has c tokens of its prefix in the
+   other, and both prefixes share the smaller c. A set with fewer than c tokens in its prefix that occur elsewhere links with nothing; this leaves out sets that meet others by chance.
+4. Rare tokens of the prefix are indexed singly. A set whose prefix reaches into the frequent class indexes combinations of frequent tokens as well: the prefix is extended over all of them,
+   which are dealt by hash to m classes, and the tokens in one class form one combination. If linked sets share fewer rare tokens than they must, both reach into the frequent class, whose tokens
+   differ in at most d; m > d classes leave a class that is alike in both. d and m follow from ranges of set sizes, and each set takes part in its range and the next, so that linked sets
    always meet in one. A set with so few non-empty classes that none need be alike indexes its prefix's frequent tokens singly; linked sets do so both or not at all.
-4. Sets that share an index entry are candidates. Pairs within an entry are not listed: each entry links its members to a hub, candidates are verified on whole
-   sets, and verified links form components. In a last round every pair that shares an entry and still is in different components is verified, so that no link is lost
+5. Sets that share an index entry are candidates. Pairs within an entry are not listed: each entry links its members to a hub, candidates are verified on whole
+   sets, and verified links form components. In a last round every pair that shares enough entries and still is in different components is verified, so that no link is lost
    that could join two components.
 
 A text with fewer than k words has its whole sequence as one token; one without words (or null) links with nothing. Repeated rows and rows of the same set are in one group.
@@ -24,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrays import grouped, hashed_words, mix, shingle_sets, slices, table_of
+from tarnlake.llm.arrays import hashed_words, mix, shingle_sets, slices, table_of
 from tarnlake.llm.components import components
-from tarnlake.llm.exchange import ENTRIES, answer, block_of, classed, dealt, entries
+from tarnlake.llm.exchange import ENTRIES, answer, block_of, classed, dealt, entries, entries_schema
 from tarnlake.llm.staging import parts, staged, text_bytes
 
 #: A token in more representatives than this is frequent.
@@ -38,42 +40,45 @@ RARE_MOST = 16
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
 
 
-def set_key(tokens: np.ndarray) -> str:
+def set_key(tokens: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
-    with np.errstate(over="ignore"):
-        a, b = int(mix(tokens).sum(dtype=np.uint64)), int(mix(tokens ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64))
-    return f"{a:016x}{b:016x}"
+    return np.array([mix(tokens).sum(dtype=np.uint64), mix(tokens ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)], dtype=">u8").tobytes()
 
 
-_summary = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.string())])
+_summary = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary())])
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(1)):
             sets = list(shingle_sets(*hashed_words(data, offsets), k))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.string())], schema=_summary)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())], schema=_summary)
 
 
-def _sets(k: int, table: pa.Table) -> tuple[list[str], list[np.ndarray]]:
-    """The block's representatives and their sets; other rows with a representative's id are left out."""
-    nodes, sets, wanted = [], [], table.column("node").to_pylist()
-    for a, _, data, offsets in slices(table.column("text")):
+def _sets(k: int, texts: pa.Table, nodes: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
+    """The block's representatives and their sets. nodes: id and node of those that have their least id in the block; other texts are left out."""
+    wanted: dict[tuple, bool] = {}
+    for ident, node in zip(nodes.column("id").to_pylist(), nodes.column("node").to_pylist(), strict=True):
+        if node is not None:
+            wanted[ident, node] = True
+    names, sets, ids = [], [], texts.column("id").to_pylist()
+    for a, _, data, offsets in slices(texts.column("text")):
         for i, tokens in enumerate(shingle_sets(*hashed_words(data, offsets), k)):
-            if set_key(tokens) == wanted[a + i]:
-                nodes.append(wanted[a + i])
+            if len(tokens) and wanted.pop((ids[a + i], node := set_key(tokens)), False):
+                names.append(node)
                 sets.append(tokens)
-    if len(set(nodes)) < len(nodes):
-        first = {node: i for i, node in reversed(list(enumerate(nodes)))}
-        keep = sorted(first.values())
-        nodes, sets = [nodes[i] for i in keep], [sets[i] for i in keep]
-    return nodes, sets
+    return names, sets
 
 
-def _send(k: int, buckets: int, table: pa.Table) -> pa.Table:
-    _, sets = _sets(k, table)
-    keys, counts = np.unique(dealt(np.concatenate(sets), buckets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return entries(table.column("block")[0].as_py(), keys, counts)
+def _sending(k: int, buckets: int):
+    def run(texts: pa.Table, nodes: pa.Table) -> pa.Table:
+        if not texts.num_rows or not nodes.num_rows:
+            return table_of([], entries_schema)
+        _, sets = _sets(k, texts, nodes)
+        keys, counts = np.unique(dealt(np.concatenate(sets), buckets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return entries(texts.column("block")[0].as_py(), keys, counts)
+
+    return run
 
 
 class Signer:
@@ -91,11 +96,19 @@ class Signer:
         """p: the most tokens of n that a linked set can lack."""
         return n - -(-self.num * n // self.den)
 
-    def entries(self, tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """tokens: sorted hashes; classes: 0 in this set only, 1 rare, 2 frequent."""
-        prefix = self.missing(len(tokens)) + 1
+    def least_shared(self, n: int) -> int:
+        """c: the tokens that prefixes are extended by, less one; as many of its prefix a set shares with a linked one."""
+        return 1 + n // 10
+
+    def entries(self, tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Single and combined entries. tokens: sorted hashes; classes: 0 in this set only, 1 rare, 2 frequent."""
+        least = self.least_shared(len(tokens))
+        prefix = self.missing(len(tokens)) + least
         rare = np.flatnonzero(classes < 2)[:prefix]
-        out = [mix(tokens[rare[classes[rare] == 1]])]
+        single = tokens[rare[classes[rare] == 1]]
+        if len(single) + min(prefix - len(rare), int((classes == 2).sum())) < least:
+            return single[:0].view(np.int64), single[:0].view(np.int64)
+        out = [single[:0]]
         if len(rare) < prefix:
             frequent = tokens[classes == 2]
             own = self.size_range(len(tokens))
@@ -115,39 +128,36 @@ class Signer:
                 short |= len(new) <= d
             if short:
                 out.append(mix(frequent[: prefix - len(rare)] ^ np.uint64(0x5BD1E995)))
-        return np.unique(np.concatenate(out)).view(np.int64)
-
-
-_signed = pa.schema([("node", pa.string()), ("n", pa.int64()), ("entries", pa.list_(pa.int64())), ("tokens", pa.binary())])
-SIGNED = "node string, n long, entries array<long>, tokens binary"
+        return np.unique(mix(single)).view(np.int64), np.unique(np.concatenate(out)).view(np.int64)
 
 
-def _sign_block(k: int, buckets: int, num: int, den: int, texts: pa.Table, answers: pa.Table) -> pa.Table:
-    if not texts.num_rows:
-        return table_of([], _signed)
-    nodes, sets = _sets(k, texts)
-    if not sets:
-        return table_of([], _signed)
-    every = dealt(np.concatenate(sets), buckets)
-    keys = np.unique(every)
-    classes = answer(keys, answers)[np.searchsorted(keys, every)]
-    signer, out, a = Signer(num, den), [], 0
-    for node, tokens in zip(nodes, sets, strict=True):
-        found = signer.entries(tokens, classes[a : a + len(tokens)])
-        a += len(tokens)
-        if len(found):
-            out.append((node, len(tokens), found, tokens.astype("<u8").tobytes()))
-    return table_of(out, _signed)
+_signed = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("singles", pa.list_(pa.int64())), ("combined", pa.list_(pa.int64())), ("tokens", pa.binary())])
+SIGNED = "node binary, n long, singles array<long>, combined array<long>, tokens binary"
 
 
 def _signing(k: int, buckets: int, num: int, den: int):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        return _sign_block(k, buckets, num, den, texts, answers)
+    def run(texts: pa.Table, notes: pa.Table) -> pa.Table:
+        """notes: the block's representatives and the answers to its message."""
+        if not texts.num_rows or not notes.num_rows:
+            return table_of([], _signed)
+        nodes, sets = _sets(k, texts, notes)
+        if not sets:
+            return table_of([], _signed)
+        every = dealt(np.concatenate(sets), buckets)
+        keys = np.unique(every)
+        classes = answer(keys, notes.filter(pc.is_valid(notes.column("classes"))))[np.searchsorted(keys, every)]
+        signer, out, a = Signer(num, den), [], 0
+        for node, tokens in zip(nodes, sets, strict=True):
+            single, combined = signer.entries(tokens, classes[a : a + len(tokens)])
+            a += len(tokens)
+            if len(single) or len(combined):
+                out.append((node, len(tokens), single, combined, tokens.astype("<u8").tobytes()))
+        return table_of(out, _signed)
 
     return run
 
 
-_linked = pa.schema([("a", pa.string()), ("b", pa.string())])
+_linked = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -172,50 +182,64 @@ def verified(pairs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFra
     """The linked ones of pairs (a, b)."""
     sets = signed.select("node", "tokens")
     whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return whole.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, num, den), "a string, b string")
+    return whole.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, num, den), "a binary, b binary")
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _enough(near: DataFrame) -> DataFrame:
+    """Pairs that share one combined entry or as many single ones as they must."""
+    least = F.least("n", "other_n")
+    both = near.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max("combined").alias("combined"), F.min(1 + F.floor(least / 10)).alias("must"))
+    return both.filter("combined or shared >= must").select("a", "b")
+
+
 def linked_components(signed: DataFrame, num: int, den: int, rounds: int = 2) -> DataFrame:
-    """node and component of the representatives that have a link. signed: node, n, entries, tokens."""
+    """node and component of the representatives that have a link. signed: node, n, singles, combined, tokens."""
     spark = signed.sparkSession
-    rows = signed.select("node", "n", F.explode("entries").alias("entry"))
+    kinds = F.transform("singles", lambda e: F.struct(e.alias("entry"), F.lit(False).alias("combined"))), F.transform("combined", lambda e: F.struct(e.alias("entry"), F.lit(True).alias("combined")))
+    rows = signed.select("node", "n", F.inline(F.concat(*kinds)))
     shared = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("entry")
     rows = staged(rows.join(shared, "entry"), "index")
-    links = spark.createDataFrame([], "a string, b string")
+    links = spark.createDataFrame([], "a binary, b binary")
     found = None
     for turn in range(rounds + 1):
         own = rows.withColumn("component", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn < rounds:
             hubs = own.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(turn))).alias("hub")).filter("low <> high")
-            hubs = hubs.select("entry", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.component").alias("other_component"))
-            near = own.join(hubs, "entry")
-        else:
+            others = hubs.select("entry", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.component").alias("other_component"))
+        else:  # all pairs of members of different components, found from the members outside an entry's largest one
             sizes = own.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-            left = own.join(sizes.select("entry", "main"), "entry").filter("component <> main").select("entry", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-            near = own.join(left, "entry")
-        pairs = staged(_pairs(near.filter((F.col("component") != F.col("other_component")) & _near_size(num, den))), "candidates")
+            others = own.join(sizes.select("entry", "main"), "entry").filter("component <> main").select("entry", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
+            # a pair of two such members would be found from both sides
+            own = own.join(sizes.select("entry", "main"), "entry")
+        near = own.join(others, "entry").filter((F.col("component") != F.col("other_component")) & _near_size(num, den))
+        if turn < rounds:
+            pairs = _pairs(near)
+        else:
+            pairs = _enough(near.filter("component = main or node < other"))
+        pairs = staged(pairs, "candidates")
         if not pairs.isEmpty():
             links = links.unionByName(staged(verified(pairs, signed, num, den), "links"))
             found = staged(components(links), "components")
-    return found if found is not None else spark.createDataFrame([], "node string, component string")
+    return found if found is not None else spark.createDataFrame([], "node binary, component binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), rare_most: int = RARE_MOST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id that links lead to, of each row of docs. threshold: links have 100 * shared >= 80 * all, and so on."""
     num, den = threshold
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = staged(texts.mapInArrow(lambda it: _summaries(it, k), "id long, n_shingles long, node string"), "sets")
+    rows = staged(texts.mapInArrow(lambda it: _summaries(it, k), "id long, n_shingles long, node binary"), "sets")
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least_id"))
     total = text_bytes(texts, "text")
     blocks, buckets = parts(total, BLOCK_BYTES), parts(total, BUCKET_BYTES)
-    chosen = texts.join(nodes, F.col("id").eqNullSafe(F.col("least_id"))).select(block_of("id", blocks).alias("block"), "text", "node")
-    sent = chosen.groupBy("block").applyInArrow(grouped(_send, k, buckets), ENTRIES)
-    answers = classed(sent, (1, rare_most))
-    signed = staged(chosen.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_signing(k, buckets, num, den), SIGNED), "signed")
+    texts = texts.select(block_of("id", blocks).alias("block"), "id", "text")
+    chosen = nodes.select(block_of("least_id", blocks).alias("block"), F.col("least_id").alias("id"), "node")
+    sent = texts.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(_sending(k, buckets), ENTRIES)
+    notes = chosen.withColumns({"bucket": F.lit(None).cast("int"), "classes": F.lit(None).cast("binary")}).unionByName(classed(sent, (1, rare_most)).withColumns({"id": F.lit(None).cast("long"), "node": F.lit(None).cast("binary")}))
+    signed = staged(texts.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_signing(k, buckets, num, den), SIGNED), "signed")
     found = linked_components(signed, num, den)
     grouped_nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = grouped_nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -34,7 +34,7 @@ from tarnlake.llm.staging import parts, text_bytes
 LENGTH, GRAM = 50, 24
 #: Starts in a segment at most; longer ones (of periodic text) are cut.
 MOST_STARTS = 64
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 3 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -253,13 +253,19 @@ def first_documents(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, doc
     own = np.flatnonzero(several)
     if not len(own):
         return out
+    # only these segments' bytes go on
+    size = np.diff(offsets)[own]
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(offsets[own], size)
+    data = data[at]
     n = count[own]
-    segment = np.repeat(own, n)
+    which = np.repeat(np.arange(len(own)), n)
+    segment = own[which]
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = offsets[segment] + nth
+    starts = (ends - size)[which] + nth
     left = np.where(nth > 0, data[np.maximum(starts - 1, 0)].astype(np.int64), -1 - np.arange(len(starts)))
     place = base[segment] + nth
-    for repeat, members in maximal_repeats(data, starts, offsets[segment + 1], left, length):
+    for repeat, members in maximal_repeats(data, starts, ends[which], left, length):
         least = docs[segment[members]].min()
         for p in place[members].tolist():
             span = out[p : p + repeat - length + 1]
