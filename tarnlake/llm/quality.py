@@ -140,7 +140,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
 
     chosen = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(label_column).cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(id_column), id_column).limit(most_labels).select(F.col(id_column).alias("__id"), "label")
-    rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")).join(chosen, "__id").dropDuplicates(["__id"])
+    rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id"])  # most_labels rows at most
     shown = with_statistics(rows, "__text", keep=["label"])
     vector = array_to_vector(F.array(*[F.col(f"__statistics.{s}") for s in STATISTICS]))
     train = staged(shown.select("label", "__statistics").coalesce(4), "quality-sample").withColumn("features", vector).persist()
