@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,14 +130,18 @@ class Items:
 
 HITS = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 _hits = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
-_built: dict[int, Items] = {}
+_built: dict[tuple[int, int], Items] = {}
 
 
-def _search(batches: Iterator[pa.RecordBatch], block, k: int, at_least: float) -> Iterator[pa.RecordBatch]:
-    if block.id not in _built:
+def _items(block, k: int) -> Items:
+    if (block.id, k) not in _built:
         _built.clear()
-        _built[block.id] = Items(*block.value, k)
-    items, out = _built[block.id], []
+        _built[block.id, k] = Items(*block.value, k)
+    return _built[block.id, k]
+
+
+def _search(batches: Iterator[pa.RecordBatch], block, k: int, at_least: float) -> Iterator[pa.RecordBatch]:
+    items, out = _items(block, k), []
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for a, _, data, offsets in slices(batch.column(1)):
@@ -163,22 +168,37 @@ class _Block:
         return self.sent.value
 
 
+def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[_Block]:
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    n = max(1, math.ceil(items.count() / block_items))
+    for b in range(n):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()  # block_items of them, about
+        yield _Block(benchmark.sparkSession, ([r[0] for r in own], [r[1] or "" for r in own]))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, at_least: float = 0.8, block_items: int = BLOCK_ITEMS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each row of docs and benchmark item with a similar window: doc_id, item_id, similarity, first_word, n_words of the best window."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long"), F.lower(F.col(text_column).cast("string")))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    blocks = max(1, math.ceil(items.count() / block_items))
-    out = spark.createDataFrame([], HITS)
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # block_items of them, about
-        block = _Block(spark, ([r[0] for r in own], [r[1] or "" for r in own]))
-        found = rows.mapInArrow(lambda it, block=block: _search(it, block, k, at_least), HITS)
-        out = found if blocks == 1 else out.unionByName(found)
-    return out
-
-
-def without_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, at_least: float = 0.8) -> DataFrame:
-    """The rows of docs without a contaminated passage, with the same columns."""
-    gone = contaminated(docs, benchmark, k, at_least).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = [rows.mapInArrow(lambda it, block=block: _search(it, block, k, at_least), HITS) for block in _blocks(benchmark, block_items)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _clean(batches: Iterator[pa.RecordBatch], block: _Block, k: int, at_least: float) -> Iterator[pa.RecordBatch]:
+    """Whole rows; the last column, the lower-cased text, is for the search alone."""
+    items = _items(block, k)
+    for batch in batches:
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for a, _, data, offsets in slices(batch.column(batch.num_columns - 1)):
+            words, first = plain_words(data, offsets)
+            for row, item, at in items.hits(words, first):
+                if keep[a + row] and items.best(words[first[row] : first[row + 1]], item, at, at_least):
+                    keep[a + row] = False
+        yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep))
+
+
+def without_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, at_least: float = 0.8, block_items: int = BLOCK_ITEMS, text_column: str = "text") -> DataFrame:
+    """The rows of docs without a contaminated passage, with the same columns. Row by row: ids don't matter, and nothing is shuffled."""
+    for block in _blocks(benchmark, block_items):
+        with_text = docs.select("*", F.lower(F.col(text_column).cast("string")).alias("__lower"))
+        docs = with_text.mapInArrow(lambda it, block=block: _clean(it, block, k, at_least), docs.schema)
+    return docs

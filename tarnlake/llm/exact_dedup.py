@@ -215,6 +215,6 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows that are copies of a row that stays; ids are taken to be unique here."""
+    """docs without the rows that are copies of a row that stays. Rows without an id stay; rows that share an id go together, so ids should be unique."""
     gone = exact_duplicates(docs, id_column, text_column).filter("not kept").select(F.col("doc_id").alias(id_column))
     return docs.join(gone, id_column, "left_anti")

@@ -249,6 +249,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs with just the smallest id of each group, and rows without words."""
+    """docs with just the smallest id of each group, and rows without words. Rows without an id stay; rows that share an id go together, so ids should be unique."""
     gone = near_duplicates(docs, k, threshold).filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
