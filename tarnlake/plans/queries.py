@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as C
 from tarnlake.functions.ordered import with_ranks
-from tarnlake.operators import fusion, models, statistics, survival, validate, voxels
+from tarnlake.operators import fusion, inference, kernels, models, statistics, survival, validate, voxels
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -668,3 +668,85 @@ def propensity_ipw(spark: SparkSession, d: str) -> DataFrame:
 def propensity_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return survival.propensity(rows, "quality", ["n_chars", "toxic"]).select("doc_id", "propensity")
+
+
+# ---------------------------------------------------------------- resampling, discrimination, harmonisation
+
+
+@query()
+def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
+    rows = _survival_rows(spark, d)
+    return inference.bootstrap_auc(rows, "o_orderkey", "event", "o_totalprice", n=50)
+
+
+@query()
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d).withColumn("other", F.length(F.col("doc_id").cast("string")) / 10 - F.col("score"))
+    return inference.compared_models(rows, "doc_id", "quality", ["score", "other"], n=50)
+
+
+@query(_SURVIVAL + """
+    , a AS (SELECT days, count(*) FILTER (WHERE event = 0) AS c, count(*) AS n FROM s GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY days ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM a),
+    g AS (SELECT days, coalesce(exp(sum(CASE WHEN c < risk THEN ln(1 - c / risk) ELSE -1e9 END) OVER (ORDER BY days ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS g FROM r),
+    h AS (SELECT t AS time, o_totalprice AS x, CASE WHEN days <= t AND event = 1 THEN 1 / g END AS w, CAST(days > t AS INTEGER) AS q FROM s JOIN g USING (days), (SELECT unnest([500.0, 1500.0])::DOUBLE AS t) WHERE event = 0 OR g > 0),
+    b AS (SELECT time, x, sum(coalesce(w, 0)) AS p, sum(q) AS q FROM h GROUP BY 1, 2), c AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY time ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b)
+    SELECT time, round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 6) AS auc FROM c GROUP BY 1
+""")
+def time_dependent_auc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(inference.time_dependent_auc(_survival_rows(spark, d), "days", "event", "o_totalprice", [500.0, 1500.0]), "auc")
+
+
+@query()
+def batch_harmonise(spark: SparkSession, d: str) -> DataFrame:
+    return inference.harmonised(table(spark, d, "lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber")), ["row"], "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+_QUALITY = ["f0", "f1", "f2"]
+
+
+@query("WITH x AS (SELECT label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(3)) + " FROM embeddings), g AS (SELECT " + ", ".join(f"avg({c}) AS g{c}" for c in _QUALITY) + " FROM x), s AS (SELECT label, count(*) AS n, " + ", ".join(f"avg({c}) AS m{c}, var_pop({c}) AS v{c}" for c in _QUALITY) + " FROM x GROUP BY 1) SELECT count(*) AS n_clusters, CAST(sum(n) AS BIGINT) AS n_rows, round((sum(n * (" + " + ".join(f"power(m{c} - g{c}, 2)" for c in _QUALITY) + ")) / (count(*) - 1)) / (sum(n * (" + " + ".join(f"v{c}" for c in _QUALITY) + ")) / (sum(n) - count(*))), 6) AS calinski_harabasz FROM s, g")
+def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
+    rows = _images(spark, d).select("label", *[F.col("embedding")[i].alias(f"f{i}") for i in range(3)])
+    return rounded(inference.cluster_quality(rows, "label", _QUALITY), "calinski_harabasz")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(abs({b} * ({c} - m))), 6) AS mean_absolute, round(avg({b} * ({c} - m)), 6) + 0.0 AS mean_signed FROM lineitem, (SELECT avg({c}) AS m FROM lineitem)" for c, b in (("l_quantity", 0.1), ("l_discount", -5.0))))
+def linear_attributions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(inference.linear_attributions(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], [0.1, -5.0]), "mean_absolute", "mean_signed")
+
+
+def _square(spark: SparkSession, d: str) -> DataFrame:
+    return _images(spark, d).select("vec_id", F.array(F.lit(8), F.lit(8)).alias("shape"), F.col("embedding").cast("array<double>").alias("image"))
+
+
+@query()
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.component_sizes(_square(spark, d), "image", "shape", ["vec_id"])
+
+
+@query()
+def median_filter(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.mapped(_square(spark, d), "image", "shape", kernels.median_filtered, ["vec_id"])
+
+
+@query()
+def linear_resample(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.mapped(_square(spark, d), "image", "shape", lambda a: kernels.resampled(a, (12, 16)), ["vec_id"])
+
+
+@query()
+def surface_distance(spark: SparkSession, d: str) -> DataFrame:
+    e = _square(spark, d)
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("image").alias("other")), "vec_id")
+    return kernels.compared(both, "image", "other", "shape", ["vec_id"])
+
+
+@query(_VOXELS + """
+    , p AS (SELECT vec_id, pos // 8 AS y, pos % 8 AS x, v FROM v), m AS (SELECT vec_id, y, x, CAST(v > 0.2 AS INTEGER) AS c FROM p WHERE abs(v) > 0.15), n AS (SELECT vec_id, y, x FROM p WHERE abs(v) <= 0.15),
+    d AS (SELECT n.vec_id, n.y, n.x, m.c, sqrt(power(n.y - m.y, 2) + power(n.x - m.x, 2)) AS d FROM n JOIN m USING (vec_id)), b AS (SELECT vec_id, y, x, first(c ORDER BY d, c) AS cluster FROM d WHERE d <= 2 GROUP BY ALL)
+    SELECT vec_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(cluster AS INTEGER) AS cluster FROM n LEFT JOIN b USING (vec_id, y, x)
+""")
+def noise_assignment(spark: SparkSession, d: str) -> DataFrame:
+    v = _images(spark, d).select("vec_id", F.posexplode(voxels.values("embedding")).alias("pos", "v")).select("vec_id", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).alias("x"), "v")
+    members = v.filter("abs(v) > 0.15").withColumn("cluster", (F.col("v") > 0.2).cast("int"))
+    return inference.nearest_cluster(v.filter("abs(v) <= 0.15").select("vec_id", "y", "x"), members, "vec_id", ["y", "x"], "cluster", within=2)
