@@ -171,3 +171,46 @@ def cluster_characteristics(df: DataFrame, cluster: str, features: list[str]) ->
     n = df.agg(F.count(F.lit(1)).alias("all_rows"))
     out = long_form(df, [cluster], features).groupBy(cluster, "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     return out.crossJoin(F.broadcast(n)).withColumn("percent", over(100 * F.col("n"), F.col("all_rows"))).drop("all_rows")
+
+
+def mad_normalised(df: DataFrame, image: str, name: str = "normalised") -> DataFrame:
+    """df with values less the median over 1.4826 times the median absolute deviation; 0 where that is 0."""
+    rows = df.withColumn("__a", values(image)).withColumn("__m", quantile(F.col("__a"), 0.5)).withColumn("__d", 1.4826 * quantile(F.transform("__a", lambda x: F.abs(x - F.col("__m"))), 0.5))
+    return rows.withColumn(name, F.transform("__a", lambda x: F.coalesce(F.try_divide(x - F.col("__m"), F.nullif(F.col("__d"), F.lit(0.0))), F.lit(0.0)))).drop("__a", "__m", "__d")
+
+
+def clipped_to_percentiles(df: DataFrame, image: str, low: float = 0.01, high: float = 0.99, name: str = "clipped") -> DataFrame:
+    rows = df.withColumn("__a", values(image)).withColumn("__q", F.struct(quantile(F.col("__a"), low).alias("lo"), quantile(F.col("__a"), high).alias("hi")))
+    return rows.withColumn(name, F.transform("__a", lambda x: F.least(F.greatest(x, F.col("__q.lo")), F.col("__q.hi")))).drop("__a", "__q")
+
+
+def central_crop(a: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
+    """The middle rows and columns of an image."""
+    top, left = (height - to_height) // 2, (width - to_width) // 2
+    return F.flatten(F.array(*[F.slice(a, (top + r) * width + left + 1, to_width) for r in range(to_height)]))
+
+
+def centre_of_mass(df: DataFrame, image: str, keys: list[str], width: int, spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Per image with foreground: its voxels' mean place times the spacing, and their area."""
+    box = bounding_box(df, image, keys, width)
+    n = df.select(*keys, F.size(F.filter(values(image), lambda x: x > 0)).alias("n"))
+    return box.join(n, keys).select(*keys, (F.col("centre_row") * spacing[0]).alias("row"), (F.col("centre_col") * spacing[1]).alias("col"), (F.col("n") * spacing[0] * spacing[1]).alias("area"))
+
+
+def voxel_table(df: DataFrame, image: str, keys: list[str], width: int, step: int = 1) -> DataFrame:
+    """A row for every step-th foreground voxel in row order: its place among them, row, column and value."""
+    inside = F.filter(F.transform(values(image), lambda x, i: F.struct(F.floor(i / width).cast("int").alias("row"), (i % width).alias("col"), x.alias("value"))), lambda v: v["value"] > 0)
+    return df.select(*keys, F.posexplode(inside).alias("place", "v")).filter(F.col("place") % step == 0).select(*keys, "place", "v.row", "v.col", "v.value")
+
+
+def intensity_features(df: DataFrame, image: str, keys: list[str]) -> DataFrame:
+    """Per image with foreground, first-order statistics of it: mean, median, least, most, range, deviation, variance, mean absolute deviation, root mean square, energy, quartile range, skewness and raw kurtosis (0 if constant)."""
+    roi, m, v = F.col("roi"), F.col("m"), F.col("v")
+    rows = df.select(*keys, foreground(values(image)).alias("roi")).filter(F.size("roi") > 0).withColumn("m", mean(roi)).withColumn("v", variance(roi, m))
+    n = F.size("roi")
+    moment = lambda p: over(total(roi, lambda x: F.pow(x - m, F.lit(float(p)))), n)
+    return rows.select(
+        *keys, m.alias("mean"), quantile(roi, 0.5).alias("median"), F.array_min(roi).alias("min"), F.array_max(roi).alias("max"), (F.array_max(roi) - F.array_min(roi)).alias("range"), F.sqrt(v).alias("std"), v.alias("variance"),
+        over(total(roi, lambda x: F.abs(x - m)), n).alias("mean_absolute_deviation"), F.sqrt(over(total(roi, lambda x: x * x), n)).alias("root_mean_square"), total(roi, lambda x: x * x).alias("energy"), (quantile(roi, 0.75) - quantile(roi, 0.25)).alias("quartile_range"),
+        F.when(v == 0, 0.0).otherwise(F.try_divide(moment(3), F.pow(v, F.lit(1.5)))).alias("skewness"), F.when(v == 0, 0.0).otherwise(F.try_divide(moment(4), v * v)).alias("kurtosis"),
+    )

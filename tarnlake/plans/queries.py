@@ -750,3 +750,43 @@ def noise_assignment(spark: SparkSession, d: str) -> DataFrame:
     v = _images(spark, d).select("vec_id", F.posexplode(voxels.values("embedding")).alias("pos", "v")).select("vec_id", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).alias("x"), "v")
     members = v.filter("abs(v) > 0.15").withColumn("cluster", (F.col("v") > 0.2).cast("int"))
     return inference.nearest_cluster(v.filter("abs(v) <= 0.15").select("vec_id", "y", "x"), members, "vec_id", ["y", "x"], "cluster", within=2)
+
+
+# ---------------------------------------------------------------- more image features
+
+
+@query(_VOXELS + ", m AS (SELECT vec_id, median(v) AS m FROM v GROUP BY 1), d AS (SELECT vec_id, any_value(m) AS m, 1.4826 * median(abs(v - m)) AS d FROM v JOIN m USING (vec_id) GROUP BY 1) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((v - m) / d, 6) + 0.0 AS value FROM v JOIN d USING (vec_id)")
+def mad_norm(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(voxels.mad_normalised(_images(spark, d), "embedding").select("vec_id", F.posexplode("normalised").alias("pos", "value")), "value")
+
+
+@query(_VOXELS + ", q AS (SELECT vec_id, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM v GROUP BY 1) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(least(greatest(v, lo), hi), 6) + 0.0 AS value FROM v JOIN q USING (vec_id)")
+def clip_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    out = voxels.clipped_to_percentiles(_images(spark, d), "embedding", 0.05, 0.95)
+    return rounded(out.select("vec_id", F.posexplode("clipped").alias("pos", "value")), "value")
+
+
+@query(_VOXELS + "SELECT vec_id, CAST((pos // 8 - 2) * 4 + pos % 8 - 2 AS INTEGER) AS pos, round(v, 6) + 0.0 AS value FROM v WHERE pos // 8 BETWEEN 2 AND 5 AND pos % 8 BETWEEN 2 AND 5")
+def crop_center(spark: SparkSession, d: str) -> DataFrame:
+    out = _images(spark, d).select("vec_id", F.posexplode(voxels.central_crop(voxels.values("embedding"), 8, 8, 4, 4)).alias("pos", "value"))
+    return rounded(out, "value")
+
+
+@query(_VOXELS + "SELECT vec_id, round(avg(pos // 8) * 2, 6) AS row, round(avg(pos % 8) * 0.5, 6) AS col, CAST(count(*) AS DOUBLE) AS area FROM v WHERE v > 0 GROUP BY 1")
+def center_of_mass(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(voxels.centre_of_mass(_images(spark, d), "embedding", ["vec_id"], 8, (2.0, 0.5)), "row", "col", "area")
+
+
+@query(_VOXELS + ", n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY pos) - 1 AS place FROM v WHERE v > 0) SELECT vec_id, CAST(place AS INTEGER) AS place, CAST(pos // 8 AS INTEGER) AS row, CAST(pos % 8 AS INTEGER) AS col, round(v, 6) AS value FROM n WHERE place % 3 = 0")
+def voxel_sampling(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(voxels.voxel_table(_images(spark, d), "embedding", ["vec_id"], 8, step=3), "value")
+
+
+@query(_VOXELS + """
+    , r AS (SELECT vec_id, v, avg(v) OVER (PARTITION BY vec_id) AS m FROM v WHERE v > 0)
+    SELECT vec_id, round(avg(v), 5) AS mean, round(median(v), 5) AS median, round(min(v), 5) AS min, round(max(v), 5) AS max, round(max(v) - min(v), 5) AS range, round(stddev_pop(v), 5) AS std, round(var_pop(v), 5) AS variance, round(avg(abs(v - m)), 5) AS mean_absolute_deviation,
+           round(sqrt(avg(v * v)), 5) AS root_mean_square, round(sum(v * v), 5) AS energy, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 5) AS quartile_range, round(avg(power(v - m, 3)) / power(var_pop(v), 1.5), 5) AS skewness, round(avg(power(v - m, 4)) / (var_pop(v) * var_pop(v)), 5) AS kurtosis FROM r GROUP BY 1
+""")
+def intensity_features(spark: SparkSession, d: str) -> DataFrame:
+    out = voxels.intensity_features(_images(spark, d), "embedding", ["vec_id"])
+    return rounded(out, *[c for c in out.columns if c != "vec_id"], digits=5)
