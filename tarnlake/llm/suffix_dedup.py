@@ -34,7 +34,7 @@ from tarnlake.llm.staging import parts, text_bytes
 LENGTH, GRAM = 50, 24
 #: Starts in a segment at most; longer ones (of periodic text) are cut.
 MOST_STARTS = 64
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 3 << 20
+BLOCK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 4 << 20, 16 << 20, 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -202,24 +202,24 @@ _message = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa
 MESSAGES = "block int, bucket int, keys binary, lengths binary, docs binary, data binary"
 
 
-def _segments(length: int, k: int, buckets: int):
+def _segments(length: int, k: int, buckets: int, message_buckets: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return table_of([], _message)
         ids, found = _ids(texts.column("id")), []
         for a, _, data, offsets in slices(texts.column("text")):
             row, start, count, value = minimisers(data, offsets, length, k)
-            found.append((ids[row + a], start, start + count + length - 1, dealt(value, buckets), data))
+            found.append((ids[row + a], start, start + count + length - 1, dealt(value, buckets), value, data))
         keys = np.unique(np.concatenate([f[3] for f in found]))
         shared = keys[answer(keys, answers) > 0]
         kept: list[tuple] = []  # key, content hash, document, slice, start, end
-        for s, (doc, start, end, key, data) in enumerate(found):
+        for s, (doc, start, end, key, value, data) in enumerate(found):
             if not len(shared):
                 break
             at = np.searchsorted(shared, key)
             at[at == len(shared)] = 0
             own = shared[at] == key
-            kept.append((key[own], hash_words(data, start[own], end[own]), doc[own], np.full(own.sum(), s), start[own], end[own]))
+            kept.append((dealt(value[own], message_buckets), hash_words(data, start[own], end[own]), doc[own], np.full(own.sum(), s), start[own], end[own]))
         if not kept:
             return table_of([], _message)
         key, content, doc, s, start, end = map(np.concatenate, zip(*kept, strict=True))
@@ -230,7 +230,7 @@ def _segments(length: int, k: int, buckets: int):
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(first) else []
         for a, b in zip(cut, [*cut[1:], len(first)], strict=True):
             own = first[a:b]
-            data = b"".join(found[i][4][p:q].tobytes() for i, p, q in zip(s[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True))
+            data = b"".join(found[i][5][p:q].tobytes() for i, p, q in zip(s[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True))
             out.append((texts.column("block")[0].as_py(), int(bucket[a]), (key[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (end - start)[own].astype("<u4").tobytes(), doc[own].tobytes(), data))
         return table_of(out, _message)
 
@@ -280,7 +280,7 @@ def _bucket(length: int, table: pa.Table) -> pa.Table:
     data = np.frombuffer(b"".join(x.as_py() for x in table.column("data")), np.uint8)
     size, key = np.concatenate(lengths), np.concatenate(keys)
     end = np.cumsum(size)
-    content = hash_words(data, end - size, end)
+    content = np.concatenate([hash_words(data[(end - size)[a] : end[b - 1]], (end - size)[a:b] - (end - size)[a], end[a:b] - (end - size)[a]) for a in range(0, len(size), 8192) for b in [min(a + 8192, len(size))]])
     order = np.lexsort((docs, content))
     new = np.concatenate([[True], content[order][1:] != content[order][:-1]])
     which = np.empty(len(content), dtype=np.int64)  # of the different segments, in order of content
@@ -354,6 +354,6 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     texts = texts.select(block_of("id", blocks).alias("block"), "id", "text")
     sent = texts.groupBy("block").applyInArrow(grouped(_send, length, gram, buckets), ENTRIES)
     answers = classed(sent, (1,))
-    messages = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_segments(length, gram, buckets), MESSAGES)
+    messages = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_segments(length, gram, buckets, parts(total, MESSAGE_BYTES)), MESSAGES)
     replies = messages.groupBy("bucket").applyInArrow(grouped(_bucket, length), REPLIES)
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_removing(length, gram), RESULT)
