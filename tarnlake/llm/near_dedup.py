@@ -13,7 +13,7 @@ A text's set is its distinct k-word shingles (here: tokens). Two texts link when
    always meet in one. A set with so few non-empty classes that none need be alike indexes its prefix's frequent tokens singly; linked sets do so both or not at all.
 5. Sets that share an index entry are candidates. Pairs within an entry are not listed: each entry links its members to a hub, candidates are verified on whole
    sets, and verified links form components. In a last round every pair that shares enough entries and still is in different components is verified, so that no link is lost
-   that could join two components.
+   that could join two components: pairs of single entries, which have `rare_most` members at most, from those entries; sets that combined entries connect in tiles, see _family_links.
 
 A text with fewer than k words has its whole sequence as one token; one without words (or null) links with nothing. Repeated rows and rows of the same set are in one group.
 """
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrays import hashed_words, mix, shingle_sets, slices, table_of
+from tarnlake.llm.arrays import grouped, hashed_words, mix, shingle_sets, slices, table_of
 from tarnlake.llm.components import components
 from tarnlake.llm.exchange import ENTRIES, answer, block_of, classed, dealt, entries, entries_schema
 from tarnlake.llm.staging import parts, staged, text_bytes
@@ -189,11 +189,89 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _enough(near: DataFrame) -> DataFrame:
-    """Pairs that share one combined entry or as many single ones as they must."""
-    least = F.least("n", "other_n")
-    both = near.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max("combined").alias("combined"), F.min(1 + F.floor(least / 10)).alias("must"))
-    return both.filter("combined or shared >= must").select("a", "b")
+def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """rows with each node's component so far."""
+    return rows.withColumn("component", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _to_hubs(own: DataFrame, turn: int) -> DataFrame:
+    """Each entry's members with its hub, another one each turn, where their components differ."""
+    hubs = own.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(turn))).alias("hub")).filter("low <> high")
+    hubs = hubs.select("entry", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.component").alias("other_component"))
+    return own.join(hubs, "entry").filter(F.col("component") != F.col("other_component"))
+
+
+def _sharing_singles(own: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of different components that share as many single entries as they must. A single entry has at most rare_most members."""
+    a = own.filter("not combined").select("entry", "node", "n", "component")
+    b = a.select("entry", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
+    near = a.join(b, "entry").filter((F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component")) & _near_size(num, den))
+    must = F.min(1 + F.floor(F.least("n", "other_n") / 10))
+    return near.groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("shared"), must.alias("must")).filter("shared >= must").select("a", "b")
+
+
+#: Sets of a family that are held against as many others at once.
+TILE = 256
+
+
+def _tile_links(num: int, den: int, table: pa.Table) -> pa.Table:
+    """Links that join components between a tile's left and right side; as few as connect them."""
+    left = np.array(table.column("is_left").to_pylist(), dtype=bool)
+    nodes, component = table.column("node").to_pylist(), table.column("component").to_pylist()
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("tokens")]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    value, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    several = np.bincount(at)[at] > 1
+    row, at = row[several], np.unique(at[several], return_inverse=True)[1] if several.any() else at[:0]
+    i, j = np.flatnonzero(left), np.flatnonzero(~left) if (~left).any() else np.flatnonzero(left)
+    both = np.zeros((len(i), len(j)), dtype=np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        own = slice(*np.searchsorted(at, [start, start + 4096]))
+        dense = np.zeros((len(sets), 4096), dtype=np.float32)
+        dense[row[own], at[own] - start] = 1
+        both += dense[i] @ dense[j].T
+    linked = np.argwhere(den * both >= num * (size[i][:, None] + size[j][None, :] - both))
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (y := parent.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for x, y in linked.tolist():
+        a, b = root(component[i[x]]), root(component[j[y]])
+        if a != b:
+            parent[a] = b
+            out.append((nodes[i[x]], nodes[j[y]]))
+    return table_of(out, _linked)
+
+
+def _family_links(own: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components of sets that share a combined entry.
+
+    Sets that such entries connect are a family, however long an entry's list is. Within a family the members outside its largest component are held against each other and against that component in
+    tiles: a set is copied once per tile, never once per pair, and only links leave a tile."""
+    combined = own.filter("combined").select("entry", "node", "component")
+    hubs = combined.groupBy("entry").agg(F.min("node").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+    families = components(combined.join(hubs, "entry").select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()).withColumnRenamed("component", "family")
+    members = combined.select("node", "component").distinct().join(families, "node")
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
+    whole = sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("in_main"), (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
+    placed = members.join(whole, "family").withColumns({"is_main": F.col("component") == F.col("main"), "tiles_in": F.ceil(F.col("in_main") / TILE).cast("int"), "tiles_out": F.ceil(F.col("outside") / TILE).cast("int")})
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("tiles_in")).otherwise(F.col("tiles_out"))).cast("int"))
+    # outside tiles are the left side of all pairs with main tiles (numbered from tiles_out) and with later outside tiles
+    last = F.col("tiles_in") + F.col("tiles_out") - 1
+    as_left = F.transform(F.sequence(F.col("tile"), last), lambda t: F.struct(F.col("tile").alias("left"), t.alias("right"), F.lit(True).alias("is_left")))
+    as_right_out = F.filter(F.transform(F.sequence(F.lit(0), F.col("tile")), lambda t: F.struct(t.alias("left"), F.col("tile").alias("right"), F.lit(False).alias("is_left"))), lambda k: k["left"] < k["right"])
+    as_right_main = F.transform(F.sequence(F.lit(0), F.col("tiles_out") - 1), lambda t: F.struct(t.alias("left"), (F.col("tile") + F.col("tiles_out")).alias("right"), F.lit(False).alias("is_left")))
+    keys = F.when(F.col("is_main"), as_right_main).otherwise(F.concat(as_left, as_right_out))
+    dealt_out = placed.select("family", "node", "component", F.inline(keys))
+    with_sets = dealt_out.join(signed.select("node", "tokens"), "node")
+    return with_sets.groupBy("family", "left", "right").applyInArrow(grouped(_tile_links, num, den), "a binary, b binary")
 
 
 def linked_components(signed: DataFrame, num: int, den: int, rounds: int = 2) -> DataFrame:
@@ -206,23 +284,15 @@ def linked_components(signed: DataFrame, num: int, den: int, rounds: int = 2) ->
     links = spark.createDataFrame([], "a binary, b binary")
     found = None
     for turn in range(rounds + 1):
-        own = rows.withColumn("component", F.col("node")) if found is None else rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        own = _labelled(rows, found)
         if turn < rounds:
-            hubs = own.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(turn))).alias("hub")).filter("low <> high")
-            others = hubs.select("entry", F.col("hub.node").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.component").alias("other_component"))
-        else:  # all pairs of members of different components, found from the members outside an entry's largest one
-            sizes = own.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-            others = own.join(sizes.select("entry", "main"), "entry").filter("component <> main").select("entry", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-            # a pair of two such members would be found from both sides
-            own = own.join(sizes.select("entry", "main"), "entry")
-        near = own.join(others, "entry").filter((F.col("component") != F.col("other_component")) & _near_size(num, den))
-        if turn < rounds:
-            pairs = _pairs(near)
+            pairs = _pairs(_to_hubs(own, turn).filter(_near_size(num, den)))
+            new = verified(staged(pairs, "candidates"), signed, num, den)
         else:
-            pairs = _enough(near.filter("component = main or node < other"))
-        pairs = staged(pairs, "candidates")
-        if not pairs.isEmpty():
-            links = links.unionByName(staged(verified(pairs, signed, num, den), "links"))
+            new = verified(staged(_sharing_singles(own, num, den), "candidates"), signed, num, den).unionByName(_family_links(own, signed, num, den))
+        new = staged(new, "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
             found = staged(components(links), "components")
     return found if found is not None else spark.createDataFrame([], "node binary, component binary")
 
