@@ -316,6 +316,22 @@ def test_near_duplicates(spark, docs, texts, k, threshold, rare):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_groups(texts, k, *threshold)
 
 
+def test_near_families_in_tiles(spark, monkeypatch):
+    """Families whose members are linked to some and not to others, over several tiles."""
+    monkeypatch.setattr(near_dedup, "TILE", 12)
+    rng = random.Random(2)
+    rows = []
+    for _ in range(2):
+        base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randint(0, 14)):
+                w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOC), k=4, threshold=(85, 100)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_groups(rows, 4, 85, 100)
+
+
 def test_near_duplicates_of_nothing(spark, docs):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
