@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as C
 from tarnlake.functions.ordered import with_ranks
-from tarnlake.operators import fusion, inference, kernels, models, statistics, survival, validate, voxels
+from tarnlake.operators import fusion, inference, kernels, models, reports, statistics, survival, validate, voxels
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -790,3 +790,39 @@ def voxel_sampling(spark: SparkSession, d: str) -> DataFrame:
 def intensity_features(spark: SparkSession, d: str) -> DataFrame:
     out = voxels.intensity_features(_images(spark, d), "embedding", ["vec_id"])
     return rounded(out, *[c for c in out.columns if c != "vec_id"], digits=5)
+
+
+# ---------------------------------------------------------------- reports of runs
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "event_type", "user_id", "value", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("failed: "), "event_type")).alias("error"))
+
+
+_RESULTS = "WITH r AS (SELECT event_id, event_type, user_id, value, CASE WHEN event_id % 7 = 0 THEN 'failed: ' || event_type END AS error FROM events)"
+
+
+@query(_RESULTS + "SELECT count(*) AS n_results, count(*) FILTER (WHERE error IS NULL) AS n_succeeded, count(error) AS n_failed, round(avg(CAST(error IS NULL AS INTEGER)), 6) AS success_rate, round(min(value) FILTER (WHERE error IS NULL), 5) AS min, round(max(value) FILTER (WHERE error IS NULL), 5) AS max, round(avg(value) FILTER (WHERE error IS NULL), 5) AS mean, round(stddev_pop(value) FILTER (WHERE error IS NULL), 5) AS std, round(sum(value) FILTER (WHERE error IS NULL), 3) AS sum FROM r")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = reports.run_summary(_results(spark, d), "error", "value")
+    return rounded(rounded(rounded(out, "success_rate"), "min", "max", "mean", "std", digits=5), "sum", digits=3)
+
+
+@query(_RESULTS + "SELECT error, count(*) AS n FROM r WHERE error IS NOT NULL GROUP BY 1")
+def error_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.error_counts(_results(spark, d), "error")
+
+
+@query(_RESULTS + "SELECT event_type, part, count(*) AS n, count(error) AS n_failed FROM (SELECT *, user_id % 3 AS part FROM r) GROUP BY GROUPING SETS ((event_type), (part), ())")
+def usage_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.usage(_results(spark, d).withColumn("part", F.col("user_id") % 3), ["event_type", "part"], "error")
+
+
+@query("SELECT count(*) AS n, round(avg(CAST(p_size > 24 AS INTEGER)), 6) AS share, CASE WHEN avg(CAST(p_size > 24 AS INTEGER)) >= 0.5 THEN '3D' ELSE '2D' END AS side, avg(CAST(p_size > 24 AS INTEGER)) > 0.3 AND avg(CAST(p_size > 24 AS INTEGER)) < 0.7 AS mixed FROM part")
+def dimension_vote(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.majority(table(spark, d, "part").withColumn("v", F.col("p_size") > 24), "v"), "share")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_features(spark: SparkSession, d: str) -> DataFrame:
+    return reports.most(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 20)
