@@ -13,6 +13,11 @@ from tarnlake.functions.columns import over
 ZERO = 0.0
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once per row, even where f uses it inside a lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def values(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
@@ -60,35 +65,27 @@ def bounding_box(df: DataFrame, image: str, keys: list[str], width: int) -> Data
     return rows.select(*keys, row.alias("r"), col.alias("c")).select(*keys, *[f("r").alias(f"{n}_row") for n, f in (("min", F.array_min), ("max", F.array_max))], *[f("c").alias(f"{n}_col") for n, f in (("min", F.array_min), ("max", F.array_max))], mean(F.col("r").cast("array<double>")).alias("centre_row"), mean(F.col("c").cast("array<double>")).alias("centre_col"))
 
 
-def normalised(a: Column, method: str, low: float = 0.01, high: float = 0.99) -> Column:
-    """zscore (population), minmax, percentile (clipped, then minmax) or robust (median and quartile range); a constant image becomes 0."""
-    def scaled(x: Column, shift: Column, by: Column) -> Column:
-        return F.when(by == 0, 0.0).otherwise((x - shift) / F.when(by != 0, by))
-
-    if method == "zscore":
-        return F.transform(a, lambda x: scaled(x, mean(a), F.sqrt(variance(a, mean(a)))))
-    if method == "minmax":
-        return F.transform(a, lambda x: scaled(x, F.array_min(a), F.array_max(a) - F.array_min(a)))
-    if method == "percentile":
-        lo, hi = quantile(a, low), quantile(a, high)
-        return F.transform(a, lambda x: scaled(F.least(F.greatest(x, lo), hi), lo, hi - lo))
-    if method == "robust":
-        return F.transform(a, lambda x: scaled(x, quantile(a, 0.5), quantile(a, 0.75) - quantile(a, 0.25)))
-    raise ValueError("method is zscore, minmax, percentile or robust")
-
-
 def with_normalised(df: DataFrame, image: str, method: str, name: str = "normalised", low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """df with the normalised image. Its statistics are formed once per image, not once per voxel."""
+    """df with the image scaled by zscore (population), minmax, percentile (clipped, then minmax) or robust (median and quartile range); a constant image becomes 0.
+
+    Its statistics are formed once per image, not once per voxel."""
     a = F.col("__a")
     needs = {
         "zscore": (mean(a), F.sqrt(variance(a, mean(a)))), "minmax": (F.array_min(a), F.array_max(a) - F.array_min(a)),
         "percentile": (quantile(a, low), quantile(a, high) - quantile(a, low)), "robust": (quantile(a, 0.5), quantile(a, 0.75) - quantile(a, 0.25)),
     }
     shift, by = needs[method]
-    rows = df.withColumn("__a", values(image)).withColumn("__s", F.struct(shift.alias("shift"), by.alias("by")))
-    s, b = F.col("__s.shift"), F.col("__s.by")
-    clip = (lambda x: F.least(F.greatest(x, s), s + b)) if method == "percentile" else (lambda x: x)
-    return rows.withColumn(name, F.transform("__a", lambda x: F.when(b == 0, 0.0).otherwise(F.try_divide(clip(x) - s, b)))).drop("__a", "__s")
+    clip = method == "percentile"
+
+    def scaled(p: Column) -> Column:
+        def one(x: Column) -> Column:
+            x = F.least(F.greatest(x, p["shift"]), p["shift"] + p["by"]) if clip else x
+            return F.when(p["by"] == 0, 0.0).otherwise(F.try_divide(x - p["shift"], p["by"]))
+
+        return F.transform(p["a"], one)
+
+    rows = df.withColumn("__a", values(image))
+    return rows.withColumn(name, let(F.struct(a.alias("a"), shift.alias("shift"), by.alias("by")), scaled)).drop("__a")
 
 
 def windowed(a: Column, level: float, width: float, top: float = 255.0) -> Column:
@@ -175,13 +172,21 @@ def cluster_characteristics(df: DataFrame, cluster: str, features: list[str]) ->
 
 def mad_normalised(df: DataFrame, image: str, name: str = "normalised") -> DataFrame:
     """df with values less the median over 1.4826 times the median absolute deviation; 0 where that is 0."""
-    rows = df.withColumn("__a", values(image)).withColumn("__m", quantile(F.col("__a"), 0.5)).withColumn("__d", 1.4826 * quantile(F.transform("__a", lambda x: F.abs(x - F.col("__m"))), 0.5))
-    return rows.withColumn(name, F.transform("__a", lambda x: F.coalesce(F.try_divide(x - F.col("__m"), F.nullif(F.col("__d"), F.lit(0.0))), F.lit(0.0)))).drop("__a", "__m", "__d")
+    def spread(p: Column) -> Column:
+        return F.struct(p["a"].alias("a"), p["m"].alias("m"), (1.4826 * quantile(F.transform(p["a"], lambda x: F.abs(x - p["m"])), 0.5)).alias("d"))
+
+    def scaled(p: Column) -> Column:
+        return F.transform(p["a"], lambda x: F.when(p["d"] == 0, 0.0).otherwise(F.try_divide(x - p["m"], p["d"])))
+
+    rows = df.withColumn("__a", values(image))
+    middle = F.struct(F.col("__a").alias("a"), quantile(F.col("__a"), 0.5).alias("m"))
+    return rows.withColumn(name, let(let(middle, spread), scaled)).drop("__a")
 
 
 def clipped_to_percentiles(df: DataFrame, image: str, low: float = 0.01, high: float = 0.99, name: str = "clipped") -> DataFrame:
-    rows = df.withColumn("__a", values(image)).withColumn("__q", F.struct(quantile(F.col("__a"), low).alias("lo"), quantile(F.col("__a"), high).alias("hi")))
-    return rows.withColumn(name, F.transform("__a", lambda x: F.least(F.greatest(x, F.col("__q.lo")), F.col("__q.hi")))).drop("__a", "__q")
+    rows = df.withColumn("__a", values(image))
+    bounds = F.struct(F.col("__a").alias("a"), quantile(F.col("__a"), low).alias("lo"), quantile(F.col("__a"), high).alias("hi"))
+    return rows.withColumn(name, let(bounds, lambda p: F.transform(p["a"], lambda x: F.least(F.greatest(x, p["lo"]), p["hi"])))).drop("__a")
 
 
 def central_crop(a: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
