@@ -32,7 +32,7 @@ def mean(a: Column) -> Column:
 
 def variance(a: Column, centre: Column) -> Column:
     """Population variance about a given mean."""
-    return over(total(a, lambda x: (x - centre) * (x - centre)), F.size(a))
+    return let(F.struct(a.alias("a"), centre.alias("c")), lambda p: over(total(p["a"], lambda x: (x - p["c"]) * (x - p["c"])), F.size(p["a"])))
 
 
 def quantile(a: Column, p: float) -> Column:
@@ -116,8 +116,11 @@ def overlap(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 
 def quantised(a: Column, levels: int) -> Column:
     """0 to levels - 1 over the image's range."""
-    low, high = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: F.when(high == low, 0).otherwise(F.least(F.floor(F.try_divide(x - low, high - low) * levels).cast("int"), F.lit(levels - 1))))
+    def level(p: Column) -> Column:
+        low, high = p["low"], p["high"]
+        return F.transform(p["a"], lambda x: F.when(high == low, 0).otherwise(F.least(F.floor(F.try_divide(x - low, high - low) * levels).cast("int"), F.lit(levels - 1))))
+
+    return let(F.struct(a.alias("a"), F.array_min(a).alias("low"), F.array_max(a).alias("high")), level)
 
 
 def cooccurrence(df: DataFrame, image: str, keys: list[str], width: int, levels: int = 8) -> DataFrame:
@@ -213,9 +216,10 @@ def intensity_features(df: DataFrame, image: str, keys: list[str]) -> DataFrame:
     roi, m, v = F.col("roi"), F.col("m"), F.col("v")
     rows = df.select(*keys, foreground(values(image)).alias("roi")).filter(F.size("roi") > 0).withColumn("m", mean(roi)).withColumn("v", variance(roi, m))
     n = F.size("roi")
-    moment = lambda p: over(total(roi, lambda x: F.pow(x - m, F.lit(float(p)))), n)
+    about = lambda f: let(F.struct(roi.alias("a"), m.alias("c")), lambda p: over(total(p["a"], lambda x: f(x - p["c"])), F.size(p["a"])))
+    moment = lambda k: about(lambda d: F.pow(d, F.lit(float(k))))
     return rows.select(
         *keys, m.alias("mean"), quantile(roi, 0.5).alias("median"), F.array_min(roi).alias("min"), F.array_max(roi).alias("max"), (F.array_max(roi) - F.array_min(roi)).alias("range"), F.sqrt(v).alias("std"), v.alias("variance"),
-        over(total(roi, lambda x: F.abs(x - m)), n).alias("mean_absolute_deviation"), F.sqrt(over(total(roi, lambda x: x * x), n)).alias("root_mean_square"), total(roi, lambda x: x * x).alias("energy"), (quantile(roi, 0.75) - quantile(roi, 0.25)).alias("quartile_range"),
+        about(F.abs).alias("mean_absolute_deviation"), F.sqrt(over(total(roi, lambda x: x * x), n)).alias("root_mean_square"), total(roi, lambda x: x * x).alias("energy"), (quantile(roi, 0.75) - quantile(roi, 0.25)).alias("quartile_range"),
         F.when(v == 0, 0.0).otherwise(F.try_divide(moment(3), F.pow(v, F.lit(1.5)))).alias("skewness"), F.when(v == 0, 0.0).otherwise(F.try_divide(moment(4), v * v)).alias("kurtosis"),
     )
