@@ -34,7 +34,7 @@ from tarnlake.llm.staging import parts, text_bytes
 LENGTH, GRAM = 50, 24
 #: Starts in a segment at most; longer ones (of periodic text) are cut.
 MOST_STARTS = 64
-BLOCK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 4 << 20, 16 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 4 << 20, 16 << 20, 1 << 19
 LAST = np.iinfo(np.int64).max
 
 
