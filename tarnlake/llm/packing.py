@@ -153,68 +153,114 @@ def best_fit_patterns(counts: dict[int, int], capacity: int) -> Counter[Pattern]
     return Counter({p: n for by in open_bins.values() for p, n in by.items() if n})
 
 
-def improve(patterns: Counter[Pattern], capacity: int, rounds: int = 20, most_open: int = 120) -> Counter[Pattern]:
-    """Swap-based local search over underfull bins, raising the sum of squared fills until bins empty.
-
-    Each round tries to dissolve the emptiest bin: its pieces move to bins with room, or change places one for one, or two shorter ones for a longer
-    one, with bins that become fuller thereby. A move is made when the sum of squared fills grows; a bin that loses all pieces is gone. Only patterns with room are
-    touched, `most_open` single bins of each round, so that the work doesn't depend on how many bins there are."""
-    done: Counter[Pattern] = Counter({p: n for p, n in patterns.items() if sum(p) == capacity})
-    loose: Counter[Pattern] = Counter({p: n for p, n in patterns.items() if sum(p) < capacity})
-    for _ in range(rounds):
-        if sum(loose.values()) <= -(-sum(sum(p) * n for p, n in loose.items()) // capacity):
-            break  # as few as their tokens need
-        order = sorted(loose, key=lambda p: (sum(p), p))
-        pool: list[list[int]] = []
-        for p in order:  # a few bins of each pattern, emptiest patterns first
-            take = min(loose[p], max(1, most_open // 40))
-            pool += [list(p) for _ in range(take)]
-            loose[p] -= take
-            if len(pool) >= most_open:
-                break
-        moved = _search(pool, [sum(b) for b in pool], capacity)
-        for b in pool:
-            if b:
-                (done if sum(b) == capacity else loose)[tuple(sorted(b, reverse=True))] += 1
-        loose = Counter({p: n for p, n in loose.items() if n})
-        if not moved:
-            break
-    return done + loose
-
-
-def _search(pool: list[list[int]], fill: list[int], capacity: int) -> int:
-    """Moves made among these bins, which are changed in place."""
-    moved = 0
-    for a in sorted(range(len(pool)), key=lambda i: fill[i]):
-        for x in sorted(pool[a], reverse=True):
-            best = None  # gain in squared fill, bin, pieces that come back
-            for b in range(len(pool)):
-                if b == a or not fill[b]:
+def _removable(pattern: Pattern) -> set[int]:
+    """What a bin can give back at once: nothing, one piece or two."""
+    many = Counter(pattern)
+    sizes = sorted(many)
+    return {0, *sizes, *(2 * y for y in sizes if many[y] > 1), *(y + z for i, y in enumerate(sizes) for z in sizes[i + 1 :])}
+
+
+def _taken(pattern: Pattern, total: int) -> Pattern:
+    """The fewest pieces of the pattern, two at most, that sum to total."""
+    if not total:
+        return ()
+    many = Counter(pattern)
+    if total in many:
+        return (total,)
+    return next((y, total - y) for y in many if (many[total - y] > 1 if total == 2 * y else many[total - y]))
+
+
+class _Underfull:
+    """Patterns with room. For each sum that they can give back and each limit, top has the largest fill up to it at which one can (else -1); capacity squared numbers."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.count = capacity, Counter()
+        self.top = np.full((capacity + 1, capacity + 1), -1, dtype=np.int16 if capacity < 1 << 15 else np.int32)
+        self.at: dict[tuple[int, int], dict[Pattern, None]] = defaultdict(dict)
+
+    def add(self, pattern: Pattern, n: int) -> None:
+        fill = sum(pattern)
+        if pattern not in self.count:
+            for back in _removable(pattern):
+                if not self.at[back, fill]:
+                    row = self.top[back, fill:]
+                    np.maximum(row, fill, out=row)
+                self.at[back, fill][pattern] = None
+        self.count[pattern] += n
+        if not self.count[pattern]:
+            del self.count[pattern]
+            for back in _removable(pattern):
+                own = self.at[back, fill]
+                del own[pattern]
+                if not own:
+                    del self.at[back, fill]
+                    row = self.top[back, fill:]
+                    row[row == fill] = self.top[back, fill - 1]
+
+    def best(self, a: Pattern) -> tuple[int, Pattern, int] | None:
+        """(piece of a, pattern that takes it, sum that comes back) with the largest gain in squared fill."""
+        fill, found, most = sum(a), None, 0
+        flat = self.top.reshape(-1)
+        for x in sorted(set(a), reverse=True):
+            if x * (self.capacity - fill) <= most:
+                break  # even a bin that it fills to the brim gains no more
+            to = flat[self.capacity - x :: self.capacity + 2][:x].astype(np.int64)  # fullest that x fits into, by what comes back
+            d = x - np.arange(x)
+            gains = np.where(to >= 0, d * (to - fill + d), 0)  # half of each gain
+            while gains[back := int(gains.argmax())] > most:
+                b = next((p for p in self.at[back, int(to[back])] if p != a or self.count[a] > 1), None)
+                if b is not None:
+                    found, most = (x, b, back), int(gains[back])
+                    break
+                to[back] = self.top[back, to[back] - 1]  # that was only the bin itself
+                gains[back] = d[back] * (to[back] - fill + d[back]) if to[back] >= 0 else 0
+        return found
+
+
+def improve(patterns: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+    """Swap-based local search over all underfull bins, raising the sum of squared fills until no move does or bins are as few as their tokens need.
+
+    The emptiest bins are dissolved first: a piece moves to a bin with room, or changes place with one or two shorter ones. Bins of one pattern are alike, so a move between
+    two patterns is made for as many pairs of their bins as there are, and the work depends on the number of patterns. A bin that loses all pieces is gone."""
+    done: Counter[Pattern] = Counter()
+    loose = _Underfull(capacity)
+
+    def put(pattern: Pattern, n: int) -> None:
+        if sum(pattern) == capacity:
+            done[pattern] += n
+        elif pattern:
+            loose.add(pattern, n)
+
+    for p, n in patterns.items():
+        put(tuple(sorted(p, reverse=True)), n)
+    bins, tokens = sum(loose.count.values()), sum(sum(p) * n for p, n in loose.count.items())
+    moved = True
+    while moved:
+        moved = False
+        for start in sorted(loose.count, key=lambda p: (sum(p), p)):
+            todo = [start]
+            while todo and bins > -(-tokens // capacity):
+                a = todo[-1]
+                move = loose.best(a) if a in loose.count else None
+                if move is None:
+                    todo.pop()
                     continue
-                room = capacity - fill[b]
-                if x <= room:
-                    options: list[Pattern] = [()]
-                else:
-                    short = sorted({y for y in pool[b] if y < x})
-                    options = [(y,) for y in short if x - y <= room]
-                    if len(pool[b]) > 1:
-                        options += [(y, z) for i, y in enumerate(pool[b]) for z in pool[b][i + 1 :] if x > y + z and x - y - z <= room]
-                for back in options:
-                    d = x - sum(back)
-                    gain = (fill[b] + d) ** 2 - fill[b] ** 2 + (fill[a] - d) ** 2 - fill[a] ** 2
-                    if gain > 0 and (best is None or gain > best[0]):
-                        best = (gain, b, back)
-            if best:
-                _, b, back = best
-                pool[a].remove(x)
-                pool[b].append(x)
-                for y in back:
-                    pool[b].remove(y)
-                    pool[a].append(y)
-                d = x - sum(back)
-                fill[a], fill[b] = fill[a] - d, fill[b] + d
-                moved += 1
-    return moved
+                x, b, back = move
+                n = loose.count[a] // 2 if a == b else min(loose.count[a], loose.count[b])
+                came = _taken(b, back)
+                after_a = tuple(sorted((Counter(a) - Counter((x,)) + Counter(came)).elements(), reverse=True))
+                after_b = tuple(sorted((Counter(b) - Counter(came) + Counter((x,))).elements(), reverse=True))
+                loose.add(a, -n)
+                loose.add(b, -n)
+                put(after_a, n)
+                put(after_b, n)
+                moved = True
+                if not after_a:
+                    bins -= n
+                if sum(after_b) == capacity:
+                    bins, tokens = bins - n, tokens - n * capacity
+                todo.append(after_a)
+    return done + loose.count
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

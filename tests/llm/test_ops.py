@@ -199,6 +199,26 @@ def test_local_search_empties_bins():
     assert flat(out) == flat(start) and all(sum(p) <= 10 for p in out) and sum(out.values()) < sum(start.values())
 
 
+def test_local_search_reaches_all_bins():
+    start = Counter({(6, 2): 2000, (5,): 1000, (4, 3): 1000, (3,): 2000})
+    out = packing.improve(start, 10)
+    flat = lambda c: {x: sum(n * p.count(x) for p, n in c.items()) for x in range(1, 41)}
+    assert flat(out) == flat(start) and all(sum(p) <= 10 for p in out) and sum(out.values()) <= 4000
+    rng = random.Random(2)
+    for _ in range(20):
+        start = packing.best_fit_patterns(Counter(rng.randint(8, 18) for _ in range(300)), 40)
+        out = packing.improve(start, 40)
+        assert flat(out) == flat(start) and all(sum(p) <= 40 for p in out) and sum(out.values()) <= sum(start.values())
+        loose = [p for p, n in out.items() if sum(p) < 40 for _ in range(min(n, 2))]
+        if sum(n for p, n in out.items() if sum(p) < 40) == -(-sum(sum(p) * n for p, n in out.items() if sum(p) < 40) // 40):
+            continue  # as few as the tokens need
+        for i, a in enumerate(loose):
+            for b in loose[:i] + loose[i + 1 :]:
+                for x in a:
+                    backs = [0, *b, *(y + z for j, y in enumerate(b) for z in b[j + 1 :])]
+                    assert not any(x > s and sum(b) + x - s <= 40 and sum(b) + x - s > sum(a) for s in backs), (a, b, x)
+
+
 def kneser_ney(train, order):
     counts = {order: Counter()}
     tokens = lambda t: [*words(t), None]
