@@ -31,7 +31,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, packed into sequences."""
-    return packing.packed_documents(docs, tokenizer_path())
+    return packing.packed_documents(docs, tokenizer_path(), short_first=True)
 
 
 STAGES = [

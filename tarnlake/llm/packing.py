@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -32,12 +33,14 @@ class PieceTokenizer:
 
     Where white space is single spaces and line ends between words, the pre-tokeniser cuts before each space and around each line end, so that
     a word with its space is encoded alike anywhere; other texts are encoded whole. Words not seen before go through tiktoken, over
-    the merge ranks of the same tokenizer file; encoding whole texts with the tokenizers library takes four to five times the CPU time."""
+    the merge ranks of the same tokenizer file; encoding whole texts with the tokenizers library takes four to five times the CPU time.
+
+    added_tokens: tokens that the file adds, such as the end of a text, are one id where they occur in a text, as in the library's default setting; else they are text."""
 
     #: Words that are remembered; then the memory starts anew.
     MOST = 600_000
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         import tiktoken
         from tokenizers import pre_tokenizers
 
@@ -49,13 +52,17 @@ class PieceTokenizer:
         others = [b for b in range(256) if b not in set(printable)]
         to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
         assert set(pre_tokenizers.ByteLevel.alphabet()) == set(to_byte)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if added_tokens and any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: only added tokens that match as they are, anywhere, are read here")
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         import public_tokenizers
 
         self.encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
         self.line = self._ids("\n")
+        self.added = {token: np.array([i], dtype="<u4").tobytes() for token, i in special.items()} if added_tokens else {}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype="<u4").tobytes()
@@ -74,6 +81,14 @@ class PieceTokenizer:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if not text:
+            return b""
+        if self.at_added and self.at_added.search(text):
+            return b"".join(self.added[part] if nth % 2 else self._text(part) for nth, part in enumerate(self.at_added.split(text)))
+        return self._text(text)
+
+    def _text(self, text: str) -> bytes:
+        """Ids of a text in which no added token counts."""
         if not text:
             return b""
         parts = ("\n" + text.replace("\n", " \n")).split(" ")
@@ -91,9 +106,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool, short_first: bool = False) -> Iterator[pa.RecordBatch]:
 
-    encode = _tokenizers.get(path) or _tokenizers.setdefault(path, PieceTokenizer(path))
+    encode = _tokenizers.get(path) or _tokenizers.setdefault(path, PieceTokenizer(path, added_tokens=True))
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = PIECE_SCHEMA.append(pa.field("ids", pa.binary())) if with_ids else PIECE_SCHEMA
     for batch in batches:
@@ -101,17 +116,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = encode(text.as_py() or "") + end
             n = len(ids) // 4
-            for piece, start in enumerate(range(0, n, capacity)):
-                own = ids[4 * start : 4 * (start + capacity)]
+            cuts = [0, *range((n % capacity if short_first else 0) or capacity, n, capacity), n]
+            for piece, (start, stop) in enumerate(itertools.pairwise(cuts)):
+                own = ids[4 * start : 4 * stop]
                 out.append((ident, piece, start, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
-    """Each document's ids and the end id in pieces of `capacity`, the last one with the rest; with_ids adds the ids themselves."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, short_first: bool = False) -> DataFrame:
+    """Each document's ids and the end id in pieces of `capacity`, the last one, or with short_first the first one, with the rest; with_ids adds the ids themselves."""
     rows = docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
-    return rows.mapInArrow(lambda it: _pieces(it, tokenizer_path, capacity, end_id, with_ids), PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(lambda it: _pieces(it, tokenizer_path, capacity, end_id, with_ids, short_first), PIECES + ", ids binary" * with_ids)
 
 
 Pattern = tuple[int, ...]
@@ -292,9 +308,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("low")).drop("salt", "before", "rank", "at_length", "low", "high", "first")
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, short_first: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of docs.
 
-    A null text is empty: just the end id. A document of over `capacity` ids is cut into full pieces and a last, shorter one; full pieces are sequences of their own."""
-    pieces = staged(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    A null text is empty: just the end id. A document of over `capacity` ids is cut into full pieces and a last, or with short_first a first, shorter one; full pieces are sequences of their own."""
+    pieces = staged(token_pieces(docs, tokenizer_path, capacity, end_id, short_first=short_first), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

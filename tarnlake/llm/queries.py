@@ -46,7 +46,7 @@ def op4_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(_documents(spark, sf_dir), tokenizer_path())
+    return packing.packed_documents(_documents(spark, sf_dir), tokenizer_path(), short_first=True)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

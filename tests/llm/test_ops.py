@@ -219,6 +219,29 @@ def test_local_search_reaches_all_bins():
                     assert not any(x > s and sum(b) + x - s <= 40 and sum(b) + x - s > sum(a) for s in backs), (a, b, x)
 
 
+def test_added_tokens_are_the_library_s(tokenizer_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path)
+    mine = packing.PieceTokenizer(tokenizer_path, added_tokens=True)
+    for x in ["<|endoftext|>", "a <|endoftext|> b", "a\n<|endoftext|><|endoftext|>b  c", "<|endoftext| >", "", "a b"] * 2:
+        assert np.frombuffer(mine(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_packing_with_the_short_piece_first(spark, tokenizer_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path)
+    rows = [(1, " ".join(["word"] * 20)), (2, " ".join(["word"] * 15)), (3, "a <|endoftext|> b"), (4, None)]
+    got = packing.packed_documents(spark.createDataFrame(rows, DOC), tokenizer_path, capacity=8, short_first=True).collect()
+    want = set()
+    for i, text in rows:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = sorted({0, *range(len(ids) % 8, len(ids), 8)})
+        want |= {(i, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(ids)], strict=True))}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+
+
 def kneser_ney(train, order):
     counts = {order: Counter()}
     tokens = lambda t: [*words(t), None]
