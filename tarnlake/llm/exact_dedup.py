@@ -25,11 +25,11 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.arrays import SPACE_BYTES
-from tarnlake.llm.staging import staged
+from tarnlake.llm.staging import rows_that_stay, staged
 
 #: Content bytes that one open-addressing table may hold.
 TABLE_BYTES = 48 << 20
@@ -202,19 +202,30 @@ def _classes(held: list[tuple]) -> Iterator[tuple]:
         yield r[0], best[entry][1], best[entry][2], sizes[entry]
 
 
-def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", table_bytes: int = TABLE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. See the module's text for what equals what and which row stays."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), F.coalesce(F.length(text_column), F.lit(0)).cast("long").alias("n"))
+def _points(text_column: str) -> Column:
+    return F.coalesce(F.length(text_column), F.lit(0)).cast("long")
+
+
+def _matched(docs: DataFrame, id_column: str, text_column: str, table_bytes: int, fanout: int) -> DataFrame:
+    """exact_duplicates with n_code_points."""
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), _points(text_column).alias("n"))
     rows = staged(rows.mapInArrow(lambda it: _collapse(it, table_bytes), ROWS), "dedup-runs")
     leaders = rows.filter("content is not null").select("leader", "sha", "content", "best_points", "best_id", "best_row", "size")
     classes = leaders.repartition(F.col("sha")).mapInArrow(lambda it: _grace(it, table_bytes, fanout), CLASSES)
     return (
-        rows.select("row_key", "id", "leader", "sha").join(classes, "leader")
-        .select(F.col("id").alias("doc_id"), F.col("keep_id"), "group_size", (F.col("row_key") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+        rows.select("row_key", "id", "leader", "sha", "n_code_points").join(classes, "leader")
+        .select(F.col("id").alias("doc_id"), F.col("keep_id"), "group_size", (F.col("row_key") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), "n_code_points")
     )
 
 
+def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", table_bytes: int = TABLE_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. See the module's text for what equals what and which row stays."""
+    return _matched(docs, id_column, text_column, table_bytes, fanout).drop("n_code_points")
+
+
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows that are copies of a row that stays. Rows without an id stay; rows that share an id go together, so ids should be unique."""
-    gone = exact_duplicates(docs, id_column, text_column).filter("not kept").select(F.col("doc_id").alias(id_column))
-    return docs.join(gone, id_column, "left_anti")
+    """docs with just the row of each group of equal texts that exact_duplicates keeps; ids may repeat or be null."""
+    content = F.sha2(F.translate(F.coalesce(F.col(text_column).cast("string"), F.lit("")), " \t\n\v\f\r", ""), 256)
+    keys = {"id": F.col(id_column).cast("long"), "sha": content, "points": _points(text_column)}
+    rows = _matched(docs, id_column, text_column, TABLE_BYTES, FANOUT)
+    return rows_that_stay(docs, keys, rows.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("n_code_points").alias("points"), F.col("kept").alias("stays")))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm.arrays import grouped, hashed_words, mix, shingle_sets, slices, table_of
 from tarnlake.llm.components import components
 from tarnlake.llm.exchange import ENTRIES, answer, block_of, classed, dealt, entries, entries_schema
-from tarnlake.llm.staging import parts, staged, text_bytes
+from tarnlake.llm.staging import parts, rows_that_stay, staged, text_bytes
 
 #: A token in more representatives than this is frequent.
 RARE_MOST = 16
@@ -45,14 +45,14 @@ def set_key(tokens: np.ndarray) -> bytes:
     return np.array([mix(tokens).sum(dtype=np.uint64), mix(tokens ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)], dtype=">u8").tobytes()
 
 
-_summary = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary())])
+_summary = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("text_sha", pa.string())])
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(1)):
             sets = list(shingle_sets(*hashed_words(data, offsets), k))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())], schema=_summary)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), batch.column(2).slice(a, b - a)], schema=_summary)
 
 
 def _sets(k: int, texts: pa.Table, nodes: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
@@ -297,11 +297,11 @@ def linked_components(signed: DataFrame, num: int, den: int, rounds: int = 2) ->
     return found if found is not None else spark.createDataFrame([], "node binary, component binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), rare_most: int = RARE_MOST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest id that links lead to, of each row of docs. threshold: links have 100 * shared >= 80 * all, and so on."""
+def _grouped_rows(docs: DataFrame, k: int, threshold: tuple[int, int], rare_most: int, id_column: str, text_column: str) -> DataFrame:
+    """id, n_shingles, text_sha, component (null without words) and component_id of each row of docs."""
     num, den = threshold
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = staged(texts.mapInArrow(lambda it: _summaries(it, k), "id long, n_shingles long, node binary"), "sets")
+    rows = staged(texts.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).mapInArrow(lambda it: _summaries(it, k), "id long, n_shingles long, node binary, text_sha string"), "sets")
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("least_id"))
     total = text_bytes(texts, "text")
     blocks, buckets = parts(total, BLOCK_BYTES), parts(total, BUCKET_BYTES)
@@ -313,12 +313,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     found = linked_components(signed, num, den)
     grouped_nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = grouped_nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_node = grouped_nodes.join(ids, "component").select("node", "component_id")
-    out = rows.join(by_node, "node", "left")
+    by_node = grouped_nodes.join(ids, "component").select("node", "component", "component_id")
+    return rows.join(by_node, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), rare_most: int = RARE_MOST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest id that links lead to, of each row of docs. threshold: links have 100 * shared >= 80 * all, and so on."""
+    out = _grouped_rows(docs, k, threshold, rare_most, id_column, text_column)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs with just the smallest id of each group, and rows without words. Rows without an id stay; rows that share an id go together, so ids should be unique."""
-    gone = near_duplicates(docs, k, threshold).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with just one row of each group, the one with the smallest id (null last), then text hash, and all rows without words; ids may repeat or be null."""
+    rows = staged(_grouped_rows(docs, k, threshold, RARE_MOST, "doc_id", "text").filter("n_shingles > 0").select("id", "text_sha", "component"), "groups")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_sha")
+    rows = rows.join(rows.groupBy("component").agg(F.min(place).alias("first")), "component").select("id", "text_sha", (place == F.col("first")).alias("stays"))
+    return rows_that_stay(docs, {"id": F.col("doc_id").cast("long"), "text_sha": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)}, rows)

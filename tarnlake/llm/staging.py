@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -47,6 +47,23 @@ def parts(total: int, each: int, least: int = 8) -> int:
     return max(least, math.ceil(total / each))
 
 
+def rows_that_stay(docs: DataFrame, keys: dict[str, Column], rows: DataFrame) -> DataFrame:
+    """docs without the rows whose keys have no row of `rows` that stays; of several rows with the keys of one that stays, just one.
+
+    keys: expressions over docs; rows: a row for each row of docs that takes part, with columns named alike and `stays`. Nulls are equal to each other, so ids may repeat or be null."""
+    names = list(keys)
+    of_key = rows.groupBy(*names).agg(F.max(F.col("stays").cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    of_key = staged(of_key.filter("stays = 0 or n > 1").select(*[F.col(k).alias(f"_to_{k}") for k in names], "stays"), "not-staying")
+    keyed = docs.withColumns({f"_{k}": c for k, c in keys.items()})
+    same = [F.col(f"_{k}").eqNullSafe(F.col(f"_to_{k}")) for k in names]
+    out = keyed.join(of_key.drop("stays"), same, "left_anti").select(*docs.columns)
+    repeated = of_key.filter("stays = 1").drop("stays")
+    if repeated.isEmpty():
+        return out
+    again = keyed.join(repeated, same, "left_semi").groupBy(*[f"_{k}" for k in names]).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return out.unionByName(again.select("_row.*"))
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

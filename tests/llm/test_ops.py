@@ -472,3 +472,16 @@ def test_pipeline(spark):
     pieces = p.STAGES[-1][1](spark, kept, sf).collect()
     mine = packing.PieceTokenizer(tokenizer_path())
     assert {r.doc_id for r in pieces} == {i for i, _ in rows} and sum(r.length for r in pieces) == sum(len(mine(t)) // 4 + 1 for _, t in rows)
+
+
+def test_stages_keep_one_row_of_each_group(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (2, b), (3, c), (3, b + " "), (3, d), (4, d), (None, e), (None, e), (None, a), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    once = exact_dedup.drop_exact_duplicates(docs)
+    assert Counter(map(tuple, once.collect())) == Counter([(1, a), (3, c), (3, b + " "), (3, d), (None, e), (5, None)])
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, a), (1, near(a)), (2, b), (3, c), (3, near(b)), (4, near(c)), (None, e), (None, e), (None, near(d)), (9, d), (5, ""), (5, "")]
+    got = near_dedup.one_of_each_group(spark.createDataFrame(rows, DOC).repartition(3), k=2).collect()
+    assert Counter((i, t.removesuffix(" more")) for i, t in got) == Counter([(1, a), (2, b), (3, c), (None, e), (9, d), (5, ""), (5, "")])
