@@ -184,7 +184,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(d if 0 < d < j else 0.5 * j for j, d in zip((1, 2, 3), found, strict=True))
 
 
-def fit(texts: DataFrame, text_column: str = "text", order: int = 2, bucket_bytes: int = 8 << 20) -> NgramModel:
+def fit(texts: DataFrame, text_column: str = "text", order: int = 3, bucket_bytes: int = 8 << 20) -> NgramModel:
     """Counts every text and writes the model to the shared folder. Only sums of a few numbers come to the driver."""
     spark = texts.sparkSession
     folder = _local(new_path(spark, "ngrams"))
@@ -305,7 +305,7 @@ def fold(id_column: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds, F.lit(0).cast("long"))
 
 
-def held_out_scores(docs: DataFrame, order: int = 2, folds: int = 5, held_out: int = 1) -> DataFrame:
+def held_out_scores(docs: DataFrame, order: int = 3, folds: int = 5, held_out: int = 1) -> DataFrame:
     """Scores of every row under a model of those outside the held-out fold."""
     out = fold("doc_id", folds) == held_out
     model = fit(docs.filter(~out), order=order)

@@ -289,6 +289,16 @@ def test_language_model(spark, docs, texts, order):
     assert all(math.isclose(a, b, abs_tol=1e-4) for g, w in zip(got, want, strict=True) for a, b in zip(g[3:], w[3:], strict=True))
 
 
+def test_registered_language_model_has_two_word_contexts(spark):
+    from tarnlake.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    of = lambda df: sorted((r.doc_id, round(r.score, 4)) for r in df.collect())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = of(QUERIES["op6_kneser_ney_lm"](spark, sf))
+    assert got == of(ngram_lm.held_out_scores(docs, order=3)) != of(ngram_lm.held_out_scores(docs, order=2))
+
+
 def test_quality_on_held_out(spark):
     rng = random.Random(4)
     rows, labels = [(1000, None), (1001, ""), (None, "x")], []
