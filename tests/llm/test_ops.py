@@ -112,6 +112,28 @@ def test_suffix_removal(spark, docs, texts):
     assert suffix_dedup.removed_repeats(docs.limit(0)).count() == 0
 
 
+def test_a_phrase_with_many_surroundings(spark):
+    """A phrase shorter than a string, with other text around it in each document: its strings are dealt singly, and the few that repeat are found."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmnopqrstuvwxyz") for _ in range(n))
+    phrase, around = noise(33), [(noise(25), noise(25)) for _ in range(6)]
+    rows = [(i, noise(rng.randint(20, 60)) + phrase + noise(rng.randint(20, 60))) for i in range(900)]
+    rows += [(2000 + i, noise(9) + a + phrase + b + noise(9)) for i in range(30) for a, b in [rng.choice(around)]]
+    rows += [(3000, rows[5][1] + phrase + rows[5][1]), (5, rows[7][1])]
+    got = suffix_dedup.removed_repeats(spark.createDataFrame(rows, DOC)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows, 50)
+    data = "".join(t for _, t in rows).encode()
+    blocks = [suffix_dedup._send(50, 24, 8, suffix_dedup.pa.table({"block": suffix_dedup.pa.array([b] * 300, suffix_dedup.pa.int32()), "id": [i for i, _ in rows[300 * b : 300 * b + 300]], "text": [t for _, t in rows[300 * b : 300 * b + 300]]})) for b in range(3)]
+    kinds = [suffix_dedup._kinds(suffix_dedup.pa.concat_tables([t.filter(suffix_dedup.pc.equal(t["bucket"], k)) for t in blocks])) for k in range(8)]
+    assert data and any(b"\2" in x.as_py() for t in kinds for x in t["classes"])  # the phrase's minimisers are of that kind
+
+
+def test_equal_contents_are_of_bytes():
+    data = np.frombuffer(b"aaaabbbbaaaacccc", np.uint8)
+    same = suffix_dedup.equal_contents(data, np.array([0, 4, 8, 12, 4]), np.full(5, 4), np.full(5, 7, np.uint64), np.array([3, 9, 1, 0, 2]))  # one hash for all
+    assert same.tolist() == [2, 4, 2, 3, 4]
+
+
 def test_suffix_array_and_maximal_repeats():
     rng = random.Random(2)
     for _ in range(30):
