@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a single longer row forms a slice of its own.
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 17
 
 #: White space of the text contracts: \x20 and \x09-\x0D.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"

@@ -42,7 +42,7 @@ LENGTH, GRAM = 50, 24
 MOST_STARTS = 64
 BLOCK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 4 << 20, 16 << 20, 1 << 19
 #: Bytes that are hashed at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: A minimiser with more different segments in a block, or more different marks of segments over all blocks, has its strings dealt singly.
 MOST_DIFFERENT = 64
 #: In a message's lengths: a single string of such a minimiser.
@@ -179,11 +179,14 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, k: int, chunk:
     for a in range(0, len(data) - length + 1, chunk):
         b = min(a + chunk, len(data) - length + 1)
         part = data[a : b + length - 1]
-        row = np.searchsorted(offsets, np.arange(a, b), side="right") - 1
-        inside = np.flatnonzero(offsets[row + 1] - np.arange(a, b) >= length)
+        # rows whose starts are in this chunk
+        x, y = np.searchsorted(offsets, [a, b - 1], side="right") - 1
+        edges = np.clip(offsets[x : y + 2], a, b)
+        begin, end = edges[:-1] - a, np.minimum(edges[1:], np.maximum(offsets[x + 1 : y + 2] - length + 1, edges[:-1])) - a
+        inside = spread(begin, end - begin)
         if not len(inside):
             continue
-        value, row = minimisers(part, length, k)[inside], row[inside]
+        value, row = minimisers(part, length, k)[inside], np.repeat(np.arange(x, y + 1), end - begin)
         first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])]))
         count = np.diff(np.concatenate([first, [len(value)]]))
         pieces = -(-count // MOST_STARTS)
@@ -192,8 +195,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, k: int, chunk:
             first = np.repeat(first, pieces) + nth * MOST_STARTS
             count = np.minimum(np.repeat(count, pieces) - nth * MOST_STARTS, MOST_STARTS)
         start = inside[first]
-        found.append((row[first], start + a, count, value[first], hash_words(part, start, start + count + length - 1)))
+        found.append((row[first], start + a, count, mix(value[first]), hash_words(part, start, start + count + length - 1)))
     none = np.zeros(0, np.int64)
+    # minima are small numbers; mixed, they deal out evenly
     return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (none, none, none, none.astype(np.uint64), none.astype(np.uint64))
 
 
