@@ -40,7 +40,7 @@ from tarnlake.llm.staging import parts, text_bytes
 LENGTH, GRAM = 50, 24
 #: Starts in a segment at most; longer ones (of periodic text) are cut.
 MOST_STARTS = 64
-BLOCK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 4 << 20, 16 << 20, 1 << 19
+BLOCK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 4 << 20, 16 << 20, 1 << 20
 #: Bytes that are hashed at once.
 CHUNK = 1 << 17
 #: A minimiser with more different segments in a block, or more different marks of segments over all blocks, has its strings dealt singly.
@@ -358,7 +358,7 @@ def _sending_segments(length: int, k: int, buckets: int, message_buckets: int):
         out, block = [], texts.column("block")[0].as_py()
         for bucket, a, b in bucket_cuts(key):
             i = first[a:b]
-            out.append((block, bucket, low[a:b].tobytes(), (size[i].astype("<u2") | single[i]).tobytes(), start[i].astype("<u4").tobytes(), doc[i].tobytes(), data[spread(start[i], size[i])].tobytes()))
+            out.append((block, bucket, low[a:b].tobytes(), (size[i].astype("<u2") | single[i]).tobytes(), start[i].astype("<u4").tobytes(), doc[i].tobytes(), pa.compress(data[spread(start[i], size[i])].tobytes(), "zstd", asbytes=True)))
         return table_of(out, _message)
 
     return run
@@ -401,7 +401,7 @@ def first_documents(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, doc
 
 def _bucket(length: int, table: pa.Table) -> pa.Table:
     keys, sizes, docs = ([np.frombuffer(x.as_buffer(), t) for x in table.column(c)] for c, t in (("keys", "<u4"), ("lengths", "<u2"), ("docs", "<i8")))
-    data = np.frombuffer(b"".join(x.as_py() for x in table.column("data")), np.uint8)
+    data = np.frombuffer(b"".join(pa.decompress(x.as_py(), int((n & (SINGLE - 1)).sum()), "zstd", asbytes=True) for x, n in zip(table.column("data"), sizes, strict=True)), np.uint8)
     of_message, size, key, doc = [len(x) for x in keys], (np.concatenate(sizes) & (SINGLE - 1)).astype(np.int64), np.concatenate(keys), np.concatenate(docs)
     start = np.cumsum(size) - size
     content = np.concatenate([hash_words(data[start[a] : start[b - 1] + size[b - 1]], start[a:b] - start[a], start[a:b] - start[a] + size[a:b]) for a, b in _runs(start, CHUNK)])
