@@ -1,22 +1,26 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and read from sorted hash arrays.
 
-Counting: each task hashes the words of its rows and sums n-grams as packed arrays; these are shuffled by n-gram hash, so that a frequent
-n-gram arrives once per task and not once per occurrence. The highest order has plain counts, each lower one the number of distinct words before it. Every order
-gives two sets of sorted arrays, by hash range: n-gram hash and count; context hash, total and how many of its continuations have count 1, 2 and more.
+Counting is one chain of shuffles, an order each, from the highest down. A task sums the n-grams of its rows and sends them to buckets as packed, compressed arrays. A bucket sums
+them, writes its arrays and sends on the next lower order, whose counts are the numbers of distinct words before an n-gram. An n-gram's bucket follows from its middle words, so that its context is
+whole in one bucket and few n-grams of the lower order are counted in two; where these words are frequent, from the context, and where all of that is frequent, from the whole n-gram. In
+the last case the context's sums are added up over buckets. No frequent word makes a bucket larger than others.
 
-The arrays are files in the shared folder; workers map them into memory, so that the model is neither sent through the driver nor held by any process. A slice's look-ups are sorted first, so
-that each file is read in order.
+A bucket's arrays are one file in the shared folder: n-grams and their counts, contexts with total and how many of their continuations have count 1, 2 and more, both sorted by 40 bits of a
+hash, which with the bucket's own makes one look-up in a million find what isn't there. Workers map files into memory, so that the model is neither sent through the driver nor held by any
+process. A slice's look-ups are sorted first, so that each file is read in order. The folder has to be mounted where tasks run; a worker that doesn't see the model's mark in it raises.
 
 p_k(w | u) = max(c(uw) - D(c(uw)), 0) / c(u.) + (D1 N1(u.) + D2 N2(u.) + D3 N3+(u.)) / c(u.) * p_{k-1}(w | u'), down to 1 / (V + 1) below unigrams;
 an unseen context passes to the next lower order whole. A text's first words see begin marks as context, which are never predicted.
 D_j = j - (j + 1) Y n_{j+1} / n_j with Y = n_1 / (n_1 + 2 n_2), of each order's counts; where that can't be formed or is out of range, it is 0.5 j.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; each text ends with one end token. A null text is empty: just its end. An empty training set gives 1 / (V + 1) for all.
+Repeated rows count as often as they occur, null ids are in fold 0, other columns aren't read, and a long text takes no more memory than its own words.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.arrays import grouped, hash_runs, hashed_words, slices
+from tarnlake.llm.arrays import grouped, hash_runs, hashed_words, slices, table_of
 from tarnlake.llm.staging import new_path, parts, staged, text_bytes
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5E6546B64)
 #: N-grams that a task gathers before it sums and sends them.
 GATHERED = 1 << 20
+#: Bytes of text whose look-ups are sorted together.
+SCORED_BYTES = 1 << 20
+MARK = "complete"
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray, begins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,14 +52,17 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, begins: int) -> tuple[np.ndar
     return out, at
 
 
-def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(h: np.ndarray) -> np.ndarray:
+    """Where sorted values differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+
+
+def _sum(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of n words each and their summed counts, in order of the n-gram's hash."""
-    rows = np.concatenate(keys)
     h = ngram_hash(rows)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return rows[order[new]], np.add.reduceat(np.concatenate(counts)[order], new) if len(h) else np.zeros(0, np.int64)
+    order = np.argsort(h)
+    new = _firsts(h[order])
+    return rows[order[new]], np.add.reduceat(counts[order], new) if len(h) else counts
 
 
 def ngram_hash(rows: np.ndarray) -> np.ndarray:
@@ -60,24 +70,79 @@ def ngram_hash(rows: np.ndarray) -> np.ndarray:
     return hash_runs([rows[:, j] for j in range(rows.shape[1])]) if rows.shape[1] else np.zeros(len(rows), np.uint64)
 
 
-_packed = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-PACKED = "bucket int, words binary, counts binary"
+def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """among: sorted."""
+    at = np.searchsorted(among, values)
+    at[at == len(among)] = 0
+    return among[at] == values
 
 
-def _deal(rows: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """rows, in order of their hash, as one packed row for each bucket, a range of hashes."""
-    h = ngram_hash(rows)
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.zeros(0, np.int64)
-    out = [(int(bucket[a]), np.ascontiguousarray(rows[a:b]).tobytes(), counts[a:b].astype("<u4").tobytes()) for a, b in zip(cut, [*cut[1:], len(h)], strict=True)]
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _packed, strict=True)], schema=_packed)
+def places(rows: np.ndarray, frequent: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram's bucket, and whether its context is split over buckets. frequent: sorted words, the begin mark among them."""
+    width = rows.shape[1]
+    often = [_is_in(rows[:, j], frequent) for j in range(width - 1)]
+    split = np.logical_and.reduce([np.ones(len(rows), bool), *often])
+    key = ngram_hash(rows)
+    if width > 1:
+        key = np.where(split, key, ngram_hash(rows[:, :-1]))
+    if width > 2:
+        key = np.where(np.logical_and.reduce(often[1:]), key, ngram_hash(rows[:, 1:-1]))
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64), split
+
+
+_packed = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("numbers", pa.list_(pa.int64()))])
+PACKED = "bucket int, kind int, data binary, numbers array<long>"
+#: Kinds of messages: n-grams of this width or, from there on, what passes through to the end.
+SPLIT, TOTAL = 100, 200
+
+
+def _least_type(a: np.ndarray) -> np.ndarray:
+    top = int(a.max()) if len(a) else 0
+    return a.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * int(t[2])))
+
+
+def pack(rows: np.ndarray, counts: np.ndarray) -> tuple[bytes, list[int]]:
+    """n-grams as numbers of their distinct words, sorted and compressed, and what it takes to read them."""
+    width = rows.shape[1]
+    words, code = np.unique(rows, return_inverse=True)
+    code = code.reshape(rows.shape)
+    if len(words) ** width < 1 << 62:
+        key = np.zeros(len(rows), np.int64)
+        for j in [*range(1, width - 1), 0, *[width - 1] * (width > 1)]:
+            key = key * len(words) + code[:, j]
+        order = np.argsort(key)
+        code, counts = code[order], counts[order]
+    code, counts = _least_type(code), _least_type(counts)
+    data = words.tobytes() + np.ascontiguousarray(code.T).tobytes() + counts.tobytes()
+    return pa.compress(data, "zstd", asbytes=True), [len(rows), len(words), code.itemsize, counts.itemsize, len(data)]
 
 
-def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def unpack(data: bytes, numbers: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    n, words, code, count, size = numbers
+    data = pa.decompress(data, size, "zstd", asbytes=True)
+    own = np.frombuffer(data, "<u8", words)
+    codes = np.frombuffer(data, f"<u{code}", n * width, 8 * words).reshape(width, n)
+    return own[codes.T], np.frombuffer(data, f"<u{count}", n, 8 * words + n * width * code).astype(np.int64)
+
+
+def _deal(rows: np.ndarray, counts: np.ndarray, frequent: np.ndarray, buckets: int) -> list[tuple]:
+    """A message of n-grams for each bucket."""
+    bucket, _ = places(rows, frequent, buckets)
+    order = np.argsort(bucket, kind="stable")
+    cut = _firsts(bucket[order])
+    return [(int(bucket[order[a]]), rows.shape[1], *pack(rows[order[a:b]], counts[order[a:b]])) for a, b in zip(cut, [*cut[1:], len(order)], strict=True)]
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int, frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """n-grams of whole texts; a text's n-grams end at each of its words and its end."""
-    keys: list[np.ndarray] = []
-    held = 0
+    held: list[np.ndarray] = []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if held:
+            rows = np.concatenate(held)
+            held.clear()
+            yield from table_of(_deal(*_sum(rows, np.ones(len(rows), np.int64)), frequent, buckets), _packed).to_batches()
+
     for batch in batches:
         for _, _, data, offsets in slices(batch.column(0)):
             tokens, at = _tokens(data, offsets, order - 1)
@@ -85,15 +150,11 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Itera
             for j in range(order - 1):
                 inside[at[1:] - 1 - j] = False
             starts = np.flatnonzero(inside)
-            rows = np.stack([tokens[starts + j] for j in range(order)], axis=1)
-            rows, n = _sum([rows], [np.ones(len(rows), np.int64)])
-            keys.append((rows, n))
-            held += len(rows)
-            if held >= GATHERED:
-                yield from _deal(*_sum([k for k, _ in keys], [c for _, c in keys]), buckets)
-                keys, held = [], 0
-    if keys:
-        yield from _deal(*_sum([k for k, _ in keys], [c for _, c in keys]), buckets)
+            for a in range(0, len(starts), GATHERED):
+                held.append(np.stack([tokens[starts[a : a + GATHERED] + j] for j in range(order)], axis=1))
+                if sum(map(len, held)) >= GATHERED:
+                    yield from close()
+    yield from close()
 
 
 def _local(path: str) -> str:
@@ -105,64 +166,113 @@ def _local(path: str) -> str:
     return path
 
 
-def _save(path: str, **arrays: np.ndarray) -> None:
-    """Each array as path.name.npy, put in place whole, so that a task that runs twice leaves one whole file."""
+def _save(path: str, arrays: list[np.ndarray]) -> None:
+    """All arrays in one file, put in place whole, so that a task that runs twice leaves one whole file."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    for name, a in arrays.items():
-        mine = f"{path}.{name}.{os.getpid()}.tmp.npy"
-        np.save(mine, a)
-        os.replace(mine, f"{path}.{name}.npy")
-
-
-
-
-def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(x.as_py(), "<u8").reshape(-1, width) for x in table.column("words")]
-    counts = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table.column("counts")]
-    return _sum(keys, counts)
-
-
-def _ngrams(width: int, folder: str, buckets: int, table: pa.Table) -> pa.Table:
-    """Writes a bucket's n-grams and gives a row of statistics, the parts of the contexts' sums and the next lower order's n-grams."""
-    rows, counts = _unpack(table, width)
-    bucket = table.column("bucket")[0].as_py()
-    h = ngram_hash(rows)
-    _save(f"{folder}/{width}/{bucket:06d}", keys=h, counts=counts.astype(np.uint32))
+    mine = f"{path}.{uuid.uuid4().hex}"
+    with open(mine, "wb") as f:
+        f.write(np.array([[a.itemsize, len(a)] for a in arrays], "<i8").tobytes())
+        for a in arrays:
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
+    os.replace(mine, path)
+
+
+def _load(path: str, n: int) -> list[np.ndarray] | None:
+    if not os.path.exists(path):
+        return None
+    data, at, out = np.memmap(path, np.uint8, "r"), 16 * n, []
+    for size, length in data[:at].view("<i8").reshape(n, 2).tolist():
+        out.append(data[at : at + size * length].view(f"<u{size}"))
+        at += -(-size * length // 8) * 8
+    return out
+
+
+def _by_key(h: np.ndarray, columns: list[np.ndarray], plain: np.ndarray) -> list[np.ndarray]:
+    """Sorted arrays: 40 bits of the hash of rows that are all ones (plain); 40 bits and columns of the others, in bytes, and where these don't do, the row and whole numbers."""
+    low, high = (h & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h >> np.uint64(32)) & np.uint64(0xFF)).astype("<u1")
     out = []
-    context = np.ascontiguousarray(rows[:, :-1])
-    c1, c2 = (counts == 1).astype(np.int64), (counts == 2).astype(np.int64)
-    ch = ngram_hash(context)
-    order = np.argsort(ch, kind="stable")
-    ch = ch[order]
-    new = np.flatnonzero(np.concatenate([[True], ch[1:] != ch[:-1]])) if len(ch) else np.zeros(0, np.int64)
-    sums = np.stack([np.add.reduceat(x[order], new) for x in (counts, c1, c2, np.ones_like(counts))], axis=1) if len(ch) else np.zeros((0, 4), np.int64)
-    keys = ch[new]
-    to = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    for b in np.unique(to):
-        own = to == b
-        out.append(("context", int(b), keys[own].tobytes(), sums[own].tobytes(), None, None, None, None, None, None))
-    if width > 1:
-        lower, n = _sum([rows[:, 1:]], [np.ones(len(rows), np.int64)])
-        for batch in _deal(lower, n, buckets):
-            out += [("lower", r["bucket"], r["words"], r["counts"], None, None, None, None, None, None) for r in batch.to_pylist()]
-    n_of = [int((counts == j).sum()) for j in (1, 2, 3, 4)]
-    out.append(("total", bucket, None, None, *n_of, int(counts.sum()), len(counts)))
-    return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _reduced, strict=True)], schema=_reduced)
-
-
-_reduced = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), *((k, pa.int64()) for k in ("n1", "n2", "n3", "n4", "tokens", "types"))])
-REDUCED = "kind string, bucket int, words binary, counts binary, n1 long, n2 long, n3 long, n4 long, tokens long, types long"
-
-
-def _contexts(width: int, folder: str, table: pa.Table) -> pa.Table:
+    for which in (plain, ~plain):
+        order = np.flatnonzero(which)
+        order = order[np.lexsort((high[order], low[order]))]
+        out += [low[order], high[order]]
+    large = np.flatnonzero(np.logical_or.reduce([c[order] > 254 for c in columns]))
+    return [*out, *(np.minimum(c[order], 255).astype("<u1") for c in columns), large.astype("<u4"), *(c[order[large]].astype("<u8") for c in columns)]
+
+
+def _found(low: np.ndarray, high: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash is in sorted arrays, or -1."""
+    a, b = (h & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h >> np.uint64(32)) & np.uint64(0xFF)).astype("<u1")
+    at = np.searchsorted(low, a)
+    out = np.full(len(h), -1, dtype=np.int64)
+    left = np.arange(len(h))
+    while len(left):
+        left = left[at[left] < len(low)]
+        left = left[low[at[left]] == a[left]]
+        hit = high[at[left]] == b[left]
+        out[left[hit]] = at[left[hit]]
+        left = left[~hit]
+        at[left] += 1
+    return out
+
+
+def _looked_up(arrays: list[np.ndarray], h: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n columns of each hash, 0 where it isn't there."""
+    out = [np.zeros(len(h), dtype=np.int64) for _ in range(n)]
+    plain, other = _found(arrays[0], arrays[1], h), _found(arrays[2], arrays[3], h)
+    hit = other >= 0
+    large = arrays[4 + n]
+    for j, c in enumerate(out):
+        c[plain >= 0] = j in _ONES[n]
+        c[hit] = arrays[4 + j][other[hit]]
+    if len(large):
+        at = np.searchsorted(large, other)
+        at[at == len(large)] = 0
+        hit &= large[at] == other
+        for j, c in enumerate(out):
+            c[hit] = arrays[5 + n + j][at[hit]]
+    return out
+
+
+#: Which columns of a plain row are 1: an n-gram's count; a context's total, continuations of count 1 and all continuations.
+_ONES = {1: (0,), 4: (0, 1, 3)}
+_N_ARRAYS = {1: 7, 4: 13}
+
+
+def _ngrams(order: int, folder: str, frequent: np.ndarray, buckets: int, table: pa.Table) -> pa.Table:
+    """Writes a bucket's n-grams and contexts; gives the next lower order's n-grams, sums of split contexts and a row of totals. What isn't an n-gram of this order passes through."""
+    kinds = table.column("kind").to_pylist()
+    rows, counts, out = [], [], []
+    bucket = table.column("bucket")[0].as_py()
+    for kind, data, numbers in zip(kinds, table.column("data"), table.column("numbers").to_pylist(), strict=True):
+        if kind == order:
+            r, c = unpack(data.as_py(), numbers, order)
+            rows.append(r)
+            counts.append(c)
+        else:
+            out.append((bucket, kind, data.as_py(), numbers))
+    if rows:
+        rows, counts = _sum(np.concatenate(rows), np.concatenate(counts))
+        context, (_, split) = ngram_hash(rows[:, :-1]), places(rows, frequent, buckets)
+        by = np.argsort(context, kind="stable")
+        new = _firsts(context[by])
+        sums = [np.add.reduceat(x[by], new) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), np.ones_like(counts))]
+        own, whole = context[by[new]], ~split[by[new]]
+        _save(f"{folder}/{order}/{bucket:08d}", _by_key(ngram_hash(rows), [counts], counts == 1) + _by_key(own[whole], [x[whole] for x in sums], sums[0][whole] == 1))
+        to = (((own >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        for i in np.flatnonzero(~whole).tolist():
+            out.append((int(to[i]), SPLIT + order, own[i].tobytes(), [int(x[i]) for x in sums]))
+        if order > 1:
+            out += _deal(*_sum(rows[:, 1:], np.ones(len(rows), np.int64)), frequent, buckets)
+        out.append((bucket, TOTAL + order, b"", [int((counts == j).sum()) for j in (1, 2, 3, 4)]))
+    return table_of(out, _packed)
+
+
+def _split_contexts(folder: str, buckets: int, table: pa.Table) -> pa.Table:
+    """Writes the sums of contexts that were split."""
+    h = np.array([int.from_bytes(x.as_py(), "little") for x in table.column("data")], np.uint64)
+    sums = [table.column(f"n{j}").to_numpy() for j in range(4)]
     bucket = table.column("bucket")[0].as_py()
-    keys = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table.column("words")])
-    sums = np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(-1, 4) for x in table.column("counts")])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sums = np.add.reduceat(sums[order], new, axis=0)
-    _save(f"{folder}/{width}c/{bucket:06d}", keys=keys[new], counts=sums[:, 0].copy(), ones=sums[:, 1].astype(np.uint32), twos=sums[:, 2].astype(np.uint32), all=sums[:, 3].astype(np.uint32))
+    _save(f"{folder}/{table.column('kind')[0].as_py() - SPLIT}split/{bucket:08d}", _by_key(h, sums, np.zeros(len(h), bool)))
     return pa.table({"done": pa.array([bucket], pa.int32())})
 
 
@@ -176,6 +286,7 @@ class NgramModel:
     train_tokens: int
     types: int
     discounts: tuple[tuple[float, float, float], ...] = field(default=())  # of order 1, 2, ...
+    frequent: tuple[int, ...] = ()  # sorted words that don't make a bucket alone
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -184,80 +295,110 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(d if 0 < d < j else 0.5 * j for j, d in zip((1, 2, 3), found, strict=True))
 
 
-def fit(texts: DataFrame, text_column: str = "text", order: int = 3, bucket_bytes: int = 8 << 20) -> NgramModel:
-    """Counts every text and writes the model to the shared folder. Only sums of a few numbers come to the driver."""
+def _plain(folder: str, often: int, table: pa.Table) -> pa.Table:
+    """Writes a bucket's word counts; gives their sum and number, and its words of `often` occurrences or more."""
+    both = [unpack(d.as_py(), n, 1) for d, n in zip(table.column("data"), table.column("numbers").to_pylist(), strict=True)]
+    rows, counts = _sum(*map(np.concatenate, zip(*both, strict=True)))
+    _save(f"{folder}/plain/{table.column('bucket')[0].as_py():08d}", _by_key(ngram_hash(rows), [counts], counts == 1))
+    many = np.flatnonzero(counts >= often)
+    return table_of([(int(counts.sum()), len(counts), rows[many, 0].view(np.int64).tolist(), counts[many].tolist())], _words)
+
+
+_words = pa.schema([("tokens", pa.int64()), ("types", pa.int64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+
+
+def fit(texts: DataFrame, text_column: str = "text", order: int = 3, bucket_bytes: int = 16 << 20, often: int = 1 << 18, most_frequent: int = 1 << 16) -> NgramModel:
+    """Counts every text and writes the model to the shared folder. Only sums of a few numbers come to the driver.
+
+    Words of `often` occurrences or more don't make a bucket alone, the `most_frequent` most frequent ones of these at most."""
     spark = texts.sparkSession
     folder = _local(new_path(spark, "ngrams"))
     texts = texts.select(F.col(text_column).cast("string"))
     buckets = parts(text_bytes(texts, text_column), bucket_bytes)
-    counted = texts.mapInArrow(lambda it: _count(it, order, buckets), PACKED)
-    found: list[tuple[float, float, float]] = []
+    none = np.array([BEGIN])
+    plain = texts.mapInArrow(lambda it: _count(it, 1, none, buckets), PACKED).groupBy("bucket").applyInArrow(grouped(_plain, folder, often), "tokens long, types long, words array<long>, counts array<long>")
+    plain = staged(plain, "words")
+    tokens, types = plain.agg(F.sum("tokens"), F.sum("types")).first()
+    found = plain.select(F.inline(F.arrays_zip("words", "counts"))).orderBy(F.desc("counts"), "words").limit(most_frequent).collect()
+    frequent = np.unique(np.array([int(BEGIN), *(r[0] % (1 << 64) for r in found)], np.uint64))
+    counted = texts.mapInArrow(lambda it: _count(it, order, frequent, buckets), PACKED)
     for width in range(order, 0, -1):
-        reduced = counted.groupBy("bucket").applyInArrow(grouped(_ngrams, width, folder, buckets), REDUCED)
-        reduced = staged(reduced, f"ngrams-{width}")
-        reduced.filter("kind = 'context'").select("bucket", "words", "counts").groupBy("bucket").applyInArrow(grouped(_contexts, width, folder), "done int").agg(F.count("done")).collect()
-        n = reduced.filter("kind = 'total'").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("n1", "n2", "n3", "n4")]).first()
-        found.insert(0, discounts(*n))
-        counted = reduced.filter("kind = 'lower'").select("bucket", "words", "counts")
-    plain = texts.mapInArrow(lambda it: _count(it, 1, buckets), PACKED)
-    totals = plain.groupBy("bucket").applyInArrow(grouped(_plain, folder), "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
-    return NgramModel(order, folder, buckets, int(totals[0] or 0), int(totals[1] or 0), tuple(found))
-
-
-def _plain(folder: str, table: pa.Table) -> pa.Table:
-    rows, counts = _unpack(table, 1)
-    _save(f"{folder}/plain/{table.column('bucket')[0].as_py():06d}", keys=ngram_hash(rows), counts=counts.astype(np.uint32))
-    return pa.table({"tokens": pa.array([int(counts.sum())], pa.int64()), "types": pa.array([len(counts)], pa.int64())})
-
-
-class Arrays:
-    """Sorted hash arrays of a folder, one set of files for each hash range, mapped when first needed."""
-
-    def __init__(self, folder: str, buckets: int) -> None:
-        self.folder, self.buckets, self.open = folder, buckets, {}
-
-    def _part(self, bucket: int, name: str) -> np.ndarray | None:
-        key = (bucket, name)
-        if key not in self.open:
-            path = f"{self.folder}/{bucket:06d}.{name}.npy"
-            self.open[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.open[key]
-
-    def find(self, h: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
-        """The named values of each hash, 0 where it isn't there."""
-        out = [np.zeros(len(h), dtype=np.int64) for _ in names]
-        if not len(h):
-            return out
-        unique, back = np.unique(h, return_inverse=True)
-        got = [np.zeros(len(unique), dtype=np.int64) for _ in names]
-        bucket = ((unique >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        for a, b in zip(cut, [*cut[1:], len(unique)], strict=True):
-            keys = self._part(int(bucket[a]), "keys")
-            if keys is None or not len(keys):
+        counted = counted.groupBy("bucket").applyInArrow(grouped(_ngrams, width, folder, frequent, buckets), PACKED)
+    counted = staged(counted, "ngram-totals")
+    sums = [F.sum(F.col("numbers")[j]).alias(f"n{j}") for j in range(4)]
+    n_of = {r["kind"] - TOTAL: [r[f"n{j}"] for j in range(4)] for r in counted.filter(F.col("kind") >= TOTAL).groupBy("kind").agg(*sums).collect()}
+    split = counted.filter(F.col("kind") < TOTAL).groupBy("kind", "bucket", "data").agg(*sums)
+    split.groupBy("kind", "bucket").applyInArrow(grouped(_split_contexts, folder, buckets), "done int").agg(F.count("done")).collect()
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{MARK}", "wb"):
+        pass
+    return NgramModel(order, folder, buckets, int(tokens or 0), int(types or 0), tuple(discounts(*n_of.get(w, (0, 0, 0, 0))) for w in range(1, order + 1)), tuple(frequent.tolist()))
+
+
+class Files:
+    """A model's files as this process has them mapped."""
+
+    #: Files that are mapped at once; a process may not map any number.
+    MOST = 4096
+
+    def __init__(self, model: NgramModel) -> None:
+        if not os.path.exists(f"{model.folder}/{MARK}"):
+            raise FileNotFoundError(f"{model.folder}: the model isn't visible here; spark.checkpoint.dir must be mounted where tasks run")
+        self.model, self.open, self.frequent = model, {}, np.array(model.frequent, np.uint64)
+
+    def part(self, name: str, n: int) -> list[np.ndarray] | None:
+        """The arrays of a bucket, None if nothing fell there."""
+        if name not in self.open:
+            if len(self.open) >= self.MOST:
+                self.open.clear()
+            self.open[name] = _load(f"{self.model.folder}/{name}", n)
+        return self.open[name]
+
+    def find(self, folder: str, bucket: np.ndarray, wanted: list[tuple[np.ndarray, int, int]], n_arrays: int) -> list[list[np.ndarray]]:
+        """For each (hashes, first array, columns) of wanted the columns of each row, 0 where it isn't there."""
+        out = [[np.zeros(len(bucket), dtype=np.int64) for _ in range(n)] for _, _, n in wanted]
+        order = np.argsort(bucket, kind="stable")
+        cut = _firsts(bucket[order])
+        for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+            own = order[a:b]
+            arrays = self.part(f"{folder}/{bucket[own[0]]:08d}", n_arrays)
+            if arrays is None:
                 continue
-            at = np.searchsorted(keys, unique[a:b])
-            at[at == len(keys)] = 0
-            hit = keys[at] == unique[a:b]
-            for g, name in zip(got, names, strict=True):
-                g[a:b][hit] = self._part(int(bucket[a]), name)[at[hit]]
-        return [g[back] for g in got]
+            for o, (h, first, n) in zip(out, wanted, strict=True):
+                unique, back = np.unique(h[own], return_inverse=True)
+                for c, found in zip(o, _looked_up(arrays[first : first + _N_ARRAYS[n]], unique, n), strict=True):
+                    c[own] = found[back]
+        return out
+
+    def plain(self, words: np.ndarray) -> np.ndarray:
+        rows = words.reshape(-1, 1)
+        return self.find("plain", places(rows, self.frequent, self.model.buckets)[0], [(ngram_hash(rows), 0, 1)], 7)[0][0]
+
+    def ngrams(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Count; total, ones, twos and all of the context."""
+        width, context = rows.shape[1], ngram_hash(rows[:, :-1])
+        bucket, split = places(rows, self.frequent, self.model.buckets)
+        (c,), sums = self.find(f"{width}", bucket, [(ngram_hash(rows), 0, 1), (context, 7, 4)], 20)
+        if split.any():
+            to = (((context[split] >> np.uint64(32)) * np.uint64(self.model.buckets)) >> np.uint64(32)).astype(np.int64)
+            for own, found in zip(sums, self.find(f"{width}split", to, [(context[split], 0, 4)], 13)[0], strict=True):
+                own[split] = found
+        return c, *sums
 
 
-_models: dict[str, dict[str, Arrays]] = {}
+_models: dict[str, Files] = {}
 
 
-def _arrays(model: NgramModel) -> dict[str, Arrays]:
+def _files(model: NgramModel) -> Files:
     if model.folder not in _models:
         _models.clear()
-        names = [*(f"{w}{c}" for w in range(1, model.order + 1) for c in ("", "c")), "plain"]
-        _models[model.folder] = {n: Arrays(f"{model.folder}/{n}", model.buckets) for n in names}
+        _models[model.folder] = Files(model)
     return _models[model.folder]
 
 
 def log10_probabilities(model: NgramModel, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each token that isn't a begin mark, in order; tokens: with order - 1 begin marks before each text."""
-    arrays, n = _arrays(model), model.order
+    files, n = _files(model), model.order
     inside = np.ones(len(tokens), dtype=bool)
     for j in range(n - 1):
         inside[at[:-1] + j] = False
@@ -265,13 +406,10 @@ def log10_probabilities(model: NgramModel, tokens: np.ndarray, at: np.ndarray) -
     p = np.full(len(ends), 1 / (model.types + 1))
     for width in range(1, n + 1):
         d = np.array([0.0, *model.discounts[width - 1]])
-        rows = np.stack([tokens[ends - width + 1 + j] for j in range(width)], axis=1)
-        (c,) = arrays[f"{width}"].find(ngram_hash(rows), ("counts",))
-        total, ones, twos, every = arrays[f"{width}c"].find(ngram_hash(rows[:, :-1]), ("counts", "ones", "twos", "all"))
-        seen = total > 0
+        c, total, ones, twos, every = files.ngrams(np.stack([tokens[ends - width + 1 + j] for j in range(width)], axis=1))
         left = d[1] * ones + d[2] * twos + d[3] * (every - ones - twos)
         own = np.maximum(c - d[np.minimum(c, 3)], 0)
-        p = np.where(seen, (own + left * p) / np.maximum(total, 1), p)
+        p = np.where(total > 0, (own + left * p) / np.maximum(total, 1), p)
     return np.log10(p)
 
 
@@ -281,14 +419,14 @@ _scores = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known
 
 def _score(batches: Iterator[pa.RecordBatch], model: NgramModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in slices(batch.column(1)):
+        for a, b, data, offsets in slices(batch.column(1), SCORED_BYTES):
             tokens, at = _tokens(data, offsets, model.order - 1)
             logs = log10_probabilities(model, tokens, at)
             begin = at - (model.order - 1) * np.arange(len(at))  # in the tokens without begin marks
             own = np.ones(len(tokens), dtype=bool)
             for j in range(model.order - 1):
                 own[at[:-1] + j] = False
-            (c,) = _arrays(model)["plain"].find(ngram_hash(tokens[own].reshape(-1, 1)), ("counts",))
+            c = _files(model).plain(tokens[own])
             base = np.log10((c + 0.5) / (model.train_tokens + 0.5 * (model.types + 1)))
             sums = [np.add.reduceat(x, begin[:-1]) for x in ((c > 0).astype(np.int64), base, logs)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(begin)), *map(pa.array, sums)], schema=_scores)
@@ -305,8 +443,8 @@ def fold(id_column: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds, F.lit(0).cast("long"))
 
 
-def held_out_scores(docs: DataFrame, order: int = 3, folds: int = 5, held_out: int = 1) -> DataFrame:
-    """Scores of every row under a model of those outside the held-out fold."""
+def held_out_scores(docs: DataFrame, order: int = 3, folds: int = 5, held_out: int = 1, **fitting) -> DataFrame:
+    """Scores of every row under a model of those outside the held-out fold; fitting: parameters of fit."""
     out = fold("doc_id", folds) == held_out
-    model = fit(docs.filter(~out), order=order)
+    model = fit(docs.filter(~out), order=order, **fitting)
     return score(docs, model).withColumns({"held_out": out, "train_tokens": F.lit(model.train_tokens).cast("long")}).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

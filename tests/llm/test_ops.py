@@ -300,17 +300,27 @@ def kneser_ney(train, order):
     return score, plain
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model(spark, docs, texts, order):
+@pytest.mark.parametrize(("order", "often"), [(1, 9), (2, 1 << 18), (3, 1 << 18), (3, 20), (4, 5)])
+def test_language_model(spark, docs, texts, order, often):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     score, plain = kneser_ney([t for i, t in texts if not held(i)], order)
     total, types = sum(plain.values()), len(plain)
     want = sorted((str(i), held(i), len(words(t)) + 1, round(score(t), 6), round(sum(math.log10((plain[w] + 0.5) / (total + 0.5 * (types + 1))) for w in [*words(t), None]), 6)) for i, t in texts)
-    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in ngram_lm.held_out_scores(docs, order=order).collect())
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in ngram_lm.held_out_scores(docs, order=order, often=often).collect())
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert all(math.isclose(a, b, abs_tol=1e-4) for g, w in zip(got, want, strict=True) for a, b in zip(g[3:], w[3:], strict=True))
 
 
+def test_counts_beyond_a_byte():
+    rng = np.random.default_rng(5)
+    h = np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64))
+    h = np.concatenate([h, h[:3] ^ np.uint64(1 << 32)])  # with the same 32 lower bits
+    counts = rng.choice([1, 2, 254, 255, 300, 2**40], len(h))
+    arrays = ngram_lm._by_key(h, [counts], counts == 1)
+    (got,) = ngram_lm._looked_up(arrays, np.concatenate([h, h[:9] + np.uint64(1)]), 1)
+    assert got[: len(h)].tolist() == counts.tolist() and not got[len(h) :].any()
+
+
 def test_registered_language_model_has_two_word_contexts(spark):
     from tarnlake.llm.queries import QUERIES
 
