@@ -5,8 +5,8 @@ them, writes its arrays and sends on the next lower order, whose counts are the
 whole in one bucket and few n-grams of the lower order are counted in two; where these words are frequent, from the context, and where all of that is frequent, from the whole n-gram. In
 the last case the context's sums are added up over buckets. No frequent word makes a bucket larger than others.
 
-A bucket's arrays are one file in the shared folder: n-grams and their counts, contexts with total and how many of their continuations have count 1, 2 and more, both sorted by 40 bits of a
-hash, which with the bucket's own makes one look-up in a million find what isn't there. Workers map files into memory, so that the model is neither sent through the driver nor held by any
+A bucket's arrays are one file in the shared folder: n-grams and their counts, contexts with total and how many of their continuations have count 1, 2 and more, both sorted by hash. Of a
+hash 24 bits are stored, others say where to look, so that about one look-up in a million finds what isn't there. Workers map files into memory, so that the model is neither sent through the driver nor held by any
 process. A slice's look-ups are sorted first, so that each file is read in order. The folder has to be mounted where tasks run; a worker that doesn't see the model's mark in it raises.
 
 p_k(w | u) = max(c(uw) - D(c(uw)), 0) / c(u.) + (D1 N1(u.) + D2 N2(u.) + D3 N3+(u.)) / c(u.) * p_{k-1}(w | u'), down to 1 / (V + 1) below unigrams;
@@ -33,8 +33,8 @@ from tarnlake.llm.arrays import grouped, hash_runs, hashed_words, slices, table_
 from tarnlake.llm.staging import new_path, parts, staged, text_bytes
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5E6546B64)
-#: N-grams that a task gathers before it sums and sends them.
-GATHERED = 1 << 20
+#: Words that a task gathers before it sums and sends them.
+GATHERED = 1 << 21
 #: Bytes of text whose look-ups are sorted together.
 SCORED_BYTES = 1 << 20
 MARK = "complete"
@@ -96,16 +96,28 @@ PACKED = "bucket int, kind int, data binary, numbers array<long>"
 SPLIT, TOTAL = 100, 200
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of equal weight together, which compresses better."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _of_planes(data: bytes, at: int, n: int, size: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(f"<u{size}").reshape(n)
+
+
 def _least_type(a: np.ndarray) -> np.ndarray:
     top = int(a.max()) if len(a) else 0
     return a.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * int(t[2])))
 
 
 def pack(rows: np.ndarray, counts: np.ndarray) -> tuple[bytes, list[int]]:
-    """n-grams as numbers of their distinct words, sorted and compressed, and what it takes to read them."""
+    """n-grams as numbers of their distinct words, the most frequent ones first, sorted and compressed, and what it takes to read them."""
     width = rows.shape[1]
-    words, code = np.unique(rows, return_inverse=True)
-    code = code.reshape(rows.shape)
+    words, code, n = np.unique(rows, return_inverse=True, return_counts=True)
+    rank = np.lexsort((words, -n))
+    to = np.empty(len(rank), np.int64)
+    to[rank] = np.arange(len(rank))
+    code, words = to[code.reshape(rows.shape)], words[rank]
     if len(words) ** width < 1 << 62:
         key = np.zeros(len(rows), np.int64)
         for j in [*range(1, width - 1), 0, *[width - 1] * (width > 1)]:
@@ -113,16 +125,16 @@ def pack(rows: np.ndarray, counts: np.ndarray) -> tuple[bytes, list[int]]:
         order = np.argsort(key)
         code, counts = code[order], counts[order]
     code, counts = _least_type(code), _least_type(counts)
-    data = words.tobytes() + np.ascontiguousarray(code.T).tobytes() + counts.tobytes()
+    data = _planes(np.diff(words, prepend=np.uint64(0))) + b"".join(_planes(np.ascontiguousarray(code[:, j])) for j in range(width)) + _planes(counts)
     return pa.compress(data, "zstd", asbytes=True), [len(rows), len(words), code.itemsize, counts.itemsize, len(data)]
 
 
 def unpack(data: bytes, numbers: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
     n, words, code, count, size = numbers
     data = pa.decompress(data, size, "zstd", asbytes=True)
-    own = np.frombuffer(data, "<u8", words)
-    codes = np.frombuffer(data, f"<u{code}", n * width, 8 * words).reshape(width, n)
-    return own[codes.T], np.frombuffer(data, f"<u{count}", n, 8 * words + n * width * code).astype(np.int64)
+    own = np.cumsum(_of_planes(data, 0, words, 8))
+    rows = np.stack([own[_of_planes(data, 8 * words + j * n * code, n, code)] for j in range(width)], axis=1)
+    return rows, _of_planes(data, 8 * words + width * n * code, n, count).astype(np.int64)
 
 
 def _deal(rows: np.ndarray, counts: np.ndarray, frequent: np.ndarray, buckets: int) -> list[tuple]:
@@ -135,26 +147,32 @@ def _deal(rows: np.ndarray, counts: np.ndarray, frequent: np.ndarray, buckets: i
 
 def _count(batches: Iterator[pa.RecordBatch], order: int, frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """n-grams of whole texts; a text's n-grams end at each of its words and its end."""
-    held: list[np.ndarray] = []
+    held: list[np.ndarray] = []  # words, then begin marks after the last one
 
     def close() -> Iterator[pa.RecordBatch]:
-        if held:
-            rows = np.concatenate(held)
-            held.clear()
-            yield from table_of(_deal(*_sum(rows, np.ones(len(rows), np.int64)), frequent, buckets), _packed).to_batches()
+        tokens = np.concatenate(held)
+        held.clear()
+        # an n-gram begins wherever its last word isn't a begin mark
+        starts = np.flatnonzero(tokens[order - 1 :] != BEGIN)
+        h = hash_runs([tokens[j : len(tokens) - order + 1 + j] for j in range(order)])[starts]
+        by = np.argsort(h)
+        new = _firsts(h[by])
+        starts, counts = starts[by[new]], np.diff(np.concatenate([new, [len(by)]]))
+        del h, by
+        yield from table_of(_deal(np.stack([tokens[starts + j] for j in range(order)], axis=1), counts, frequent, buckets), _packed).to_batches()
 
     for batch in batches:
         for _, _, data, offsets in slices(batch.column(0)):
-            tokens, at = _tokens(data, offsets, order - 1)
-            inside = np.ones(len(tokens), dtype=bool)  # where an n-gram begins
-            for j in range(order - 1):
-                inside[at[1:] - 1 - j] = False
-            starts = np.flatnonzero(inside)
-            for a in range(0, len(starts), GATHERED):
-                held.append(np.stack([tokens[starts[a : a + GATHERED] + j] for j in range(order)], axis=1))
-                if sum(map(len, held)) >= GATHERED:
-                    yield from close()
-    yield from close()
+            tokens, _ = _tokens(data, offsets, order - 1)
+            while len(tokens):
+                room = GATHERED - sum(map(len, held))
+                held.append(tokens[:room])
+                if len(tokens) < room:
+                    break
+                yield from close()
+                tokens = tokens[room - order + 1 :] if len(tokens) > room else tokens[:0]
+    if held:
+        yield from close()
 
 
 def _local(path: str) -> str:
@@ -187,55 +205,79 @@ def _load(path: str, n: int) -> list[np.ndarray] | None:
     return out
 
 
+#: Bits of a key that are stored; those above say where to look.
+STORED = 24
+
+
+def _slots(n: int) -> int:
+    """Bits of a key that pick one of about n / 8 places."""
+    return max(0, n.bit_length() - 4)
+
+
+def _sorted_keys(h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Order of the keys, and where each place begins and the stored bits in this order."""
+    bits = _slots(len(h))
+    key = h & np.uint64((1 << (bits + STORED)) - 1)
+    order = np.argsort(key)
+    key = key[order]
+    begin = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(STORED))
+    return order, [begin.astype("<u4"), (key & np.uint64(0xFFFF)).astype("<u2"), ((key >> np.uint64(16)) & np.uint64(0xFF)).astype("<u1")]
+
+
 def _by_key(h: np.ndarray, columns: list[np.ndarray], plain: np.ndarray) -> list[np.ndarray]:
-    """Sorted arrays: 40 bits of the hash of rows that are all ones (plain); 40 bits and columns of the others, in bytes, and where these don't do, the row and whole numbers."""
-    low, high = (h & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h >> np.uint64(32)) & np.uint64(0xFF)).astype("<u1")
-    out = []
-    for which in (plain, ~plain):
-        order = np.flatnonzero(which)
-        order = order[np.lexsort((high[order], low[order]))]
-        out += [low[order], high[order]]
+    """Sorted arrays: keys of rows that are all ones (plain); keys and columns of the others, in bytes, and where these don't do, the row and whole numbers."""
+    ones, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+    _, out = _sorted_keys(h[ones])
+    order, keys = _sorted_keys(h[others])
+    order = others[order]
     large = np.flatnonzero(np.logical_or.reduce([c[order] > 254 for c in columns]))
-    return [*out, *(np.minimum(c[order], 255).astype("<u1") for c in columns), large.astype("<u4"), *(c[order[large]].astype("<u8") for c in columns)]
+    return [*out, *keys, *(np.minimum(c[order], 255).astype("<u1") for c in columns), large.astype("<u4"), *(c[order[large]].astype("<u8") for c in columns)]
 
 
-def _found(low: np.ndarray, high: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Where each hash is in sorted arrays, or -1."""
-    a, b = (h & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h >> np.uint64(32)) & np.uint64(0xFF)).astype("<u1")
-    at = np.searchsorted(low, a)
-    out = np.full(len(h), -1, dtype=np.int64)
-    left = np.arange(len(h))
+def _found(begin: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash is in sorted keys, or -1; a binary search in its place."""
+    key = h & np.uint64((1 << (_slots(len(low)) + STORED)) - 1)
+    slot, key = (key >> np.uint64(STORED)).astype(np.int64), (key & np.uint64((1 << STORED) - 1)).astype(np.int64)
+    a, end = begin[slot].astype(np.int64), begin[slot + 1].astype(np.int64)
+    b = end.copy()
+    left = np.flatnonzero(a < b)
     while len(left):
-        left = left[at[left] < len(low)]
-        left = left[low[at[left]] == a[left]]
-        hit = high[at[left]] == b[left]
-        out[left[hit]] = at[left[hit]]
-        left = left[~hit]
-        at[left] += 1
+        x, y = a[left], b[left]
+        mid = (x + y) >> 1
+        less = (low[mid] | high[mid].astype(np.int64) << 16) < key[left]
+        a[left], b[left] = np.where(less, mid + 1, x), np.where(less, y, mid)
+        left = left[a[left] < b[left]]
+    out = np.full(len(h), -1, dtype=np.int64)
+    left = np.flatnonzero(a < end)
+    at = a[left]
+    hit = (low[at] | high[at].astype(np.int64) << 16) == key[left]
+    out[left[hit]] = at[hit]
     return out
 
 
 def _looked_up(arrays: list[np.ndarray], h: np.ndarray, n: int) -> list[np.ndarray]:
     """The n columns of each hash, 0 where it isn't there."""
     out = [np.zeros(len(h), dtype=np.int64) for _ in range(n)]
-    plain, other = _found(arrays[0], arrays[1], h), _found(arrays[2], arrays[3], h)
+    other = _found(*arrays[3:6], h)
+    missing = np.flatnonzero(other < 0)
+    plain = missing[_found(*arrays[:3], h[missing]) >= 0]
     hit = other >= 0
-    large = arrays[4 + n]
+    large = arrays[6 + n]
     for j, c in enumerate(out):
-        c[plain >= 0] = j in _ONES[n]
-        c[hit] = arrays[4 + j][other[hit]]
+        c[plain] = j in _ONES[n]
+        c[hit] = arrays[6 + j][other[hit]]
     if len(large):
         at = np.searchsorted(large, other)
         at[at == len(large)] = 0
         hit &= large[at] == other
         for j, c in enumerate(out):
-            c[hit] = arrays[5 + n + j][at[hit]]
+            c[hit] = arrays[7 + n + j][at[hit]]
     return out
 
 
 #: Which columns of a plain row are 1: an n-gram's count; a context's total, continuations of count 1 and all continuations.
 _ONES = {1: (0,), 4: (0, 1, 3)}
-_N_ARRAYS = {1: 7, 4: 13}
+_N_ARRAYS = {1: 9, 4: 15}
 
 
 def _ngrams(order: int, folder: str, frequent: np.ndarray, buckets: int, table: pa.Table) -> pa.Table:
@@ -365,23 +407,22 @@ class Files:
             if arrays is None:
                 continue
             for o, (h, first, n) in zip(out, wanted, strict=True):
-                unique, back = np.unique(h[own], return_inverse=True)
-                for c, found in zip(o, _looked_up(arrays[first : first + _N_ARRAYS[n]], unique, n), strict=True):
-                    c[own] = found[back]
+                for c, found in zip(o, _looked_up(arrays[first : first + _N_ARRAYS[n]], h[own], n), strict=True):
+                    c[own] = found
         return out
 
     def plain(self, words: np.ndarray) -> np.ndarray:
         rows = words.reshape(-1, 1)
-        return self.find("plain", places(rows, self.frequent, self.model.buckets)[0], [(ngram_hash(rows), 0, 1)], 7)[0][0]
+        return self.find("plain", places(rows, self.frequent, self.model.buckets)[0], [(ngram_hash(rows), 0, 1)], 9)[0][0]
 
     def ngrams(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """Count; total, ones, twos and all of the context."""
         width, context = rows.shape[1], ngram_hash(rows[:, :-1])
         bucket, split = places(rows, self.frequent, self.model.buckets)
-        (c,), sums = self.find(f"{width}", bucket, [(ngram_hash(rows), 0, 1), (context, 7, 4)], 20)
+        (c,), sums = self.find(f"{width}", bucket, [(ngram_hash(rows), 0, 1), (context, 9, 4)], 24)
         if split.any():
             to = (((context[split] >> np.uint64(32)) * np.uint64(self.model.buckets)) >> np.uint64(32)).astype(np.int64)
-            for own, found in zip(sums, self.find(f"{width}split", to, [(context[split], 0, 4)], 13)[0], strict=True):
+            for own, found in zip(sums, self.find(f"{width}split", to, [(context[split], 0, 4)], 15)[0], strict=True):
                 own[split] = found
         return c, *sums
 
