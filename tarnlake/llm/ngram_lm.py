@@ -36,7 +36,7 @@ BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5E6546B64)
 #: Words that a task gathers before it sums and sends them.
 GATHERED = 1 << 21
 #: Bytes of text whose look-ups are sorted together.
-SCORED_BYTES = 1 << 20
+SCORED_BYTES = 1 << 21
 MARK = "complete"
 
 
@@ -77,17 +77,23 @@ def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
+def context_keys(contexts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each context is dealt by, and whether it is split over buckets instead. frequent: sorted words, the begin mark among them."""
+    often = [_is_in(contexts[:, j], frequent) for j in range(contexts.shape[1])]
+    key = ngram_hash(contexts)
+    if len(often) > 1:
+        key = np.where(np.logical_and.reduce(often[1:]), key, ngram_hash(contexts[:, 1:]))
+    return key, np.logical_and.reduce([np.ones(len(contexts), bool), *often])
+
+
+def _range_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def places(rows: np.ndarray, frequent: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each n-gram's bucket, and whether its context is split over buckets. frequent: sorted words, the begin mark among them."""
-    width = rows.shape[1]
-    often = [_is_in(rows[:, j], frequent) for j in range(width - 1)]
-    split = np.logical_and.reduce([np.ones(len(rows), bool), *often])
-    key = ngram_hash(rows)
-    if width > 1:
-        key = np.where(split, key, ngram_hash(rows[:, :-1]))
-    if width > 2:
-        key = np.where(np.logical_and.reduce(often[1:]), key, ngram_hash(rows[:, 1:-1]))
-    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64), split
+    """Each n-gram's bucket, and whether its context is split over buckets."""
+    key, split = context_keys(rows[:, :-1], frequent)
+    return _range_of(np.where(split, ngram_hash(rows), key), buckets), split
 
 
 _packed = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("numbers", pa.list_(pa.int64()))])
@@ -300,7 +306,7 @@ def _ngrams(order: int, folder: str, frequent: np.ndarray, buckets: int, table:
         sums = [np.add.reduceat(x[by], new) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), np.ones_like(counts))]
         own, whole = context[by[new]], ~split[by[new]]
         _save(f"{folder}/{order}/{bucket:08d}", _by_key(ngram_hash(rows), [counts], counts == 1) + _by_key(own[whole], [x[whole] for x in sums], sums[0][whole] == 1))
-        to = (((own >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        to = _range_of(own, buckets)
         for i in np.flatnonzero(~whole).tolist():
             out.append((int(to[i]), SPLIT + order, own[i].tobytes(), [int(x[i]) for x in sums]))
         if order > 1:
@@ -358,14 +364,14 @@ def fit(texts: DataFrame, text_column: str = "text", order: int = 3, bucket_byte
     texts = texts.select(F.col(text_column).cast("string"))
     buckets = parts(text_bytes(texts, text_column), bucket_bytes)
     none = np.array([BEGIN])
-    plain = texts.mapInArrow(lambda it: _count(it, 1, none, buckets), PACKED).groupBy("bucket").applyInArrow(grouped(_plain, folder, often), "tokens long, types long, words array<long>, counts array<long>")
+    plain = texts.mapInArrow(lambda it: _count(it, 1, none, buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(grouped(_plain, folder, often), "tokens long, types long, words array<long>, counts array<long>")
     plain = staged(plain, "words")
     tokens, types = plain.agg(F.sum("tokens"), F.sum("types")).first()
     found = plain.select(F.inline(F.arrays_zip("words", "counts"))).orderBy(F.desc("counts"), "words").limit(most_frequent).collect()
     frequent = np.unique(np.array([int(BEGIN), *(r[0] % (1 << 64) for r in found)], np.uint64))
     counted = texts.mapInArrow(lambda it: _count(it, order, frequent, buckets), PACKED)
     for width in range(order, 0, -1):
-        counted = counted.groupBy("bucket").applyInArrow(grouped(_ngrams, width, folder, frequent, buckets), PACKED)
+        counted = counted.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(grouped(_ngrams, width, folder, frequent, buckets), PACKED)
     counted = staged(counted, "ngram-totals")
     sums = [F.sum(F.col("numbers")[j]).alias(f"n{j}") for j in range(4)]
     n_of = {r["kind"] - TOTAL: [r[f"n{j}"] for j in range(4)] for r in counted.filter(F.col("kind") >= TOTAL).groupBy("kind").agg(*sums).collect()}
@@ -396,35 +402,38 @@ class Files:
             self.open[name] = _load(f"{self.model.folder}/{name}", n)
         return self.open[name]
 
-    def find(self, folder: str, bucket: np.ndarray, wanted: list[tuple[np.ndarray, int, int]], n_arrays: int) -> list[list[np.ndarray]]:
-        """For each (hashes, first array, columns) of wanted the columns of each row, 0 where it isn't there."""
-        out = [[np.zeros(len(bucket), dtype=np.int64) for _ in range(n)] for _, _, n in wanted]
+    def _find(self, folder: str, bucket: np.ndarray, h: np.ndarray, first: int, n: int, n_arrays: int) -> list[np.ndarray]:
+        """n columns of each hash, 0 where it isn't there; first: which array of the file they begin with."""
+        out = [np.zeros(len(h), dtype=np.int64) for _ in range(n)]
+        if not len(h):
+            return out
         order = np.argsort(bucket, kind="stable")
         cut = _firsts(bucket[order])
         for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
             own = order[a:b]
             arrays = self.part(f"{folder}/{bucket[own[0]]:08d}", n_arrays)
-            if arrays is None:
-                continue
-            for o, (h, first, n) in zip(out, wanted, strict=True):
-                for c, found in zip(o, _looked_up(arrays[first : first + _N_ARRAYS[n]], h[own], n), strict=True):
+            if arrays is not None:
+                for c, found in zip(out, _looked_up(arrays[first : first + _N_ARRAYS[n]], h[own], n), strict=True):
                     c[own] = found
         return out
 
     def plain(self, words: np.ndarray) -> np.ndarray:
         rows = words.reshape(-1, 1)
-        return self.find("plain", places(rows, self.frequent, self.model.buckets)[0], [(ngram_hash(rows), 0, 1)], 9)[0][0]
-
-    def ngrams(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Count; total, ones, twos and all of the context."""
-        width, context = rows.shape[1], ngram_hash(rows[:, :-1])
-        bucket, split = places(rows, self.frequent, self.model.buckets)
-        (c,), sums = self.find(f"{width}", bucket, [(ngram_hash(rows), 0, 1), (context, 9, 4)], 24)
-        if split.any():
-            to = (((context[split] >> np.uint64(32)) * np.uint64(self.model.buckets)) >> np.uint64(32)).astype(np.int64)
-            for own, found in zip(sums, self.find(f"{width}split", to, [(context[split], 0, 4)], 15)[0], strict=True):
-                own[split] = found
-        return c, *sums
+        return self._find("plain", places(rows, self.frequent, self.model.buckets)[0], ngram_hash(rows), 0, 1, 9)[0]
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        return self._find(f"{rows.shape[1]}", places(rows, self.frequent, self.model.buckets)[0], ngram_hash(rows), 0, 1, 24)[0]
+
+    def contexts(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Total, ones, twos and all of each context."""
+        width, h = rows.shape[1] + 1, ngram_hash(rows)
+        key, split = context_keys(rows, self.frequent)
+        out = [np.zeros(len(rows), dtype=np.int64) for _ in range(4)]
+        for which, key, folder, first, n_arrays in ((~split, key, f"{width}", 9, 24), (split, h, f"{width}split", 0, 15)):
+            own = np.flatnonzero(which)
+            for c, found in zip(out, self._find(folder, _range_of(key[own], self.model.buckets), h[own], first, 4, n_arrays), strict=True):
+                c[own] = found
+        return out
 
 
 _models: dict[str, Files] = {}
@@ -437,21 +446,31 @@ def _files(model: NgramModel) -> Files:
     return _models[model.folder]
 
 
-def log10_probabilities(model: NgramModel, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each token that isn't a begin mark, in order; tokens: with order - 1 begin marks before each text."""
+def log10_probabilities(model: NgramModel, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log10 probability and the plain count of each token that isn't a begin mark, in order; tokens: with order - 1 begin marks before each text.
+
+    Each distinct n-gram of the tokens is looked up once."""
     files, n = _files(model), model.order
     inside = np.ones(len(tokens), dtype=bool)
     for j in range(n - 1):
         inside[at[:-1] + j] = False
     ends = np.flatnonzero(inside)
+    words, code = np.unique(tokens, return_inverse=True)
     p = np.full(len(ends), 1 / (model.types + 1))
+    grams, rows = np.zeros(len(tokens), np.int64), np.zeros((1, 0), np.uint64)  # number of the (width - 1)-gram that ends at each token; these n-grams
     for width in range(1, n + 1):
         d = np.array([0.0, *model.discounts[width - 1]])
-        c, total, ones, twos, every = files.ngrams(np.stack([tokens[ends - width + 1 + j] for j in range(width)], axis=1))
-        left = d[1] * ones + d[2] * twos + d[3] * (every - ones - twos)
-        own = np.maximum(c - d[np.minimum(c, 3)], 0)
-        p = np.where(total > 0, (own + left * p) / np.maximum(total, 1), p)
-    return np.log10(p)
+        total, ones, twos, every = files.contexts(rows)
+        left, before = d[1] * ones + d[2] * twos + d[3] * (every - ones - twos), np.maximum(ends - 1, 0)
+        context = grams[before] if width > 1 else np.zeros(len(ends), np.int64)
+        key = code.astype(np.int64)
+        key[1:] += grams[:-1] * len(words)
+        _, first, own = np.unique(key, return_index=True, return_inverse=True)
+        rows, grams = np.stack([tokens[np.maximum(first - width + 1 + j, 0)] for j in range(width)], axis=1), own
+        c = files.counts(rows)
+        own = np.maximum(c - d[np.minimum(c, 3)], 0)[grams[ends]]
+        p = np.where(total[context] > 0, (own + left[context] * p) / np.maximum(total[context], 1), p)
+    return np.log10(p), files.plain(words)[code[ends]]
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -462,12 +481,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: NgramModel) -> Iterator[pa.
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(1), SCORED_BYTES):
             tokens, at = _tokens(data, offsets, model.order - 1)
-            logs = log10_probabilities(model, tokens, at)
+            logs, c = log10_probabilities(model, tokens, at)
             begin = at - (model.order - 1) * np.arange(len(at))  # in the tokens without begin marks
-            own = np.ones(len(tokens), dtype=bool)
-            for j in range(model.order - 1):
-                own[at[:-1] + j] = False
-            c = _files(model).plain(tokens[own])
             base = np.log10((c + 0.5) / (model.train_tokens + 0.5 * (model.types + 1)))
             sums = [np.add.reduceat(x, begin[:-1]) for x in ((c > 0).astype(np.int64), base, logs)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(begin)), *map(pa.array, sums)], schema=_scores)
