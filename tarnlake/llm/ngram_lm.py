@@ -34,7 +34,7 @@ from tarnlake.llm.staging import new_path, parts, staged, text_bytes
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5E6546B64)
 #: Words that a task gathers before it sums and sends them.
-GATHERED = 1 << 21
+GATHERED = 3 << 19
 #: Bytes of text whose look-ups are sorted together.
 SCORED_BYTES = 1 << 21
 MARK = "complete"
@@ -264,9 +264,10 @@ def _found(begin: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray)
 def _looked_up(arrays: list[np.ndarray], h: np.ndarray, n: int) -> list[np.ndarray]:
     """The n columns of each hash, 0 where it isn't there."""
     out = [np.zeros(len(h), dtype=np.int64) for _ in range(n)]
-    other = _found(*arrays[3:6], h)
-    missing = np.flatnonzero(other < 0)
-    plain = missing[_found(*arrays[:3], h[missing]) >= 0]
+    plain = _found(*arrays[:3], h) >= 0
+    missing = np.flatnonzero(~plain)
+    other = np.full(len(h), -1, dtype=np.int64)
+    other[missing] = _found(*arrays[3:6], h[missing])
     hit = other >= 0
     large = arrays[6 + n]
     for j, c in enumerate(out):
@@ -355,7 +356,7 @@ def _plain(folder: str, often: int, table: pa.Table) -> pa.Table:
 _words = pa.schema([("tokens", pa.int64()), ("types", pa.int64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
-def fit(texts: DataFrame, text_column: str = "text", order: int = 3, bucket_bytes: int = 16 << 20, often: int = 1 << 18, most_frequent: int = 1 << 16) -> NgramModel:
+def fit(texts: DataFrame, text_column: str = "text", order: int = 3, bucket_bytes: int = 12 << 20, often: int = 1 << 18, most_frequent: int = 1 << 16) -> NgramModel:
     """Counts every text and writes the model to the shared folder. Only sums of a few numbers come to the driver.
 
     Words of `often` occurrences or more don't make a bucket alone, the `most_frequent` most frequent ones of these at most."""
@@ -478,14 +479,17 @@ _scores = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: NgramModel) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, offsets in slices(batch.column(1), SCORED_BYTES):
-            tokens, at = _tokens(data, offsets, model.order - 1)
-            logs, c = log10_probabilities(model, tokens, at)
-            begin = at - (model.order - 1) * np.arange(len(at))  # in the tokens without begin marks
-            base = np.log10((c + 0.5) / (model.train_tokens + 0.5 * (model.types + 1)))
-            sums = [np.add.reduceat(x, begin[:-1]) for x in ((c > 0).astype(np.int64), base, logs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(begin)), *map(pa.array, sums)], schema=_scores)
+    try:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(1), SCORED_BYTES):
+                tokens, at = _tokens(data, offsets, model.order - 1)
+                logs, c = log10_probabilities(model, tokens, at)
+                begin = at - (model.order - 1) * np.arange(len(at))  # in the tokens without begin marks
+                base = np.log10((c + 0.5) / (model.train_tokens + 0.5 * (model.types + 1)))
+                sums = [np.add.reduceat(x, begin[:-1]) for x in ((c > 0).astype(np.int64), base, logs)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(begin)), *map(pa.array, sums)], schema=_scores)
+    finally:
+        _models.clear()  # a worker that lives on keeps no files mapped
 
 
 def score(docs: DataFrame, model: NgramModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
