@@ -221,6 +221,30 @@ def test_local_search_empties_bins():
     assert flat(out) == flat(start) and all(sum(p) <= 10 for p in out) and sum(out.values()) < sum(start.values())
 
 
+def test_local_search_makes_the_packing():
+    """From bins of one length each, the search comes as near to the least number of sequences as best-fit decreasing, or nearer."""
+    flat = lambda c: {x: sum(n * p.count(x) for p, n in c.items()) for x in range(1, 2049)}
+    rng = random.Random(4)
+    for low, high, n in ((1, 2048, 3000), (400, 900, 3000), (5, 400, 3000)):
+        counts = Counter(rng.randint(low, high) for _ in range(n))
+        start = packing.alike_patterns(counts, 2048)
+        out = packing.packed(counts, 2048)
+        best, least = sum(packing.best_fit_patterns(counts, 2048).values()), -(-sum(x * k for x, k in counts.items()) // 2048)
+        assert flat(out) == flat(start) and all(sum(p) <= 2048 for p in out)
+        assert least <= sum(out.values()) <= 1.01 * best + 1 and sum(out.values()) < 0.95 * sum(start.values())
+
+
+def test_pieces_meet_the_plan_in_blocks_of_ranks(spark):
+    rows = [(i, 0, n) for i, n in enumerate([7] * 9000 + [13] * 5000 + [20] * 10 + [11])]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), capacity=20).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == len(rows) and Counter(r.length for r in got) == Counter(n for *_, n in rows)
+    assert all(sorted(p)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(p), sorted(p)[1:])) and sum(n for _, n in p) <= 20 for p in by.values())
+    assert len(by) <= 5000 + 10 + 1 + 2000
+
+
 def test_local_search_reaches_all_bins():
     start = Counter({(6, 2): 2000, (5,): 1000, (4, 3): 1000, (3,): 2000})
     out = packing.improve(start, 10)
