@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.arrays import hash_words, slices, word_spans
-from tarnlake.llm.staging import staged
+from tarnlake.llm.staging import quoted, staged, unused
 
 MOST_LABELS = 20_000
 
@@ -74,7 +74,7 @@ def with_statistics(docs: DataFrame, text_column: str = "text", name: str = "__s
     """The kept columns of docs (all of them, if None) and a struct of the text's statistics."""
     keep = docs.columns if keep is None else keep
     fields = ", ".join(f"{s}: double" for s in STATISTICS)
-    shape = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast(f"struct<{fields}>").alias(name)).schema
+    shape = docs.select(*[F.col(quoted(c)) for c in keep], F.lit(None).cast(f"struct<{fields}>").alias(name)).schema
     at = docs.columns.index(text_column)
     kept = [docs.columns.index(c) for c in keep]
 
@@ -85,7 +85,7 @@ def with_statistics(docs: DataFrame, text_column: str = "text", name: str = "__s
                 struct = pa.StructArray.from_arrays([pa.array(found[:, j]) for j in range(len(STATISTICS))], list(STATISTICS))
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, b - a) for j in kept), struct], names=[*keep, name])
 
-    return docs.mapInArrow(run, shape)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, shape)
 
 
 Rule = tuple[tuple[str, str, float], ...]
@@ -176,4 +176,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out:
 def good_documents(docs: DataFrame, labels: DataFrame, at_least: float = 0.7, folds: int = 4, held_out: int = 2) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with the same columns."""
     model = fit_rules(docs, labels.filter(fold("doc_id", folds) != held_out))
-    return with_statistics(docs).filter(model.score("__statistics") >= at_least).drop("__statistics")
+    name = unused(docs, "statistics")
+    return with_statistics(docs, name=name).filter(model.score(name) >= at_least).drop(name)

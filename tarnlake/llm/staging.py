@@ -47,21 +47,34 @@ def parts(total: int, each: int, least: int = 8) -> int:
     return max(least, math.ceil(total / each))
 
 
+def quoted(name: str) -> str:
+    """A column's name as one name, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it no column of df, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def rows_that_stay(docs: DataFrame, keys: dict[str, Column], rows: DataFrame) -> DataFrame:
     """docs without the rows whose keys have no row of `rows` that stays; of several rows with the keys of one that stays, just one.
 
     keys: expressions over docs; rows: a row for each row of docs that takes part, with columns named alike and `stays`. Nulls are equal to each other, so ids may repeat or be null."""
     names = list(keys)
     of_key = rows.groupBy(*names).agg(F.max(F.col("stays").cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
-    of_key = staged(of_key.filter("stays = 0 or n > 1").select(*[F.col(k).alias(f"_to_{k}") for k in names], "stays"), "not-staying")
-    keyed = docs.withColumns({f"_{k}": c for k, c in keys.items()})
-    same = [F.col(f"_{k}").eqNullSafe(F.col(f"_to_{k}")) for k in names]
-    out = keyed.join(of_key.drop("stays"), same, "left_anti").select(*docs.columns)
+    of_key = staged(of_key.filter("stays = 0 or n > 1").select(*[F.col(k).alias(f"to_{nth}") for nth, k in enumerate(names)], "stays"), "not-staying")
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(f"key_{nth}") for nth, c in enumerate(keys.values())])
+    same = [F.col(f"key_{nth}").eqNullSafe(F.col(f"to_{nth}")) for nth in range(len(names))]
+    out = whole.join(of_key.drop("stays"), same, "left_anti").select("row.*")
     repeated = of_key.filter("stays = 1").drop("stays")
     if repeated.isEmpty():
         return out
-    again = keyed.join(repeated, same, "left_semi").groupBy(*[f"_{k}" for k in names]).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return out.unionByName(again.select("_row.*"))
+    again = whole.join(repeated, same, "left_semi").groupBy(*[f"key_{nth}" for nth in range(len(names))]).agg(F.min("row").alias("row"))
+    return out.unionByName(again.select("row.*"))
 
 
 @atexit.register

@@ -518,6 +518,55 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 == decontaminate.contaminated(df, bench.limit(0)).count()
 
 
+def test_multi_index_gives_all_within_the_radius():
+    rng = np.random.default_rng(3)
+    items, windows = rng.integers(0, 2**63, 150, dtype=np.uint64), rng.integers(0, 2**63, 400, dtype=np.uint64)
+    for i in range(150):  # some windows at each distance
+        flips = rng.choice(64, rng.integers(0, 30), replace=False)
+        windows[i] = items[i] ^ np.uint64(sum(1 << int(b) for b in flips))
+    got = set(zip(*(x.tolist() for x in decontaminate.MultiIndex(items).within(windows)), strict=True))
+    assert got == {(w, i) for w in range(400) for i in range(150) if (int(windows[w]) ^ int(items[i])).bit_count() <= decontaminate.RADIUS}
+
+
+def test_fingerprints_find_what_all_windows_have():
+    """Recall on all documents of a table: candidates of the multi-index against every window."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    from tarnlake.llm.arrays import slices
+
+    read = lambda t: pq.read_table(f"/root/testdata/sf0.01/{t}.parquet")
+    items = decontaminate.Items(read("benchmark")["item_id"].to_pylist(), [t.lower() for t in read("benchmark")["text"].to_pylist()], 5)
+    lower = pc.utf8_lower(read("documents")["text"])
+
+    class Every:
+        def __init__(self, n):
+            self.n = n
+
+        def within(self, prints):
+            return np.tile(np.arange(len(prints)), self.n), np.repeat(np.arange(self.n), len(prints))
+
+    found = [[(a + r, i) for a, _, data, offsets in slices(lower) for r, i, *_ in items.matches(*decontaminate.plain_words(data, offsets), 0.8)] for items.by_length in (items.by_length, {n: (own, Every(len(own))) for n, (own, _) in items.by_length.items()})]
+    assert found[0] and sorted(found[0]) == sorted(found[1])
+
+
+def test_columns_with_odd_names(spark):
+    """Dots, underscores and names that the stages might use inside keep their columns."""
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a, 1, "x", "l", "s"), (1, a, 1, "x", "l", "s"), (2, a + " ", 2, "y", None, "s"), (3, b, 3, None, "l", None), (4, None, 4, "z", "l", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, __lower string, lower string, statistics string")
+    bench = spark.createDataFrame([(1, b)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    as_rows = lambda df: Counter(map(tuple, df.collect()))
+    assert as_rows(exact_dedup.drop_exact_duplicates(docs)) == Counter([rows[2], rows[3], rows[4]])
+    assert as_rows(near_dedup.one_of_each_group(docs)) == Counter([rows[0], rows[3], rows[4]])
+    assert as_rows(decontaminate.without_contamination(docs, bench)) == Counter(rows[:3] + rows[4:])
+    assert as_rows(quality.good_documents(docs, labels)) == Counter(rows)
+    for stage in (exact_dedup.drop_exact_duplicates, near_dedup.one_of_each_group, lambda d: decontaminate.without_contamination(d, bench), lambda d: quality.good_documents(d, labels)):
+        assert stage(docs.limit(0)).collect() == [] and stage(docs).columns == docs.columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
     from tarnlake.llm.queries import tokenizer_path
