@@ -46,7 +46,7 @@ class PieceTokenizer:
     added_tokens: tokens that the file adds, such as the end of a text, are one id where they occur in a text, as in the library's default setting; else they are text."""
 
     #: Words that are remembered; then the memory starts anew.
-    MOST = 600_000
+    MOST = 300_000
 
     def __init__(self, path: str, added_tokens: bool = False) -> None:
         import tiktoken
