@@ -54,20 +54,20 @@ def stem(path: Column) -> Column:
 
 
 def tidy_name(name: Column, upper: dict[str, str] | None = None) -> Column:
-    """Words between underscores without other signs; known abbreviations in capitals, mixed case kept, others with a capital."""
+    """Words between underscores without other signs; known abbreviations in capitals, words with a capital after their first sign kept, others with a capital in front."""
     upper = ABBREVIATIONS if upper is None else upper
     known = F.create_map(*[F.lit(x) for pair in upper.items() for x in pair])
 
     def word(w: Column) -> Column:
         w = F.regexp_replace(w, "[^A-Za-z0-9]", "")
-        mixed = w.rlike("[a-z]") & F.substring(w, 2, 1000).rlike("[A-Z]")
-        return F.coalesce(known[F.lower(w)], F.when(mixed, w), F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))))
+        kept = F.substr(w, F.lit(2)).rlike("[A-Z]")
+        return F.coalesce(known[F.lower(w)], F.when(kept, w), F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
 
     return F.array_join(F.filter(F.transform(F.split(name, "_"), word), lambda w: w != ""), "_")
 
 
 # Abbreviations that feature names write in capitals.
-ABBREVIATIONS = {"glcm": "GLCM", "glrlm": "GLRLM", "glszm": "GLSZM", "gldm": "GLDM", "ngtdm": "NGTDM", "lbp": "LBP", "roi": "ROI", "ct": "CT", "mri": "MRI", "pet": "PET", "3d": "3D", "2d": "2D"}
+ABBREVIATIONS = {"glcm": "GLCM", "gldm": "GLDM", "glrlm": "GLRLM", "glszm": "GLSZM", "ngtdm": "NGTDM", "id": "ID", "idn": "IDN", "idm": "IDM", "ids": "IDS"}
 
 
 def safe_filename(name: Column, replacement: str = "_", most: int = 255) -> Column:

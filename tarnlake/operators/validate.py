@@ -64,11 +64,11 @@ def marker_lists(df: DataFrame, cell_type: str = "cell_type", markers: str = "ma
     return df.select(cell_type, listed.alias("marker_list")).withColumn("no_markers", F.size("marker_list") == 0)
 
 
-def sequencing_quality(df: DataFrame, sample: str, total: str, mapped: str, genes: str, least_rate: float = 0.7, least_genes: int = 500) -> DataFrame:
-    """sample, the counts, mapping_rate (null without reads) and qc_issue: of several issues the last in the order low genes, low rate, no reads."""
-    rate = F.when(number(total) > 0, over(number(mapped), number(total)))
-    issue = F.when(F.coalesce(number(total), F.lit(0.0)) <= 0, "no_reads").when(rate < least_rate, "low_mapping_rate").when(number(genes) < least_genes, "low_detected_genes").otherwise("ok")
-    return df.select(sample, number(total).alias("total"), number(mapped).alias("mapped"), number(genes).alias("genes"), rate.alias("mapping_rate"), issue.alias("qc_issue"))
+def sequencing_quality(df: DataFrame, sample: str, total: str, mapped: str, genes: str) -> DataFrame:
+    """sample, the counts, mapping_rate (null without reads) and qc_issue: more reads mapped than there are, else no reads, else empty."""
+    reads, own = number(total), number(mapped)
+    issue = F.when(own > reads, "mapped reads exceed total reads").when(reads <= 0, "non-positive total reads").otherwise("")
+    return df.select(sample, reads.alias("total"), own.alias("mapped"), number(genes).alias("genes"), F.when(reads > 0, over(own, reads)).alias("mapping_rate"), issue.alias("qc_issue"))
 
 
 def stage_size_conflicts(df: DataFrame, stage: str = "t_stage", diameter: str = "tumor_diameter_cm", small_most: float = 2.0, large_least: float = 4.0) -> DataFrame:

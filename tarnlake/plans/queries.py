@@ -140,7 +140,7 @@ def validate_readings(spark: SparkSession, d: str) -> DataFrame:
     return validate.reading_problems(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_suppkey", "l_quantity")
 
 
-@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE c_custkey IS NULL OR c_nationkey IS NULL OR c_mktsegment IS NULL) AS missing_values, CAST(0 AS BIGINT) AS repeated_keys FROM customer")
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE c_custkey IS NULL OR c_nationkey IS NULL OR c_mktsegment IS NULL) AS missing_values, (SELECT count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys FROM customer")
 def validate_treatment(spark: SparkSession, d: str) -> DataFrame:
     return validate.treatment_problems(table(spark, d, "customer"), "c_custkey", "c_nationkey", "c_mktsegment")
 
@@ -166,13 +166,13 @@ def marker_config(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT l_suppkey, count(*) AS total, count(*) FILTER (WHERE l_returnflag <> 'R') AS mapped, count(DISTINCT l_partkey) AS genes FROM lineitem GROUP BY 1)
-    SELECT l_suppkey, CAST(total AS DOUBLE) AS total, CAST(mapped AS DOUBLE) AS mapped, CAST(genes AS DOUBLE) AS genes, round(mapped / total, 6) AS mapping_rate,
-           CASE WHEN total <= 0 THEN 'no_reads' WHEN mapped / total < 0.66 THEN 'low_mapping_rate' WHEN genes < 500 THEN 'low_detected_genes' ELSE 'ok' END AS qc_issue FROM s
+    WITH s AS (SELECT l_suppkey, l_linenumber, count(*) FILTER (WHERE l_returnflag = 'R') AS total, count(*) FILTER (WHERE l_linestatus = 'F' AND l_discount > 0.02) AS mapped, count(DISTINCT l_partkey) AS genes FROM lineitem GROUP BY 1, 2)
+    SELECT l_suppkey || '-' || l_linenumber AS sample, CAST(total AS DOUBLE) AS total, CAST(mapped AS DOUBLE) AS mapped, CAST(genes AS DOUBLE) AS genes, CASE WHEN total > 0 THEN round(mapped / total, 6) END AS mapping_rate,
+           CASE WHEN mapped > total THEN 'mapped reads exceed total reads' WHEN total <= 0 THEN 'non-positive total reads' ELSE '' END AS qc_issue FROM s
 """)
 def seq_qc(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("l_returnflag") != "R").alias("mapped"), F.countDistinct("l_partkey").alias("genes"))
-    return rounded(validate.sequencing_quality(s, "l_suppkey", "total", "mapped", "genes", least_rate=0.66), "mapping_rate")
+    s = table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count_if(F.col("l_returnflag") == "R").alias("total"), F.count_if((F.col("l_linestatus") == "F") & (F.col("l_discount") > 0.02)).alias("mapped"), F.countDistinct("l_partkey").alias("genes"))
+    return rounded(validate.sequencing_quality(s.withColumn("sample", F.concat_ws("-", "l_suppkey", "l_linenumber")), "sample", "total", "mapped", "genes"), "mapping_rate")
 
 
 @query("""
@@ -254,14 +254,17 @@ _LINE_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} + 0.0 AS v FROM l
     WITH u AS ({_LINE_LONG}), m AS (SELECT feature, avg(v) AS m FROM u GROUP BY 1),
          k AS (SELECT feature, avg(power(v - m, 2)) AS m2, avg(power(v - m, 3)) AS m3, avg(power(v - m, 4)) AS m4 FROM u JOIN m USING (feature) GROUP BY 1)
     SELECT feature, count(v) AS n, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, round(min(v), 5) AS min, round(quantile_cont(v, 0.25), 5) AS q25, round(median(v), 5) AS median, round(quantile_cont(v, 0.75), 5) AS q75, round(max(v), 5) AS max,
-           round(any_value(m3 / power(m2, 1.5)), 5) AS skewness, round(any_value(m4 / (m2 * m2) - 3), 5) AS kurtosis, CAST(0 AS DOUBLE) AS missing_rate FROM u JOIN k USING (feature) GROUP BY feature
+           round(any_value(m3 / power(m2, 1.5)), 5) AS skewness, round(any_value(m4 / (m2 * m2) - 3), 5) AS kurtosis, round(avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0 END), 5) AS missing_rate FROM u JOIN k USING (feature) GROUP BY feature
 """)
 def feature_stats(spark: SparkSession, d: str) -> DataFrame:
     out = statistics.feature_statistics(table(spark, d, "lineitem"), _LINE_FEATURES)
     return rounded(out, *[c for c in out.columns if c not in ("feature", "n")], digits=5)
 
 
-@query("SELECT 'flat' AS feature, CAST(0 AS DOUBLE) AS std, count(*) AS n FROM part")
+@query("""
+    WITH u AS (SELECT 'flat' AS feature, 3.0 AS v FROM part UNION ALL SELECT 'p_size', p_size FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part)
+    SELECT feature, CAST(stddev_pop(v) AS DOUBLE) AS std, count(v) AS n FROM u GROUP BY 1 HAVING stddev_pop(v) = 0
+""")
 def constant_features(spark: SparkSession, d: str) -> DataFrame:
     return statistics.constant_features(table(spark, d, "part").withColumn("flat", F.lit(3)), ["flat", "p_size", "p_retailprice"])
 
@@ -468,14 +471,23 @@ def ranks_by_group(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- columns and files
 
 
-@query()
+@query("""
+    WITH w AS (SELECT p_partkey, list_transform(string_split(lower(p_name) || '_glcm_Idn_' || p_brand || '_' || replace(p_type, ' ', '-'), '_'), lambda x: regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) AS words FROM part)
+    SELECT p_partkey, array_to_string(list_transform(list_filter(words, lambda x: x <> ''), lambda x: CASE WHEN lower(x) IN ('glcm', 'gldm', 'glrlm', 'glszm', 'ngtdm', 'id', 'idn', 'idm', 'ids') THEN upper(x)
+        WHEN regexp_matches(substr(x, 2), '[A-Z]') THEN x ELSE upper(substr(x, 1, 1)) || lower(substr(x, 2)) END), '_') AS name FROM w
+""")
 def feature_names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", C.tidy_name(F.concat_ws("_", F.lower("p_name"), F.lit("glcm"), F.replace("p_type", F.lit(" "), F.lit("-")))).alias("name"))
+    raw = F.concat_ws("_", F.lower("p_name"), F.lit("glcm"), F.lit("Idn"), F.col("p_brand"), F.replace("p_type", F.lit(" "), F.lit("-")))
+    return table(spark, d, "part").select("p_partkey", C.tidy_name(raw).alias("name"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(url, ':', '_'), '/', '_'), '?', '_'), '*', '_') AS name FROM pages WHERE length(url) <= 255")
+@query("""
+    WITH n AS (SELECT page_id, replace(replace(replace(replace(url, ':', '_'), '/', '_'), '?', '_'), '*', '_') || repeat('x', page_id % 400) || '.html' AS name FROM pages)
+    SELECT page_id, CASE WHEN length(name) > 255 THEN left(name, 250) || '.html' ELSE name END AS name FROM n
+""")
 def safe_names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").filter(F.length("url") <= 255).select("page_id", C.safe_filename(F.col("url")).alias("name"))
+    raw = F.concat("url", F.repeat(F.lit("x"), (F.col("page_id") % 400).cast("int")), F.lit(".html"))
+    return table(spark, d, "pages").select("page_id", C.safe_filename(raw).alias("name"))
 
 
 @query("SELECT c_custkey, round((least(greatest(c_acctbal, -1000), 3000) + 1000) / 4000, 8) AS unit, round((least(greatest(c_acctbal, -1000), 3000) + 1000) / 4000 * 4000 - 1000, 4) AS back FROM customer")
