@@ -29,6 +29,11 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     A row for each pair: pair_id, chosen_conv, rejected_conv, n_common (turns), prompt, chosen, rejected (completions), chosen_mask, rejected_mask (arrays of [from, to))."""
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit(True).alias("is_chosen"), F.col("chosen").alias("conv_id")), F.struct(F.lit(False).alias("is_chosen"), F.col("rejected").alias("conv_id")))).alias("side")).select("pair_id", "side.*")
     own = turns.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).join(sides, "conv_id")
+    return formatted(own)
+
+
+def formatted(own: DataFrame) -> DataFrame:
+    """preference_pairs of sides given as turns: pair_id, is_chosen, conv_id, turn, role, text, without null roles and texts."""
     in_order = Window.partitionBy("pair_id", "is_chosen").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     placed = own.withColumn("place", F.row_number().over(in_order))
     # a place is common if both sides have it with the same turn; the prefix ends at the first that isn't
@@ -68,11 +73,32 @@ def neighbouring_pairs(turns: DataFrame) -> DataFrame:
     return both.filter("n = 2").select("pair_id", "chosen", "rejected")
 
 
+def branches(turns: DataFrame) -> DataFrame:
+    """Sides of a pair for each conversation with two assistant turns or more, which share all turns before the last one of these: chosen goes on with it, rejected with the conversation's first assistant turn, an answer to something else."""
+    own = turns.filter("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")))
+    whole, said = Window.partitionBy("conv_id"), F.when(F.col("role") == LEARNT_ROLE, F.col("place"))
+    own = own.withColumns({"first": F.min(said).over(whole), "last": F.max(said).over(whole)}).filter("last > first and place <= last")
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_chosen"), F.col("place").alias("turn")),
+        F.when(F.col("place") < F.col("last"), F.struct(F.lit(False).alias("is_chosen"), F.col("place").alias("turn"))),
+        F.when(F.col("place") == F.col("first"), F.struct(F.lit(False).alias("is_chosen"), F.col("last").alias("turn"))),
+    )
+    return own.select(F.col("conv_id").alias("pair_id"), "conv_id", "role", "text", F.inline(F.filter(sides, lambda x: x.isNotNull())))
+
+
+def branch_preferences(turns: DataFrame) -> DataFrame:
+    """Formatted pairs of each conversation's own branches; masks as text, from:to joined by commas. An empty table gives an empty result."""
+    return _with_listed_masks(formatted(branches(turns)))
+
+
 def preferences(turns: DataFrame) -> DataFrame:
     """preference_pairs of neighbouring conversations; masks as text, from:to joined by commas."""
+    return _with_listed_masks(preference_pairs(turns, neighbouring_pairs(turns)))
+
 
+def _with_listed_masks(found: DataFrame) -> DataFrame:
     def listed(c: str) -> Column:
         return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[0].cast("string"), x[1].cast("string"))), ",")
 
-    found = preference_pairs(turns, neighbouring_pairs(turns))
     return found.withColumns({c: listed(c) for c in ("chosen_mask", "rejected_mask")})

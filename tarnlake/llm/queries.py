@@ -42,7 +42,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preferences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.branch_preferences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,30 +66,27 @@ ORACLE_SQL = {
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS place
             FROM conversations WHERE conv_id IS NOT NULL
         ), s AS (
-            SELECT conv_id, coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS said FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
-        ), p AS (
-            SELECT x.conv_id // 2 AS pair_id, CASE WHEN y.said > x.said THEN y.conv_id ELSE x.conv_id END AS c, CASE WHEN y.said > x.said THEN x.conv_id ELSE y.conv_id END AS r
-            FROM s x JOIN s y ON x.conv_id % 2 = 0 AND y.conv_id = x.conv_id + 1
+            SELECT conv_id, min(place) AS early, max(place) AS late FROM t WHERE role = 'assistant' GROUP BY 1 HAVING max(place) > min(place)
+        ), o AS (
+            SELECT conv_id AS pair_id, true AS is_chosen, place, role, text FROM t JOIN s USING (conv_id) WHERE place <= late
+            UNION ALL SELECT conv_id, false, place, role, text FROM t JOIN s USING (conv_id) WHERE place < late
+            UNION ALL SELECT conv_id, false, late, role, text FROM t JOIN s USING (conv_id) WHERE place = early
         ), n AS (
-            SELECT p.pair_id, coalesce(min(place) FILTER (WHERE differs) - 1, max(place)) AS n_common FROM p JOIN (
-                SELECT p.pair_id, coalesce(a.place, b.place) AS place, a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text AS differs
-                FROM p JOIN t a ON a.conv_id = p.c LEFT JOIN t b ON b.conv_id = p.r AND b.place = a.place
-                UNION ALL
-                SELECT p.pair_id, b.place, true FROM p JOIN t b ON b.conv_id = p.r WHERE NOT EXISTS (SELECT 1 FROM t a WHERE a.conv_id = p.c AND a.place = b.place)
-            ) q USING (pair_id) GROUP BY 1
+            SELECT c.pair_id, coalesce(min(c.place) FILTER (WHERE c.role <> r.role OR c.text <> r.text) - 1, max(c.place)) AS n_common
+            FROM o c JOIN o r ON c.pair_id = r.pair_id AND c.place = r.place AND c.is_chosen AND NOT r.is_chosen GROUP BY 1
         ), l AS (
-            SELECT pair_id, n_common, conv_id = c AS is_chosen, place, role, '<|' || role || chr(124) || '>' || chr(10) || text || '<|end|>' || chr(10) AS line, length(text) AS chars
-            FROM p JOIN n USING (pair_id) JOIN t ON t.conv_id IN (p.c, p.r)
+            SELECT pair_id, n_common, is_chosen, place, role, '<|' || role || chr(124) || '>' || chr(10) || text || '<|end|>' || chr(10) AS line, length(text) AS chars
+            FROM o JOIN n USING (pair_id)
         ), e AS (
             SELECT *, sum(length(line)) OVER (PARTITION BY pair_id, is_chosen, place <= n_common ORDER BY place) AS stop FROM l
         )
-        SELECT pair_id, p.c AS chosen_conv, p.r AS rejected_conv, CAST(n_common AS BIGINT) AS n_common,
+        SELECT pair_id, pair_id AS chosen_conv, pair_id AS rejected_conv, CAST(n_common AS BIGINT) AS n_common,
                coalesce(string_agg(line, '' ORDER BY place) FILTER (WHERE is_chosen AND place <= n_common), '') AS prompt,
                coalesce(string_agg(line, '' ORDER BY place) FILTER (WHERE is_chosen AND place > n_common), '') AS chosen,
                coalesce(string_agg(line, '' ORDER BY place) FILTER (WHERE NOT is_chosen AND place > n_common), '') AS rejected,
                coalesce(string_agg(CAST(stop - chars - 8 AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY place) FILTER (WHERE is_chosen AND place > n_common AND role = 'assistant'), '') AS chosen_mask,
                coalesce(string_agg(CAST(stop - chars - 8 AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY place) FILTER (WHERE NOT is_chosen AND place > n_common AND role = 'assistant'), '') AS rejected_mask
-        FROM e JOIN p USING (pair_id) GROUP BY pair_id, p.c, p.r, n_common
+        FROM e GROUP BY pair_id, n_common
     """,
     "op1_exact_dedup": r"""
         WITH d AS (

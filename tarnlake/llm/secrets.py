@@ -1,16 +1,19 @@
 """Secret scans: fixed patterns, and assignment-aware lexing on top of them.
 
 The lexer reads whatever assignment syntax a text holds, source or configuration: `name = literal`, `name: literal`, `"name": "literal"`,
-`name => literal`, `name := literal`, with an optional declaration word or type before the name, quoted literals with escapes, `+` joins of literals and names,
+`name => literal`, `name := literal`, `table["name"] = literal`, `<name>literal</name>`, with an optional declaration word or type before the name, quoted literals with escapes, `+` joins of literals and names,
 and bare values up to white space. Names bind to constants in text order, so that `a = "..."; password = a` finds the literal where it stands.
 Each literal that reaches a name is scored by how sensitive the name is and how secret the literal looks; one at or over the threshold becomes a span.
 
-Spans are code points, end exclusive. Every text is scanned whole. Null or empty texts have no spans; the work is per row, so that no key or group of copies matters.
+Spans are code points, end exclusive. Every text is scanned whole. Null or empty texts have no spans; the work is per row, so that no key or group of copies matters. Repeated rows
+are scanned each; an empty table gives an empty result. Spans with one start are in the order of their kinds. Names are whole, however long. Comments are lexed like other text, and a name is bound
+by the last assignment before its use, whatever its scope.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -45,11 +48,12 @@ NAME_DISCOUNTS = {"count": 0.5, "length": 0.6, "limit": 0.6, "type": 0.5, "name"
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|none|null|true|false|changeme|example|password|secret|your[_-].*|todo|redacted)$")
 
 _assignment = re.compile(
-    r"""(?P<q>["'`]?)(?P<name>[A-Za-z_$][\w$.-]{0,127})(?P=q)"""  # a bare or quoted name
-    r"""(?:[ \t]*:[ \t]*[A-Za-z_][\w.\[\]<>]{0,63}(?=[ \t]*=[^=]))?"""  # its type
+    r"""(?P<q>["'`]?)(?<![\w$.])(?<![\w$.]-)(?P<name>[A-Za-z_$][\w$.-]*+)(?P=q)\]?"""  # a bare or quoted name, whole; also as a subscript
+    r"""(?:[ \t]*:[ \t]*[A-Za-z_][\w.\[\]<>]*+(?=[ \t]*=[^=]))?"""  # its type
     r"""[ \t]*(?:=>|:=|=(?![=>~])|:(?![:/]))[ \t]*""",
     re.ASCII,
 )
+_element = re.compile(r"<([A-Za-z_][\w.:-]*+)>([^<>]*+)</\1[ \t]*>", re.ASCII)
 _string = re.compile(r"""[bBrRuUfF]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`)""")
 _identifier = re.compile(r"[A-Za-z_$][\w$.]*", re.ASCII)
 _bare = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
@@ -109,9 +113,17 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
         at = where if found and found[-1][0] < m.end() + 1 and text[m.end() : m.end() + 1] in "\"'`" else m.end()
 
 
+def elements(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """(name, literals) of each element that holds just text, `<name>literal</name>`, without white space at its ends."""
+    for m in _element.finditer(text):
+        if value := m.group(2).strip():
+            start = m.start(2) + m.group(2).index(value)
+            yield m.group(1), [(start, start + len(value), value)]
+
+
 def lexed_spans(text: str, threshold: float) -> list[tuple[int, int]]:
     best: dict[tuple[int, int], float] = {}
-    for name, literals in assignments(text):
+    for name, literals in itertools.chain(assignments(text), elements(text)):
         if sensitive := name_score(name):
             whole = literal_score("".join(v for _, _, v in literals))
             for start, end, _ in literals:
@@ -144,7 +156,7 @@ def _scan(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = text.as_py() or ""
             base = base_spans(text)
-            lexed = [(a, 3, b) for a, b in lexed_spans(text, threshold)] if _assign_hint.search(text) else []
+            lexed = [(a, 3, b) for a, b in lexed_spans(text, threshold)] if _assign_hint.search(text) or "</" in text else []
             counts = Counter(kind for _, kind, _ in base)
             out.append((ident, counts[0], counts[1], counts[2], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(sorted(base + lexed)), len(lexed)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _schema, strict=True)] if out else [pa.array([], t.type) for t in _schema], schema=_schema)
