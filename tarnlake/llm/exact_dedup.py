@@ -159,7 +159,7 @@ def _grace(batches: Iterator[pa.RecordBatch], table_bytes: int, fanout: int) ->
                 continue
             entry, _ = table.place(_key(bytes.fromhex(r[1][:16])), r[2])
             held.append((entry, (*r[:2], table.contents[entry], *r[3:])))
-            if table.bytes > table_bytes and level < 12:
+            if table.bytes > table_bytes and len(table.contents) > 1 and level < 60:
                 for _, h in held:
                     _spill(h, level, files, prefix)
                 table, held = ContentTable(), []

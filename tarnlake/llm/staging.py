@@ -15,9 +15,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a new temporary folder, which is then set."""
+    """The folder in spark.checkpoint.dir; only where that is unset and Spark is local, as in tests, a new temporary folder, which is then set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
