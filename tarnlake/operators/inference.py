@@ -2,59 +2,111 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions.columns import long_form, number, over
 
-#: Replicates that bootstrap weights are drawn for at once.
-DRAWS = 50
-
-
-def _weighted_auc(rows: DataFrame, score: str) -> DataFrame:
-    """(replicate, auc) of rows (replicate, y, w, score); equal scores are one row before any window, and windows are per replicate."""
-    at = rows.groupBy("replicate", F.col(score).alias("s")).agg(F.sum(F.when(F.col("y") == 1, F.col("w"))).alias("p"), F.sum(F.when(F.col("y") != 1, F.col("w"))).alias("q")).fillna(0.0, ["p", "q"])
-    below = F.sum("q").over(Window.partitionBy("replicate").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    at = at.withColumn("below", F.coalesce(below, F.lit(0.0)))
-    return at.groupBy("replicate").agg(over(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
-
-
-def _replicates(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Rows times replicates with Poisson(1) weights from a hash of key and replicate: the bootstrap for tables too large to draw from by index, the same on every run. Replicate -1 has the rows themselves."""
-    steps = [float(c) for c in np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(8)])]
-    draw = F.pmod(F.xxhash64(key, "replicate", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= draw)).cast("double")
-    out = df.withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
-    return out.withColumn("w", F.when(F.col("replicate") < 0, 1.0).otherwise(weight)).filter("w > 0")
-
-
-def bootstrap_auc(df: DataFrame, key: str, label: str, score: str, n: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+#: Chances that a Poisson number of mean 1 is at most 0, 1, ...
+STEPS = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(12)])
+#: Weights that a task holds at once.
+CELLS = 1 << 20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of unsigned 64-bit numbers."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _weights(h: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Rows x (n + 1): ones, then n Poisson(1) weights from a hash of row and replicate: the bootstrap for tables too large to draw from by index, the same on every run."""
+    replicate = _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    draw = (_mixed(h[:, None] + replicate) >> np.uint64(11)) * 2.0**-53
+    return np.concatenate([np.ones((len(h), 1)), np.searchsorted(STEPS, draw, side="right")], axis=1)
+
+
+_sums = pa.schema([("score", pa.float64()), ("inside", pa.int32()), *[(c, pa.list_(pa.float64())) for c in ("numerator", "cases", "controls")]])
+
+
+def _rank_sums(batches: Iterator[pa.RecordBatch], n: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (score, y, h) in order of score, up to three rows of sums over all replicates: the smallest score's, the largest one's, and, marked as inside, those of the scores between them,
+    with the weighted pairs among these. Only the sums and a slice of rows are held."""
+    ends: list[tuple] = []
+    inside, some = np.zeros((3, n + 1)), False
+    last = None  # the largest score so far, its cases and controls
+    for batch in batches:
+        for at in range(0, batch.num_rows, step := max(1, CELLS // (n + 1))):
+            s, y, h = (batch.column(i).slice(at, step).to_numpy(zero_copy_only=False) for i in range(3))
+            w = _weights(h.view(np.uint64), n, seed)
+            new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            case = (y == 1)[:, None]
+            p, q, s = np.add.reduceat(w * case, new), np.add.reduceat(w * ~case, new), s[new]
+            if last is not None and last[0] == s[0]:
+                p[0] += last[1]
+                q[0] += last[2]
+            elif last is not None:
+                s, p, q = np.append(last[0], s), np.vstack([last[1], p]), np.vstack([last[2], q])
+            last = s[-1], p[-1], q[-1]
+            whole = slice(0, -1)
+            if not ends and len(s) > 1:
+                ends.append((s[0], p[0], q[0]))
+                whole = slice(1, -1)
+            p, q = p[whole], q[whole]
+            if len(p):
+                below = inside[2] + np.cumsum(q, axis=0) - q
+                inside += [(p * (below + q / 2)).sum(axis=0), p.sum(axis=0), q.sum(axis=0)]
+                some = True
+    if last is not None:
+        rows = [(s, 0, np.zeros(n + 1), p, q) for s, p, q in [*ends, last]]
+        if some:
+            rows.append((ends[0][0], 1, *inside))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _sums, strict=True)], schema=_sums)
+
+
+def _replicate_aucs(rows: DataFrame, key: str, score: str, n: int, seed: int) -> DataFrame:
+    """(replicate, auc) of rows (key, y, score); replicate -1 has the rows themselves.
+
+    Rows are dealt to ranges of score and row hash, so that a score which many rows share is in several tasks, and are read once for all replicates. What is
+    left is three rows a range; each adds the controls of the ranges before it."""
+    dealt = rows.select(F.col(score).cast("double").alias("score"), F.col("y").cast("double"), F.xxhash64(key).alias("h")).repartitionByRange("score", "h").sortWithinPartitions("score")
+    sums = dealt.mapInArrow(lambda it: _rank_sums(it, n, seed), "score double, inside int, numerator array<double>, cases array<double>, controls array<double>")
+    each = sums.select("score", "inside", F.posexplode(F.arrays_zip("numerator", "cases", "controls")).alias("at", "x"))
+    at = each.groupBy((F.col("at") - 1).alias("replicate"), "score", "inside").agg(F.sum("x.numerator").alias("numerator"), F.sum("x.cases").alias("p"), F.sum("x.controls").alias("q"))
+    below = F.coalesce(F.sum("q").over(Window.partitionBy("replicate").orderBy("score", "inside").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    own = F.when(F.col("inside") == 1, F.col("numerator")).otherwise(F.col("p") * F.col("q") / 2)
+    return at.withColumns({"below": below, "own": own}).groupBy("replicate").agg(over(F.sum(F.col("p") * F.col("below") + F.col("own")), F.sum("p") * F.sum("q")).alias("auc"))
+
+
+def bootstrap_auc(df: DataFrame, key: str, label: str, score: str, n: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """One row: auc, low, high, n_replicates. One-class replicates have no value and don't count."""
     rows = df.select(key, number(label).alias("y"), number(score).alias("score")).dropna()
-    found = _weighted_auc(_replicates(rows, key, n, seed), "score")
+    found = _replicate_aucs(rows, key, "score", n, seed)
     tail = (1 - confidence) / 2
     drawn = F.when(F.col("replicate") >= 0, F.col("auc"))
     return found.agg(F.max(F.when(F.col("replicate") < 0, F.col("auc"))).alias("auc"), F.percentile(drawn, F.lit(tail)).alias("low"), F.percentile(drawn, F.lit(1 - tail)).alias("high"), F.count(drawn).alias("n_replicates"))
 
 
-def compared_models(df: DataFrame, key: str, label: str, scores: list[str], n: int = 200, seed: int = 42) -> DataFrame:
+def compared_models(df: DataFrame, key: str, label: str, scores: list[str], n: int = 2000, seed: int = 42) -> DataFrame:
     """Each pair of models on the same replicates: difference of AUC, its 95 % interval and a two-sided sign p."""
     rows = df.select(key, number(label).alias("y"), *[number(s).alias(s) for s in scores]).dropna()
-    drawn = _replicates(rows, key, n, seed)
     wide = None
     for s in scores:
-        one = _weighted_auc(drawn, s).withColumnRenamed("auc", f"auc_{s}")
+        one = _replicate_aucs(rows, key, s, n, seed).withColumnRenamed("auc", f"auc_{s}")
         wide = one if wide is None else wide.join(one, "replicate")
-    out = None
+    pairs = []
     for a, b in combinations(scores, 2):
         d = F.col(f"auc_{a}") - F.col(f"auc_{b}")
         boot = F.when(F.col("replicate") >= 0, d)
-        one = wide.agg(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.max(F.when(F.col("replicate") < 0, d)).alias("difference"), F.percentile(boot, F.lit(0.025)).alias("low"), F.percentile(boot, F.lit(0.975)).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((boot <= 0).cast("double")), F.avg((boot >= 0).cast("double")))).alias("p_value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        p = F.least(F.lit(1.0), 2 * F.least(F.avg((boot <= 0).cast("double")), F.avg((boot >= 0).cast("double"))))
+        pairs.append(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.max(F.when(F.col("replicate") < 0, d)).alias("difference"), F.percentile(boot, F.lit(0.025)).alias("low"), F.percentile(boot, F.lit(0.975)).alias("high"), p.alias("p_value")))
+    return wide.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
 
 
 def time_dependent_auc(df: DataFrame, duration: str, event: str, risk: str, times: list[float]) -> DataFrame:

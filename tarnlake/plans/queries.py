@@ -688,13 +688,13 @@ def propensity_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
     rows = _survival_rows(spark, d)
-    return inference.bootstrap_auc(rows, "o_orderkey", "event", "o_totalprice", n=50)
+    return inference.bootstrap_auc(rows, "o_orderkey", "event", "o_totalprice")
 
 
 @query()
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     rows = _scored(spark, d).withColumn("other", F.length(F.col("doc_id").cast("string")) / 10 - F.col("score"))
-    return inference.compared_models(rows, "doc_id", "quality", ["score", "other"], n=50)
+    return inference.compared_models(rows, "doc_id", "quality", ["score", "other"])
 
 
 @query(_SURVIVAL + """

@@ -71,6 +71,30 @@ def test_nifti_round_trip(spark, tmp_path):
     assert {r["suffix"]: r["n_failed"] for r in images.batch_report(images.read_volumes(spark, str(tmp_path))).collect()} == {".nii.gz": 0, ".nii": 1, None: 1}
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_replicates_are_weighted_aucs(spark, monkeypatch, partitions):
+    """Ties, also of a third of the rows over several tasks, null scores, and slices of a few rows, against all pairs."""
+    monkeypatch.setattr(inference, "CELLS", 60)
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.random() < 0.4), None if i % 50 == 0 else 0.5 if i % 3 == 0 else float(rng.integers(0, 40)) / 40) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, y double, s double").dropna()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["replicate"]: r["auc"] for r in inference._replicate_aucs(df, "id", "s", 9, 42).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    own = df.select("y", "s", F.xxhash64("id").alias("h")).toPandas()
+    w, y, s = inference._weights(own["h"].to_numpy().view(np.uint64), 9, 42), own["y"].to_numpy(), own["s"].to_numpy()
+    assert sorted(got) == list(range(-1, 9)) and 0.8 < w[:, 1:].mean() < 1.2
+    better = (s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0])
+    for j in range(10):
+        p, q = w[y == 1, j], w[y == 0, j]
+        assert abs(got[j - 1] - p @ better @ q / (p.sum() * q.sum())) < 1e-9
+    assert inference.bootstrap_auc(df.filter("y = 1"), "id", "y", "s", n=3).first()["n_replicates"] == 0
+    assert inference.bootstrap_auc(df.filter("id < 0"), "id", "y", "s", n=3).first()["auc"] is None
+
+
 def test_bootstrap_and_harmonisation(spark):
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 300)
