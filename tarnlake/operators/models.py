@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.columns import long_form, number, over
 
+#: Differences of coordinates that a task holds at once.
+CELLS = 1 << 24
+
 
 def anova_f(df: DataFrame, group: str, features: list[str]) -> DataFrame:
     """Per feature: F of a one-way analysis of variance over the groups, with its degrees of freedom. Sums are per group, so rows are read once."""
@@ -53,11 +56,12 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: st
                     continue
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 there = np.array(batch.column(1).to_pylist(), dtype=float)
-                for at in range(0, len(names), 1000):
-                    d = np.sqrt(((points[at : at + 1000, None, :] - there[None, :, :]) ** 2).sum(axis=2))
-                    d[names[at : at + 1000, None] == ids[None, :]] = np.inf
+                step = max(1, CELLS // max(1, there.size))
+                for at in range(0, len(names), step):
+                    d = np.sqrt(((points[at : at + step, None, :] - there[None, :, :]) ** 2).sum(axis=2))
+                    d[names[at : at + step, None] == ids[None, :]] = np.inf
                     best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                    q = np.repeat(names[at : at + 1000], best.shape[1])
+                    q = np.repeat(names[at : at + step], best.shape[1])
                     found = np.take_along_axis(d, best, axis=1).ravel()
                     keep = np.isfinite(found)
                     yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(ids[best.ravel()][keep]), pa.array(found[keep])], names=["query", "neighbour", "distance"])
