@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as C
-from tarnlake.functions.ordered import with_ranks
-from tarnlake.operators import fusion, inference, kernels, models, reports, statistics, survival, validate, voxels
+from tarnlake.functions.ordered import order_statistics, with_ranks
+from tarnlake.operators import clustering, folds, fusion, inference, information, kernels, models, nested, reports, selector, statistics, survival, validate, voxels
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -644,11 +644,134 @@ def kmeans_habitat(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def nested_cv(spark: SparkSession, d: str) -> DataFrame:
+def grouped_cv(spark: SparkSession, d: str) -> DataFrame:
     rows = _images(spark, d).select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *[F.col("embedding")[i].alias(f"f{i}") for i in range(8)])
     return models.cross_validated(rows, "y", "vec_id", [f"f{i}" for i in range(8)], keep=5)
 
 
+_ALL = [f"f{i}" for i in range(64)]
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return _images(spark, d).select("vec_id", "label", (F.col("label") < 5).cast("int").alias("y"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_ALL)])
+
+
+def _nested(spark: SparkSession, d: str) -> nested.NestedResult:
+    return nested.nested_cross_validated(_labelled(spark, d), "y", "vec_id", _ALL, outer=4, inner=3, n_features=12)
+
+
+@query()
+def nested_cv(spark: SparkSession, d: str) -> DataFrame:
+    return _nested(spark, d).predictions
+
+
+@query()
+def nested_cv_report(spark: SparkSession, d: str) -> DataFrame:
+    return _nested(spark, d).folds
+
+
+_PLACE = "CAST('0x' || substr(md5({seed} || ':' || subject), 1, 13) AS BIGINT)"
+_DEALT = "WITH s AS (SELECT c_custkey AS subject, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS label FROM customer), f AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY " + _PLACE.format(seed="'42'") + ") - 1) % 5 + 1 AS INTEGER) AS fold FROM s)"
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_mktsegment") == "BUILDING").cast("int").alias("building"))
+    return folds.subjects_of(rows, "c_custkey", "building")
+
+
+@query(_DEALT + " SELECT subject, label, fold FROM f")
+def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
+    return folds.stratified_folds(_subjects(spark, d), 5)
+
+
+@query(_DEALT + ", o AS (SELECT f.*, n.o AS outer_fold FROM f, (SELECT unnest(range(1, 6)) AS o) n), i AS (SELECT subject, outer_fold, CAST((row_number() OVER (PARTITION BY outer_fold, label ORDER BY " + _PLACE.format(seed="CAST(42 + outer_fold AS VARCHAR)") + ") - 1) % 4 AS INTEGER) AS inner_fold FROM o WHERE fold <> outer_fold)"
+       " SELECT subject, CAST(outer_fold AS INTEGER) AS outer_fold, coalesce(inner_fold, -1) AS inner_fold FROM o LEFT JOIN i USING (subject, outer_fold)")
+def nested_folds(spark: SparkSession, d: str) -> DataFrame:
+    return folds.inner_fold_table(folds.nested_folds(_subjects(spark, d), 5, 4)).select("subject", F.col("outer").alias("outer_fold"), F.col("inner").alias("inner_fold"))
+
+
+_LONG = "WITH u AS (SELECT vec_id, label, CAST(label < 5 AS INTEGER) AS y, 'f' || (i - 1) AS feature, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i))"
+
+
+@query(_LONG + """
+    , c AS (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) > 1), p AS (SELECT u.* FROM u JOIN c USING (label)), z AS (SELECT label, count(*) AS of_class, least(3, count(*) - 1) AS k FROM embeddings GROUP BY 1 HAVING count(*) > 1),
+    g AS (SELECT a.vec_id, a.feature, a.v, a.label, abs(b.v - a.v) AS d, row_number() OVER (PARTITION BY a.vec_id, a.feature ORDER BY abs(b.v - a.v)) AS place FROM p a JOIN p b ON a.feature = b.feature AND a.label = b.label AND a.vec_id <> b.vec_id),
+    r AS (SELECT vec_id, feature, v, of_class, k, d AS r FROM g JOIN z USING (label) WHERE place = k),
+    m AS (SELECT r.vec_id, r.feature, any_value(of_class) AS of_class, any_value(k) AS k, count(*) AS m FROM r JOIN p ON p.feature = r.feature AND (abs(p.v - r.v) < r.r OR r.r = 0 AND p.v = r.v) GROUP BY 1, 2),
+    h AS (SELECT n, -0.57721566490153286 + coalesce(sum(1.0 / (n - 1)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS psi FROM (SELECT CAST(unnest(range(2, (SELECT count(*) + 1 FROM embeddings))) AS DOUBLE) AS n) UNION ALL SELECT 1.0, -0.57721566490153286)
+    SELECT feature, count(*) AS n, round(greatest((SELECT psi FROM h WHERE n = (SELECT count(*) FROM embeddings JOIN c USING (label))) + avg(a.psi) - avg(b.psi) - avg(e.psi), 0), 6) AS information
+    FROM m JOIN h a ON a.n = m.k JOIN h b ON b.n = m.of_class JOIN h e ON e.n = m.m GROUP BY feature
+""")
+def knn_information(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(information.class_information(_labelled(spark, d), "label", _ALL), "information")
+
+
+@query(_LONG + """
+    , r AS (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r FROM u)
+    SELECT feature, count(*) AS n, round(sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0, 4) AS statistic FROM r GROUP BY feature
+""")
+def univariate_tests(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(selector.univariate_tests(_labelled(spark, d), "y", _ALL), "statistic", digits=4).drop("p_value")
+
+
+@query()
+def sequential_selection(spark: SparkSession, d: str) -> DataFrame:
+    rows = _labelled(spark, d)
+    return selector.as_table(rows, selector.repeated(rows, "y", _ALL, "vec_id", [42, 43, 44], selector.Settings(most_features=10)))
+
+
+@query("SELECT l_returnflag, share, round(quantile, 6) AS quantile FROM (SELECT l_returnflag, unnest([0.1, 0.5, 0.75, 0.99]) AS share, unnest(quantile_cont(l_extendedprice, [0.1, 0.5, 0.75, 0.99])) AS quantile FROM lineitem GROUP BY 1)")
+def exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(order_statistics(table(spark, d, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.75, 0.99], ["l_returnflag"]), "quantile")
+
+
+def _spenders(spark: SparkSession, d: str) -> DataFrame:
+    spent = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.sum("o_totalprice") / 1_000_000).alias("spent"))
+    rows = table(spark, d, "customer").join(spent, "c_custkey")
+    return rows.select("c_custkey", F.array(F.round(F.col("c_acctbal") / 1000, 3), F.round("spent", 3)).alias("v"))
+
+
+@query("""
+    WITH RECURSIVE p AS (SELECT c_custkey AS id, round(c_acctbal / 1000, 3) AS x, round(spent, 3) AS y FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) / 1000000 AS spent FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+    n AS (SELECT a.id, b.id AS other FROM p a JOIN p b ON abs(a.x - b.x) <= 0.2 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.2 * 0.2),
+    c AS (SELECT id FROM n GROUP BY 1 HAVING count(*) >= 6), e AS (SELECT id, other FROM n WHERE id IN (FROM c) AND other IN (FROM c)),
+    t AS (SELECT id, id AS root FROM c UNION SELECT e.other, t.root FROM t JOIN e USING (id) WHERE t.root < e.other),
+    r AS (SELECT id, min(root) AS root FROM t GROUP BY 1), k AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM r)),
+    l AS (SELECT id, cluster FROM r JOIN k USING (root)), b AS (SELECT n.id, min(cluster) AS cluster FROM n JOIN l ON l.id = n.other WHERE n.id NOT IN (FROM c) GROUP BY 1)
+    SELECT id AS c_custkey, coalesce(l.cluster, b.cluster, -1) AS cluster FROM p LEFT JOIN l USING (id) LEFT JOIN b USING (id)
+""")
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.density_clusters(_spenders(spark, d), "c_custkey", "v", 0.2, 6)
+
+
+_PAIRS = """
+    WITH z AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), s AS (SELECT a.vec_id, a.label, b.label AS other, sum({distance}) / CASE WHEN a.label = b.label THEN greatest(any_value(n) - 1, 1) ELSE any_value(n) END AS m, any_value(n) AS n FROM embeddings a JOIN embeddings b ON {pick} JOIN z ON z.label = b.label GROUP BY 1, 2, 3),
+    q AS (SELECT vec_id, label, max(m) FILTER (WHERE other = label) AS a, max(n) FILTER (WHERE other = label) AS n, min(m) FILTER (WHERE other <> label) AS b FROM s GROUP BY 1, 2)
+    SELECT vec_id, {label} AS label, round(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM q
+"""
+
+
+@query(_PAIRS.format(distance="power(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2)", pick="true", label="label"))
+def silhouette_squared(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(clustering.silhouette_squared(_images(spark, d), ["vec_id"], "embedding", "label"), "silhouette")
+
+
+@query(_PAIRS.format(distance="list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", pick="a.vec_id % 20 = 0", label="CAST(label AS BIGINT)"))
+def silhouette_euclidean(spark: SparkSession, d: str) -> DataFrame:
+    e = _images(spark, d)
+    return rounded(clustering.silhouette(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", "label"), "silhouette")
+
+
+@query()
+def ward_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.ward_clusters(_images(spark, d), ["vec_id"], "embedding", 10, most_points=200)
+
+
+@query()
+def habitat_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.clustered(_labelled(spark, d), "vec_id", _ALL, k=5, selection="variance", components=8, keep=["label"]).labels
+
+
 @query()
 def mrmr_select(spark: SparkSession, d: str) -> DataFrame:
     rows = _images(spark, d).select("label", *[F.col("embedding")[i].alias(f"f{i}") for i in range(8)])
