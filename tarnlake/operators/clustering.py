@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.functions.columns import finite, require_columns
+from tarnlake.functions.columns import require_columns
 from tarnlake.functions.gram import list_matrix, mean_and_covariance
 from tarnlake.functions.held import held
 from tarnlake.functions.ordered import order_statistics, running_totals
@@ -35,7 +35,8 @@ CELLS = 1 << 20
 def complete_rows(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """keys and `v`, the features as doubles, of rows whose features are all finite."""
     require_columns(df, [*keys, *features])
-    return df.select(*keys, F.array(*[finite(c) for c in features]).alias("v")).filter(F.forall("v", lambda x: x.isNotNull()))
+    rows = df.select(*keys, F.array(*[F.col(c).try_cast("double") for c in features]).alias("v"))
+    return rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
 def selected_features(rows: DataFrame, features: list[str], method: str, vector: str = "v") -> list[int]:

@@ -720,7 +720,7 @@ def sequential_selection(spark: SparkSession, d: str) -> DataFrame:
     return selector.as_table(rows, selector.repeated(rows, "y", _ALL, "vec_id", [42, 43, 44], selector.Settings(most_features=10)))
 
 
-@query("SELECT l_returnflag, share, round(quantile, 6) AS quantile FROM (SELECT l_returnflag, unnest([0.1, 0.5, 0.75, 0.99]) AS share, unnest(quantile_cont(l_extendedprice, [0.1, 0.5, 0.75, 0.99])) AS quantile FROM lineitem GROUP BY 1)")
+@query("SELECT l_returnflag, CAST(share AS DOUBLE) AS share, round(quantile, 6) AS quantile FROM (SELECT l_returnflag, unnest([0.1, 0.5, 0.75, 0.99]) AS share, unnest(quantile_cont(l_extendedprice, [0.1, 0.5, 0.75, 0.99])) AS quantile FROM lineitem GROUP BY 1)")
 def exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(order_statistics(table(spark, d, "lineitem"), "l_extendedprice", [0.1, 0.5, 0.75, 0.99], ["l_returnflag"]), "quantile")
 
