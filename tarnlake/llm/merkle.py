@@ -11,7 +11,7 @@ paragraph have 16 digits and a leaf 8, and n is the leaf's code points. `likenes
 leaves of differing branches locate edits.
 
 Neighbours by id meet without a window over the table: range cuts of (id, hash of the text) come from a narrow pass, texts are dealt to the ranges once, and the first text of each
-range goes to the range before it as well. A range is sorted by Spark and read as a stream, so no range is held.
+range goes to the range before it as well. A range is a partition of its own, sorted by Spark and read as a stream, so no range is held.
 
 Defined cases: null texts count as empty; the empty text's fingerprint is its root alone, and two empty texts have likeness 1. A single document is its own next. Null ids come first. Documents of one id
 follow in the order of a hash of their text, equal rows in any order; each row gives a row. A very long text is worked on as one, with about 200 bytes a leaf. Other columns are not
@@ -301,6 +301,6 @@ def edited_neighbours(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     id_type = rows.schema["id"].dataType.simpleString()
     dealt = rows.mapInArrow(deal, f"bucket int, ghost boolean, id {id_type}, text string, h long")
-    ordered = dealt.repartition(max(1, len(border)), "bucket").sortWithinPartitions("bucket", "ghost", F.col("id").asc_nulls_first(), "h", "text")
+    ordered = dealt.repartitionById(max(1, len(border)), "bucket").sortWithinPartitions("bucket", "ghost", F.col("id").asc_nulls_first(), "h", "text")
     found = ordered.select("bucket", "ghost", "id", F.col("text").cast("binary")).mapInArrow(walk, f"id {id_type}, " + ", ".join(f"{name} {sql}" for name, _, sql in RESULT))
     return found.withColumnRenamed("id", id_column)
