@@ -2,7 +2,8 @@
 
 The lexer reads whatever assignment syntax a text holds, source or configuration: `name = literal`, `name: literal`, `"name": "literal"`,
 `name => literal`, `name := literal`, `table["name"] = literal`, `<name>literal</name>`, with an optional declaration word or type before the name, quoted literals with escapes, `+` joins of literals and names,
-and bare values up to white space. Names bind to constants in text order, so that `a = "..."; password = a` finds the literal where it stands.
+and bare values up to white space. Names bind to constants in text order, so that `a = "..."; password = a` finds the literal where it stands. Values are a graph of joins: binding and joining cost the parts
+at hand, so a text of self-joins takes linear time.
 Each literal that reaches a name is scored by how sensitive the name is and how secret the literal looks; one at or over the threshold becomes a span.
 
 Spans are code points, end exclusive. Every text is scanned whole. Null or empty texts have no spans; the work is per row, so that no key or group of copies matters. Repeated rows
@@ -18,6 +19,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,32 +77,121 @@ def literal_score(value: str) -> float:
     """0 to 1, from length, character kinds and entropy."""
     if len(value) < 8 or PLACEHOLDERS.match(value) or value.isspace():
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    kinds = sum(map(bool, (re.search(p, value) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))))
-    spaced = sum(map(str.isspace, value)) / len(value)
-    return max(0.0, min(1.0, 0.25 * min(entropy, 4) / 4 + 0.25 * min(len(value), 20) / 20 + 0.5 * min(kinds - 1, 2) / 2 - 2 * spaced))
+    return _looks(len(value), Counter(value))
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """(name, literals) of each assignment in order; literals: (start, end, value) where they stand, after constants are propagated."""
-    bound: dict[str, list[tuple[int, int, str]]] = {}
+def _looks(length: float, counts: dict[str, float]) -> float:
+    entropy = -sum(c / length * math.log2(c / length) for c in counts.values())
+    letters = "".join(counts)
+    kinds = sum(map(bool, (re.search(p, letters) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))))
+    spaced = sum(n for c, n in counts.items() if c.isspace()) / length
+    return max(0.0, min(1.0, 0.25 * min(entropy, 4) / 4 + 0.25 * min(length, 20) / 20 + 0.5 * min(kinds - 1, 2) / 2 - 2 * spaced))
+
+
+class Shape(NamedTuple):
+    """What the score of a long joined value needs: its length, counts of its characters, and its ends. Characters from U+0100 on share 256 counts, spaces one."""
+
+    length: float
+    counts: dict[str, float]
+    head: str
+    tail: str
+
+    def score(self) -> float:
+        shown = self.head + "".join(sorted(self.counts)) + self.tail  # matches a placeholder's pattern if the value does
+        return 0.0 if PLACEHOLDERS.match(shown) or all(map(str.isspace, self.counts)) else _looks(self.length, self.counts)
+
+
+def _shape(value: str) -> Shape:
+    counts: dict[str, float] = {}
+    for c, n in Counter(value).items():
+        c = " " if c.isspace() and c != "\n" else c if ord(c) < 256 else chr(256 + ord(c) % 256)
+        counts[c] = counts.get(c, 0) + n
+    return Shape(len(value), counts, value[:ENDS], value[-ENDS:])
+
+
+def _merged(a: Shape, b: Shape) -> Shape:
+    counts = dict(a.counts)
+    for c, n in b.counts.items():
+        counts[c] = counts.get(c, 0) + n
+    length = a.length + b.length
+    if length > 2.0**60:  # lengths double with each self-join; shares are what counts
+        length, counts = length / 2**30, {c: n / 2**30 for c, n in counts.items()}
+    return Shape(length, counts, (a.head + b.head)[:ENDS], (a.tail + b.tail)[-ENDS:])
+
+
+class Values:
+    """The values that names have, as a graph: a node is a literal where it stands, or a join of earlier nodes.
+
+    A name is bound to a node, so a join costs its own parts, whatever they reach; scores are left at nodes and go down to the literals once, at the end."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int] | None] = []
+        self.parts: list[tuple[int, ...]] = []
+        self.whole: list[str | None] = []  # the value itself, where it is a literal or short
+        self.shapes: list[Shape | None] = []
+        self.looks: list[float | None] = []
+        self.best: list[float] = []
+
+    def _node(self, span: tuple[int, int] | None, parts: tuple[int, ...], whole: str | None, shape: Shape | None) -> int:
+        for column, x in ((self.spans, span), (self.parts, parts), (self.whole, whole), (self.shapes, shape), (self.looks, None), (self.best, 0.0)):
+            column.append(x)
+        return len(self.spans) - 1
+
+    def literal(self, start: int, end: int, value: str) -> int:
+        return self._node((start, end), (), value, None)
+
+    def shape(self, node: int) -> Shape:
+        if self.shapes[node] is None:
+            self.shapes[node] = _shape(self.whole[node])
+        return self.shapes[node]
+
+    def joined(self, nodes: list[int]) -> int:
+        if len(nodes) == 1:
+            return nodes[0]
+        values = [self.whole[n] for n in nodes]
+        if all(v is not None for v in values) and sum(map(len, values)) <= WHOLE:
+            return self._node(None, tuple(nodes), "".join(values), None)
+        return self._node(None, tuple(nodes), None, reduce(_merged, map(self.shape, nodes)))
+
+    def score(self, node: int) -> float:
+        if self.looks[node] is None:
+            self.looks[node] = self.shapes[node].score() if self.whole[node] is None else literal_score(self.whole[node])
+        return self.looks[node]
+
+    def settled(self) -> dict[tuple[int, int], float]:
+        """The best score of each literal's span, of all values it went into."""
+        out: dict[tuple[int, int], float] = {}
+        for node in range(len(self.spans) - 1, -1, -1):  # parts come before what they are parts of
+            for part in self.parts[node]:
+                self.best[part] = max(self.best[part], self.best[node])
+            if (span := self.spans[node]) and self.best[node] > out.get(span, 0.0):
+                out[span] = self.best[node]
+        return out
+
+
+#: Joined values of so many code points at most are kept as they are; of longer ones the shape, with so many code points of each end.
+WHOLE, ENDS = 256, 64
+
+
+def assignments(text: str, values: Values) -> Iterator[tuple[str, int]]:
+    """(name, node of its value) of each assignment in order, after constants are propagated."""
+    bound: dict[str, int] = {}
     at = 0
     while m := _assignment.search(text, at):
         at, found = m.end(), []
-        where = at
+        where, bare = at, False
         while True:
             if s := _string.match(text, where):
                 g = next(i for i in (1, 2, 3) if s.group(i) is not None)
-                found.append((s.start(g), s.end(g), s.group(g)))
+                found.append(values.literal(s.start(g), s.end(g), s.group(g)))
                 where = s.end()
             elif (s := _identifier.match(text, where)) and s.group() in bound:
-                found += bound[s.group()]
+                found.append(bound[s.group()])
                 where = s.end()
             elif not found and (s := _bare.match(text, where)):
                 value = _ending.sub("", s.group())
-                found.append((s.start(), s.start() + len(value), value))
-                where = s.end()
+                found.append(values.literal(s.start(), s.start() + len(value), value))
+                bare = True
                 break
             else:
                 break
@@ -107,28 +199,26 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
                 break
             where = j.end()
         if found:
-            bound[m.group("name")] = found
-            yield m.group("name"), found
-        # a bare value may itself start the next assignment, as in "a: b = c"
-        at = where if found and found[-1][0] < m.end() + 1 and text[m.end() : m.end() + 1] in "\"'`" else m.end()
+            bound[m.group("name")] = node = values.joined(found)
+            yield m.group("name"), node
+        # a bare value may itself start the next assignment, as in "a: b = c"; quoted ones may not
+        at = where if found and not bare and text[m.end() : m.end() + 1] in "\"'`" else m.end()
 
 
-def elements(text: str) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """(name, literals) of each element that holds just text, `<name>literal</name>`, without white space at its ends."""
+def elements(text: str, values: Values) -> Iterator[tuple[str, int]]:
+    """(name, node) of each element that holds just text, `<name>literal</name>`, without white space at its ends."""
     for m in _element.finditer(text):
         if value := m.group(2).strip():
             start = m.start(2) + m.group(2).index(value)
-            yield m.group(1), [(start, start + len(value), value)]
+            yield m.group(1), values.literal(start, start + len(value), value)
 
 
 def lexed_spans(text: str, threshold: float) -> list[tuple[int, int]]:
-    best: dict[tuple[int, int], float] = {}
-    for name, literals in itertools.chain(assignments(text), elements(text)):
+    values = Values()
+    for name, node in itertools.chain(assignments(text, values), elements(text, values)):
         if sensitive := name_score(name):
-            whole = literal_score("".join(v for _, _, v in literals))
-            for start, end, _ in literals:
-                best[start, end] = max(best.get((start, end), 0.0), sensitive * whole)
-    return sorted(span for span, score in best.items() if score >= threshold)
+            values.best[node] = max(values.best[node], sensitive * values.score(node))
+    return sorted(span for span, score in values.settled().items() if score >= threshold)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

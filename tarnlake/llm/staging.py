@@ -75,7 +75,7 @@ def rows_that_stay(docs: DataFrame, keys: dict[str, Column], rows: DataFrame) ->
     repeated = of_key.filter("stays = 1").drop("stays")
     if repeated.isEmpty():
         return out
-    again = whole.join(repeated, same, "left_semi").groupBy(*[f"key_{nth}" for nth in range(len(names))]).agg(F.min("row").alias("row"))
+    again = whole.join(repeated, same, "left_semi").groupBy(*[f"key_{nth}" for nth in range(len(names))]).agg(F.min_by("row", F.to_json("row")).alias("row"))  # maps have no order, their text does
     return out.unionByName(again.select("row.*"))
 
 

@@ -4,13 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake.llm import centroids, filter_audit, merkle
+from tarnlake.llm import centroids, exact_dedup, filter_audit, merkle, near_dedup, secrets
 
 DOC = "doc_id long, text string, lang string"
 
@@ -217,3 +218,33 @@ def test_bound_never_loses_the_nearest():
 def test_huge_components_are_held(spark):
     table = spark.createDataFrame([(1, [1e30] + [0.0] * 63), (2, [-1e30] + [0.0] * 63)], "vec_id long, embedding array<float>")
     assert [r.distance for r in centroids.clustered(table, clusters=2).collect()] == [0, 0]
+
+
+def test_secrets_of_hostile_texts():
+    literal = "s3cr3t!Pass#99"
+    own = f'password_a = "{literal}"\n' + "password_a = password_a + password_a\n" * 10_000
+    chain = f'p = "{literal}"\n' + "".join(f'p = p + "x{i}Y"\n' for i in range(10_000)) + "password = p\n"
+    often = f'a = "{literal * 20_000}"\n' + "password = a\nb = a + a\n" * 10_000
+    for text, spans in ((own, 1), (chain, 10_001), (often, 1)):
+        began = time.process_time()
+        assert len(secrets.lexed_spans(text, 0.45)) == spans
+        assert time.process_time() - began < 5
+    assert secrets.lexed_spans(own, 0.45) == [(14, 28)]
+
+
+def test_long_joins_score_like_their_text():
+    values = secrets.Values()
+    rng = random.Random(1)
+    for piece in ("Ab1!xyz9", "x", "*", "word ", "é中9"):
+        parts = [values.literal(i, i + 1, piece * rng.randrange(1, 60)) for i in range(40)]
+        node = values.joined(parts)
+        whole = "".join(values.whole[n] for n in parts)
+        assert values.whole[node] is None and abs(values.score(node) - secrets.literal_score(whole)) < 1e-9, piece
+
+
+def test_stages_keep_maps_arrays_and_binaries(spark):
+    rows = [(1, "the same text " * 9, {"a": "b"}, [1], b"x"), (1, "the same text " * 9, {"a": "b"}, [1], b"x"), (2, "the same  text " * 9, {}, [], None), (3, "other words here " * 9, None, None, b"")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,string>, a array<int>, b binary")
+    for stage in (exact_dedup.drop_exact_duplicates, near_dedup.one_of_each_group):
+        got = stage(docs)
+        assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) in ([1, 3], [2, 3])
