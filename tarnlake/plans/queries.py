@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as C
 from tarnlake.functions.ordered import order_statistics, with_ranks
 from tarnlake.operators import clustering, folds, fusion, inference, information, kernels, models, nested, reports, selector, statistics, survival, validate, voxels
+from tarnlake.sources import dicom
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -850,6 +853,21 @@ def linear_attributions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inference.linear_attributions(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], [0.1, -5.0]), "mean_absolute", "mean_signed")
 
 
+@query("SELECT '1.2.' || (vec_id // 8) AS series, count(DISTINCT vec_id) AS n_slices, round(avg(floor(1000 * v::DOUBLE)), 6) AS mean, max(floor(1000 * v::DOUBLE)) AS most, CASE WHEN count(DISTINCT vec_id) > 1 THEN 1.5 ELSE 2.0 END::DOUBLE AS gap, min(vec_id) % 8 * 1.5::DOUBLE AS z, first(floor(1000 * v::DOUBLE) ORDER BY vec_id, i) AS first_value FROM (SELECT vec_id, i, embedding[i] AS v FROM embeddings, range(1, 65) r(i)) GROUP BY vec_id // 8")
+def dicom_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as slices of 8 x 8 pixels, eight to a series, written as files with instance numbers against their positions, and read as volumes."""
+
+    def written(batches):
+        for batch in batches:
+            made = [dicom.encode_dicom(np.floor(1000 * np.array(v, dtype=float)).reshape(8, 8), f"1.2.{i // 8}", 100 - i % 8, (0.0, 0.0, 1.5 * (i % 8)), thickness=2.0) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.dcm" for i in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
+
+    files = _images(spark, d).select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(written, "path string, content binary")
+    found = dicom.volumes(dicom.decoded_slices(files))
+    mean = F.aggregate("data", F.lit(0.0), lambda s, x: s + x) / F.size("data")
+    return found.select("series", "n_slices", F.round(mean, 6).alias("mean"), F.array_max("data").alias("most"), F.col("spacing")[0].alias("gap"), F.col("affine")[11].alias("z"), F.col("data")[0].alias("first_value"))
+
+
 def _square(spark: SparkSession, d: str) -> DataFrame:
     return _images(spark, d).select("vec_id", F.array(F.lit(8), F.lit(8)).alias("shape"), F.col("embedding").cast("array<double>").alias("image"))
 
