@@ -51,6 +51,8 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: st
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, points = sent.value
+            near = np.full((len(names), k), np.inf)  # the k best so far, by distance, then key
+            who = np.full((len(names), k), np.iinfo(np.int64).max)
             for batch in batches:
                 if not batch.num_rows or not len(names):
                     continue
@@ -58,13 +60,14 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: st
                 there = np.array(batch.column(1).to_pylist(), dtype=float)
                 step = max(1, CELLS // max(1, there.size))
                 for at in range(0, len(names), step):
-                    d = np.sqrt(((points[at : at + step, None, :] - there[None, :, :]) ** 2).sum(axis=2))
-                    d[names[at : at + step, None] == ids[None, :]] = np.inf
-                    best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                    q = np.repeat(names[at : at + step], best.shape[1])
-                    found = np.take_along_axis(d, best, axis=1).ravel()
-                    keep = np.isfinite(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(ids[best.ravel()][keep]), pa.array(found[keep])], names=["query", "neighbour", "distance"])
+                    own = slice(at, at + step)
+                    d = np.sqrt(((points[own, None, :] - there[None, :, :]) ** 2).sum(axis=2))
+                    d[names[own, None] == ids[None, :]] = np.inf
+                    d, w = np.concatenate([near[own], d], axis=1), np.concatenate([who[own], np.broadcast_to(ids, d.shape)], axis=1)
+                    best = np.lexsort((w, d), axis=1)[:, :k]
+                    near[own], who[own] = np.take_along_axis(d, best, axis=1), np.take_along_axis(w, best, axis=1)
+            query, place = np.nonzero(np.isfinite(near))
+            yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(who[query, place]), pa.array(near[query, place])], names=["query", "neighbour", "distance"])
 
         parts.append(rows.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(search, "query long, neighbour long, distance double"))
     near = reduce(DataFrame.unionByName, parts)
