@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def running_totals(df: DataFrame, value: str, totals: list[str], by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
-    """df, one row per (by, value), with below_<t>: the sum of t over smaller values of the same group. Values are numeric, none null."""
+def running_totals(df: DataFrame, value: str, totals: list[str], by: list[str] | None = None, ranges: int = RANGES, cuts: list[float] | None = None) -> DataFrame:
+    """df, one row per (by, value), with below_<t>: the sum of t over smaller values of the same group. Values are numeric, none null. cuts: those of range_cuts, where a caller has them already."""
     by = by or []
-    cuts = sorted(set(df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.005))) if ranges > 1 else []
+    cuts = range_cuts(df, value, ranges) if cuts is None else cuts
     cut = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     placed = df.withColumn("__range", F.size(F.filter(cut, lambda c: c < F.col(value).cast("double"))))
     inside = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -30,6 +30,11 @@ def running_totals(df: DataFrame, value: str, totals: list[str], by: list[str] |
     return out.withColumns({f"below_{t}": F.col(f"__in_{t}") + F.col(f"__{t}") for t in totals}).select(*df.columns, *[f"below_{t}" for t in totals])
 
 
+def range_cuts(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
+    """Values that deal df's to ranges of about as many rows."""
+    return sorted(set(df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.005))) if ranges > 1 else []
+
+
 def value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by, value, n, average_rank) of each distinct value; ranks count from 1, ties share the mean. Rows without a value are left out."""
     by = by or []

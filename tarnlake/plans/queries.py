@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as C
 from tarnlake.functions.ordered import order_statistics, with_ranks
-from tarnlake.operators import clustering, folds, fusion, inference, information, kernels, models, nested, reports, selector, statistics, survival, validate, voxels
+from tarnlake.operators import assignment, clustering, folds, fusion, inference, information, kernels, models, nested, reports, selector, statistics, survival, validate, voxels
 from tarnlake.sources import dicom
 
 QUERIES: dict = {}
@@ -787,6 +787,21 @@ def cox_ph(spark: SparkSession, d: str) -> DataFrame:
     return rounded(survival.cox(rows, "days", "event", ["price", "urgent"]), "coefficient", "standard_error")
 
 
+@query()
+def cox_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = _survival_rows(spark, d).withColumn("price", F.col("o_totalprice") / 100_000)
+    return survival.fit_cox(rows, "days", "event", ["price", "o_orderpriority"], ["o_orderpriority"], penalizer=0.01).summary
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_documents, CAST(16 AS BIGINT) AS n_workers, true AS even FROM documents")
+def size_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """Documents dealt to 16 workers by length; whether the greatest total is within a ninth of the even share, or of what the longest document forces."""
+    dealt = assignment.balanced(table(spark, d, "documents"), "doc_id", "n_chars", 16)
+    totals = assignment.worker_totals(dealt).agg(F.sum("n_items").alias("n_documents"), F.count(F.lit(1)).alias("n_workers"), F.max("total").alias("most"), (F.sum("total") / 16).alias("share"))
+    longest = dealt.agg(F.max("size").alias("longest"))
+    return totals.crossJoin(longest).select("n_documents", "n_workers", (F.col("most") <= F.greatest(F.col("share") * 10 / 9, F.col("longest"))).alias("even"))
+
+
 @query()
 def glm_interaction(spark: SparkSession, d: str) -> DataFrame:
     rows = _survival_rows(spark, d).withColumns({"price": F.col("o_totalprice") / 100_000, "urgent": F.col("o_orderpriority").startswith("1").cast("int")})
