@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.functions.columns import finite, long_form, number, numeric_columns, over, pearson
-from tarnlake.functions.ordered import running_totals, value_ranks, with_ranks
+from tarnlake.functions.ordered import order_statistics, running_totals, value_ranks, with_ranks
 
 # ---------------------------------------------------------------- summaries
 
@@ -48,10 +48,14 @@ def feature_statistics(df: DataFrame, features: list[str] | None = None) -> Data
     v = F.col("v")
     rows = long_form(df, [], features).withColumn("v", finite("value"))
     flat = (F.coalesce(F.stddev_pop(v), F.lit(0.0)) == 0) | (F.count(v) < 2)
-    return rows.groupBy("feature").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.lit(0.25)).alias("q25"), F.median(v).alias("median"), F.percentile(v, F.lit(0.75)).alias("q75"), F.max(v).alias("max"),
+    moments = rows.groupBy("feature").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.when(flat, 0.0).otherwise(F.skewness(v)).alias("skewness"), F.when(flat, 0.0).otherwise(F.kurtosis(v)).alias("kurtosis"), F.avg(v.isNull().cast("double")).alias("missing_rate"),
     )
+    ordered = order_statistics(rows.select("feature", "v"), "v", [0.25, 0.5, 0.75], ["feature"])  # from ranges of distinct values, not a map of a feature in one task
+    at = lambda share: F.max(F.when(F.col("share") == share, F.col("quantile")))
+    quartiles = ordered.groupBy("feature").agg(at(0.25).alias("q25"), at(0.5).alias("median"), at(0.75).alias("q75"))
+    return moments.join(quartiles, "feature", "left").select("feature", "n", "mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis", "missing_rate")
 
 
 def constant_features(df: DataFrame, features: list[str] | None = None) -> DataFrame:

