@@ -83,6 +83,38 @@ def equalised(a: np.ndarray, bins: int = 256) -> np.ndarray:
     return np.cumsum(counts)[np.clip(np.searchsorted(edges, a, side="right") - 1, 0, bins - 1)] / a.size
 
 
+def _blend(n: int, tile: int, tiles: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place on an axis: the tiles whose centres lie about it, and the weight of the second."""
+    at = (np.arange(n) + 0.5) / tile - 0.5
+    low = np.clip(np.floor(at).astype(int), 0, tiles - 1)
+    return low, np.minimum(low + 1, tiles - 1), np.clip(at - low, 0.0, 1.0)
+
+
+def adaptively_equalised(a: np.ndarray, kernel: int | None = None, clip: float = 0.01, bins: int = 256) -> np.ndarray:
+    """Contrast-limited equalisation: each pixel by the histograms of the tiles about it, 0 to 1; an image of more dimensions slice by slice along its last axis.
+
+    Values go to bins between the slice's least and greatest. A tile has kernel pixels a side (an eighth of the slice's side if None), the slice reflected where its last tiles reach beyond it. Counts over the limit, `clip` times a tile's
+    pixels and at least 1, are dealt evenly to all bins; a tile maps a bin to its share of counts up to it. A pixel's value is the bilinear blend of the maps of the four tiles whose centres lie about it. A constant slice is 0."""
+    if a.ndim > 2:
+        return np.stack([adaptively_equalised(a[..., i], kernel, clip, bins) for i in range(a.shape[-1])], axis=-1)
+    if a.min() == a.max():
+        return np.zeros_like(a)
+    level = np.minimum(((a - a.min()) / (a.max() - a.min()) * bins).astype(int), bins - 1)
+    sides = [kernel or max(1, n // 8) for n in a.shape]
+    ny, nx = (-(-n // t) for n, t in zip(a.shape, sides, strict=True))
+    whole = np.pad(level, [(0, c * t - n) for n, t, c in zip(a.shape, sides, (ny, nx), strict=True)], mode="symmetric")
+    tile = (np.arange(whole.shape[0]) // sides[0])[:, None] * nx + np.arange(whole.shape[1]) // sides[1]
+    counts = np.bincount((tile * bins + whole).ravel(), minlength=ny * nx * bins).reshape(ny * nx, bins).astype(float)
+    pixels = sides[0] * sides[1]
+    limit = max(1.0, clip * pixels)
+    over = np.maximum(counts - limit, 0.0).sum(axis=1, keepdims=True)
+    share = np.cumsum(np.minimum(counts, limit) + over / bins, axis=1) / pixels
+    (y0, y1, wy), (x0, x1, wx) = (_blend(n, t, c) for n, t, c in zip(a.shape, sides, (ny, nx), strict=True))
+    wy, wx = wy[:, None], wx[None, :]
+    near = lambda y, x: share[y[:, None] * nx + x[None, :], level]
+    return (1 - wy) * ((1 - wx) * near(y0, x0) + wx * near(y0, x1)) + wy * ((1 - wx) * near(y1, x0) + wx * near(y1, x1))
+
+
 def clipped(a: np.ndarray, low: float = 1, high: float = 99) -> np.ndarray:
     return np.clip(a, *np.percentile(a, [low, high]))
 

@@ -894,6 +894,18 @@ def median_filter(spark: SparkSession, d: str) -> DataFrame:
     return kernels.mapped(_square(spark, d), "image", "shape", kernels.median_filtered, ["vec_id"])
 
 
+@query(_LEVELS.format(n=16) + """
+    , p AS (SELECT vec_id, pos // 8 AS y, pos % 8 AS x, q, pos // 32 * 2 + pos % 8 // 4 AS tile FROM q), h AS (SELECT vec_id, tile, q, count(*) AS n FROM p GROUP BY ALL),
+    g AS (SELECT DISTINCT e.vec_id, t.tile, b.q FROM embeddings e, range(0, 4) t(tile), range(0, 16) b(q)),
+    m AS (SELECT vec_id, tile, q, (sum(least(coalesce(n, 0), 3.2)) OVER (PARTITION BY vec_id, tile ORDER BY q) + sum(greatest(coalesce(n, 0) - 3.2, 0)) OVER (PARTITION BY vec_id, tile) * (q + 1) / 16) / 16 AS s FROM g LEFT JOIN h USING (vec_id, tile, q)),
+    w AS (SELECT 0 AS side, i, CASE WHEN i < 2 THEN 1 WHEN i < 6 THEN 1 - ((i + 0.5) / 4 - 0.5) ELSE 0 END AS w FROM range(0, 8) r(i) UNION ALL SELECT 1, i, CASE WHEN i < 2 THEN 0 WHEN i < 6 THEN (i + 0.5) / 4 - 0.5 ELSE 1 END FROM range(0, 8) r(i))
+    SELECT p.vec_id, CAST(y * 8 + x AS INTEGER) AS pos, round(sum(a.w * b.w * s), 6) AS value FROM p JOIN w a ON a.i = y JOIN w b ON b.i = x JOIN m ON m.vec_id = p.vec_id AND m.q = p.q AND m.tile = a.side * 2 + b.side GROUP BY ALL
+""")
+def adaptive_equalisation(spark: SparkSession, d: str) -> DataFrame:
+    found = kernels.mapped(_square(spark, d), "image", "shape", lambda a: kernels.adaptively_equalised(a, 4, 0.2, 16), ["vec_id"])
+    return found.select("vec_id", F.posexplode("data").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
 @query()
 def linear_resample(spark: SparkSession, d: str) -> DataFrame:
     return kernels.mapped(_square(spark, d), "image", "shape", lambda a: kernels.resampled(a, (12, 16)), ["vec_id"])
