@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as C
 from tarnlake.functions.ordered import order_statistics, with_ranks
-from tarnlake.operators import assignment, clustering, folds, fusion, inference, information, kernels, models, nested, reports, selector, statistics, survival, validate, voxels
+from tarnlake.operators import assignment, clustering, folds, fusion, inference, information, kernels, models, nested, reports, selector, statistics, survival, textures, validate, voxels
 from tarnlake.sources import dicom
 
 QUERIES: dict = {}
@@ -591,6 +591,27 @@ def glcm(spark: SparkSession, d: str) -> DataFrame:
     return rounded(voxels.cooccurrence(_images(spark, d), "embedding", ["vec_id"], 8), "contrast", "dissimilarity", "homogeneity", "energy")
 
 
+_PAIR_NAMES = [f"glcm_{p}_{s}" for p in textures.PROPERTIES for s in textures.SUMMARIES]
+
+
+@query(_VOXELS + """
+    , q AS (SELECT vec_id, pos // 8 AS y, pos % 8 AS x, CAST(floor((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 7) AS INTEGER) AS q FROM v WINDOW w AS (PARTITION BY vec_id)),
+    o AS (SELECT unnest([1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3]) AS d, unnest([0, 1, 1, 1, 0, 1, 2, 1, 0, 2, 3, 2]) AS dy, unnest([1, 1, 0, -1, 2, 1, 0, -1, 3, 2, 0, -2]) AS dx),
+    p AS (SELECT a.vec_id, o.d, o.dy, o.dx, a.q AS i, b.q AS j FROM q a, o JOIN q b ON b.vec_id = a.vec_id AND b.y = a.y + o.dy AND b.x = a.x + o.dx),
+    e AS (SELECT vec_id, d, dy, dx, sqrt(sum(n * n)) / sum(n) AS energy FROM (SELECT vec_id, d, dy, dx, i, j, count(*) AS n FROM p GROUP BY ALL) GROUP BY ALL),
+    f AS (SELECT vec_id, d, dy, dx, avg((i - j) * (i - j)) AS contrast, avg(abs(i - j)) AS dissimilarity, avg(1 / (1 + (i - j) * (i - j))) AS homogeneity, CASE WHEN stddev_pop(i) = 0 OR stddev_pop(j) = 0 THEN 1 ELSE corr(i, j) END AS correlation FROM p GROUP BY ALL)
+    SELECT vec_id, """ + ", ".join(f"round({f}({c}), 6) AS glcm_{c}_{s}" for c in textures.PROPERTIES for s, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + """
+    FROM f JOIN e USING (vec_id, d, dy, dx) GROUP BY vec_id
+""")
+def texture_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(textures.texture_features(_square(spark, d), "image", "shape", ["vec_id"], levels=8).select("vec_id", *_PAIR_NAMES), *_PAIR_NAMES)
+
+
+@query()
+def texture_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return textures.texture_features(_square(spark, d), "image", "shape", ["vec_id"], levels=8).select("vec_id", "lbp_energy", "lbp_entropy")
+
+
 @query(_LEVELS.format(n=16) + ", h AS (SELECT vec_id, q, count(*) AS n FROM q GROUP BY ALL) SELECT vec_id, CAST(count(*) AS INTEGER) AS occupied, round(-sum(n / 64 * log2(n / 64)), 6) AS entropy, CAST(first(q ORDER BY n DESC, q) AS INTEGER) AS mode_bin FROM h GROUP BY 1")
 def histogram_entropy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(voxels.histogram_entropy(_images(spark, d), "embedding", ["vec_id"]), "entropy")
