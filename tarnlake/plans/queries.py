@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as C
 from tarnlake.functions.ordered import order_statistics, with_ranks
-from tarnlake.operators import assignment, clustering, folds, fusion, inference, information, kernels, models, nested, reports, selector, statistics, survival, textures, validate, voxels
+from tarnlake.operators import assignment, clustering, folds, fusion, inference, information, kernels, models, nested, regions, reports, selector, statistics, survival, textures, validate, voxels
 from tarnlake.sources import dicom
 
 QUERIES: dict = {}
@@ -607,6 +607,20 @@ def texture_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(textures.texture_features(_square(spark, d), "image", "shape", ["vec_id"], levels=8).select("vec_id", *_PAIR_NAMES), *_PAIR_NAMES)
 
 
+@query(_LEVELS.format(n=4) + """
+    , p AS (SELECT vec_id, q AS label, pos // 8 AS y, pos % 8 AS x, v.v FROM q JOIN v USING (vec_id, pos) WHERE q > 0)
+    SELECT vec_id, CAST(label AS BIGINT) AS label, count(*) AS area, round(avg(y), 6) AS centre_y, round(avg(x), 6) AS centre_x, min(y) AS top, max(y) + 1 AS bottom, min(x) AS left, max(x) + 1 AS right,
+           round(4 * sqrt((var_pop(y) + var_pop(x)) / 2 + sqrt(power((var_pop(y) - var_pop(x)) / 2, 2) + power(covar_pop(y, x), 2))), 6) AS major_axis,
+           round(count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1)), 6) AS extent, round(sqrt(4 * count(*) / pi()), 6) AS equivalent_diameter, round(avg(v), 6) AS mean_intensity
+    FROM p GROUP BY vec_id, label
+""")
+def region_properties(spark: SparkSession, d: str) -> DataFrame:
+    rows = _square(spark, d).select("vec_id", "shape", "image", voxels.quantised(voxels.values("image"), 4).alias("labels"))
+    found = regions.region_properties(rows, "labels", "shape", ["vec_id"], "image")
+    digits = ["centre_y", "centre_x", "major_axis", "extent", "equivalent_diameter", "mean_intensity"]
+    return rounded(found.select("vec_id", "label", "area", "top", "bottom", "left", "right", *digits), *digits)
+
+
 @query()
 def texture_patterns(spark: SparkSession, d: str) -> DataFrame:
     return textures.texture_features(_square(spark, d), "image", "shape", ["vec_id"], levels=8).select("vec_id", "lbp_energy", "lbp_entropy")
