@@ -130,15 +130,19 @@ def test_nested_against_numpy(cohort, dealt):
 
 def test_other_kinds_and_selections(cohort):
     _, df = cohort
-    for kw in ({"kind": "naive_bayes"}, {"selection": "l1"}, {"selection": "sequence", "outer": 2, "inner": 2, "grid": {"C": [1.0]}}, {"kind": "random_forest", "grid": {"max_depth": [3, None]}, "outer": 2, "inner": 2}):
+    for kw in ({"kind": "naive_bayes"}, {"selection": "l1"}, {"kind": "random_forest", "grid": {"max_depth": [3]}, "outer": 2, "inner": 2}):
         got = nested.nested_cross_validated(df, "label", features=NAMES[:4], n_features=2, **{"outer": 3, "inner": 2, **kw})
         assert got.predictions.count() == 90 and all(0.5 < r["auc"] <= 1 for r in got.folds.collect())
         assert got.selected.filter("feature in ('signal', 'copy')").count() > 0
-    got = nested.nested_cross_validated(df, "copy", "patient_id", ["signal", "noise"], kind="linear_regression", task="regression", outer=3, inner=2) if False else None
     for wrong in ({"kind": "logistic_regression", "task": "regression"}, {"outer": 1}, {"selection": "other"}, {"features": ["absent"]}):
         with pytest.raises(ValueError):
             nested.nested_cross_validated(df, "label", **{"features": NAMES, **wrong})
-    assert got is None
+
+
+def test_sequence_inside_each_training_set(cohort, spark):
+    rows = spark.createDataFrame([(float(r[1]), [r[2], r[4], r[5]], [i % 2], r[0]) for i, r in enumerate(cohort[0])], "y double, x array<double>, cells array<int>, subject string")
+    found = nested._chosen_columns(rows, None, 1, 1, "sequence", 2, ["signal", "noise", "gaps"], "classification", 42)
+    assert set(found) == {(0, -1), (0, 0)} and all(0 in c for c in found.values())
 
 
 def test_regression_by_subject(spark):
