@@ -62,20 +62,40 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def rows_that_stay(docs: DataFrame, keys: dict[str, Column], rows: DataFrame) -> DataFrame:
+def _maybe_in(keys: list[Column], keyed: DataFrame, table: DataFrame, names: list[str], bits: int) -> tuple[DataFrame, DataFrame]:
+    """keyed in two parts: rows whose keys may be in table, and rows whose keys surely aren't. A bitmap of hashes tells, in pieces of 4 KB that are broadcast: bits / 8 bytes at most."""
+    span = 32768  # what bitmap_construct_agg holds
+    place = F.pmod(F.xxhash64(*[F.col(n) for n in names]), F.lit(bits))
+    pieces = table.select(place.alias("at")).groupBy((F.col("at") / span).cast("int").alias("piece")).agg(F.bitmap_construct_agg(F.col("at") % span).alias("bitmap"))
+    there = keyed.withColumn("at", F.pmod(F.xxhash64(*keys), F.lit(bits))).withColumn("piece", (F.col("at") / span).cast("int")).join(F.broadcast(pieces), "piece", "left")
+    byte = "cast(conv(hex(substring(bitmap, cast(at % 32768 / 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = there.withColumn("maybe", F.expr(f"coalesce(shiftright({byte}, cast(at % 8 as int)) & 1, 0)"))
+    return tuple(marked.filter(f"maybe = {m}").drop("at", "piece", "bitmap", "maybe") for m in (1, 0))
+
+
+def rows_that_stay(docs: DataFrame, keys: dict[str, Column], rows: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
     """docs without the rows whose keys have no row of `rows` that stays; of several rows with the keys of one that stays, just one.
 
-    keys: expressions over docs; rows: a row for each row of docs that takes part, with columns named alike and `stays`. Nulls are equal to each other, so ids may repeat or be null."""
+    keys: expressions over docs; rows: a row for each row of docs that takes part, with columns named alike and `stays`. Nulls are equal to each other, so ids may repeat or be null.
+    Whole rows aren't shuffled to be kept: those whose keys' hash is in no place of a bitmap of the keys to drop stay as they are, the others meet the keys in a join, which decides.
+    The bitmap has 16 bits a key, most_bits (32 MB broadcast) at most; with more keys than that serves, more of the rows go through the join."""
     names = list(keys)
     of_key = rows.groupBy(*names).agg(F.max(F.col("stays").cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
-    of_key = staged(of_key.filter("stays = 0 or n > 1").select(*[F.col(k).alias(f"to_{nth}") for nth, k in enumerate(names)], "stays"), "not-staying")
-    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(f"key_{nth}") for nth, c in enumerate(keys.values())])
-    same = [F.col(f"key_{nth}").eqNullSafe(F.col(f"to_{nth}")) for nth in range(len(names))]
-    out = whole.join(of_key.drop("stays"), same, "left_anti").select("row.*")
-    repeated = of_key.filter("stays = 1").drop("stays")
-    if repeated.isEmpty():
+    to = [f"to_{nth}" for nth in range(len(names))]
+    of_key = staged(of_key.filter("stays = 0 or n > 1").select(*[F.col(k).alias(t) for k, t in zip(names, to, strict=True)], "stays"), "not-staying")
+    n_keys, n_repeated = of_key.agg(F.count(F.lit(1)), F.coalesce(F.sum("stays"), F.lit(0))).first()
+    if not n_keys:
+        return docs
+    own = [f"key_{nth}" for nth in range(len(names))]
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in zip(own, keys.values(), strict=True)])
+    bits = max(32768, min(most_bits, 1 << (16 * n_keys - 1).bit_length()))
+    maybe, surely_not = _maybe_in([F.col(k) for k in own], whole, of_key, to, bits)
+    same = [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(own, to, strict=True)]
+    out = surely_not.select("row.*").unionByName(maybe.join(of_key.drop("stays"), same, "left_anti").select("row.*"))
+    if not n_repeated:
         return out
-    again = whole.join(repeated, same, "left_semi").groupBy(*[f"key_{nth}" for nth in range(len(names))]).agg(F.min_by("row", F.to_json("row")).alias("row"))  # maps have no order, their text does
+    repeated = of_key.filter("stays = 1").drop("stays")
+    again = maybe.join(repeated, same, "left_semi").groupBy(*own).agg(F.min_by("row", F.to_json("row")).alias("row"))  # maps have no order, their text does
     return out.unionByName(again.select("row.*"))
 
 

@@ -248,3 +248,24 @@ def test_stages_keep_maps_arrays_and_binaries(spark):
     for stage in (exact_dedup.drop_exact_duplicates, near_dedup.one_of_each_group):
         got = stage(docs)
         assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) in ([1, 3], [2, 3])
+
+
+@pytest.mark.parametrize("most_bits", [1 << 28, 1])
+def test_rows_are_dropped_without_a_shuffle_of_the_others(spark, most_bits):
+    """Kept rows pass by the bitmap, nulls and repeats are told apart, and with a bitmap far too small the join decides alike."""
+    from tarnlake.llm import staging
+
+    docs = spark.range(60_000).selectExpr("if(id % 1000 = 7, null, id) doc_id", "concat('text ', id) text", "map('k', id) extra")
+    docs = docs.unionByName(docs.filter("doc_id = 20 or doc_id = 21"))
+    rows = docs.selectExpr("doc_id id", "text", "doc_id is not null and doc_id % 3 <> 0 stays")
+    kept = staging.rows_that_stay(docs, {"id": F.col("doc_id"), "text": F.col("text")}, rows, most_bits)
+    assert kept.columns == docs.columns
+    want = [i for i in range(60_000) if i % 1000 != 7 and i % 3]
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == want
+
+    whole = docs.select(F.struct("doc_id", "text").alias("row"), F.col("doc_id").alias("key_0"), F.col("text").alias("key_1"))
+    table = docs.filter("doc_id % 3 = 0").selectExpr("doc_id to_0", "text to_1")
+    maybe, surely_not = staging._maybe_in([F.col("key_0"), F.col("key_1")], whole, table, ["to_0", "to_1"], 1 << 20)
+    found = {r.key_0 for r in maybe.select("key_0").collect()}
+    assert {i for i in range(0, 60_000, 3) if i % 1000 != 7} <= found and len(found) < 23_000
+    assert maybe.count() + surely_not.count() == docs.count()
