@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as C
 from tarnlake.functions.ordered import order_statistics, with_ranks
-from tarnlake.operators import assignment, clustering, folds, fusion, inference, information, kernels, models, nested, regions, reports, selector, statistics, survival, textures, validate, voxels
+from tarnlake.operators import assignment, clustering, dimension, folds, fusion, inference, information, kernels, models, nested, regions, reports, selector, statistics, survival, textures, validate, voxels
 from tarnlake.sources import dicom
 
 QUERIES: dict = {}
@@ -1038,3 +1038,45 @@ def dimension_vote(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def top_features(spark: SparkSession, d: str) -> DataFrame:
     return reports.most(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 20)
+
+
+_SLICES = """
+WITH e AS (SELECT CAST(floor(sqrt(vec_id)) AS BIGINT) AS volume, vec_id AS z, embedding FROM embeddings),
+v AS (SELECT volume, z, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM e),
+s AS (SELECT volume, z, avg(x) AS m, stddev_pop(x) AS sd, max(x) - min(x) AS rg FROM v GROUP BY 1, 2),
+t AS (SELECT *, avg(sd) OVER w AS msd, stddev_pop(sd) OVER w AS ssd, avg(rg) OVER w AS mrg FROM s WINDOW w AS (PARTITION BY volume)),
+u AS (SELECT volume, count(*) AS n_slices, stddev_pop(m) AS mean_variation, stddev_pop(sd) AS std_variation, stddev_pop(rg) AS range_variation, count(*) FILTER (sd > msd + ssd) AS high_variance_slices, count(*) FILTER (rg < mrg * 0.5) AS low_signal_slices FROM t GROUP BY 1),
+k AS (SELECT volume, z, row_number() OVER (PARTITION BY volume ORDER BY z) - 1 AS place, count(*) OVER (PARTITION BY volume) AS n FROM e),
+q AS (SELECT *, greatest(2, CAST(floor(n * 0.1) AS BIGINT)) AS m FROM k),
+p AS (SELECT volume, z, lead(z) OVER (PARTITION BY volume ORDER BY place) AS following FROM q WHERE n > 1 AND place IN (SELECT CASE WHEN j = m - 1 THEN n - 1 ELSE floor(j * ((n - 1) / (m - 1))) END FROM (SELECT unnest(range(0, m)) AS j))),
+c AS (SELECT p.volume, p.z, 1 - abs(corr(a.x, b.x)) AS v FROM p JOIN v a ON a.z = p.z JOIN v b ON b.z = p.following AND b.i = a.i GROUP BY 1, 2),
+r AS (SELECT volume, count(v) AS n_pairs, avg(v) AS variation FROM c GROUP BY 1),
+g AS (SELECT volume, 1.5 * (volume % 5) AS spacing, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, avg(x * x) AS power, avg(CASE WHEN x = 0 THEN 1.0 ELSE 0 END) AS sparsity FROM v GROUP BY 1),
+h AS (SELECT volume, avg(power(x - mean, 3)) AS m3 FROM v JOIN g USING (volume) GROUP BY 1),
+o AS (SELECT *, n_slices >= 30 AS enough, spacing <= 5 AS near, n_slices > 1 AND coalesce(variation >= 0.1, true) AS differ FROM u JOIN g USING (volume) JOIN h USING (volume) LEFT JOIN r USING (volume)),
+d AS (SELECT *, CAST(enough AS INT) + CAST(near AS INT) + CAST(differ AS INT) >= 2 AS is_3d, CASE WHEN abs(n_slices - 30) > 10 THEN 'high' ELSE 'medium' END AS confidence FROM o)
+"""
+
+
+def _analysed(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as slices of volumes that grow in length, with different distances of slices."""
+    volume = F.floor(F.sqrt("vec_id")).cast("long")
+    slices = table(spark, d, "embeddings").select(volume.alias("volume"), "vec_id", "embedding", (1.5 * (volume % 5)).alias("spacing"))
+    return dimension.dimension_analysis(slices, "volume", "vec_id", "embedding", "spacing")
+
+
+@query(
+    _SLICES + """SELECT volume, n_slices, CAST(spacing AS DOUBLE) AS spacing, coalesce(n_pairs, 0) AS n_pairs, round(variation, 6) AS variation, is_3d,
+concat_ws(',', CASE WHEN enough THEN 'slices' END, CASE WHEN near THEN 'spacing' END, CASE WHEN differ THEN 'variation' END) AS reasons, confidence,
+concat_ws(',', CASE WHEN m3 / power(std, 3) > 2 THEN 'log_transform' END, CASE WHEN std / (mean + 1e-8) < 0.1 THEN 'contrast_enhancement' END, CASE WHEN spacing > 3 THEN 'interpolation' END) AS preparation,
+CASE WHEN is_3d AND n_slices > 64 THEN '3d_unet,3d_vnet,cascade_3d' WHEN is_3d THEN '3d_unet,3d_vnet' ELSE '2d_unet,2d_attention_unet,slice_ensemble' END AS models,
+round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(m3 / power(std, 3), 6) AS skewness, round(power / (std * std), 6) AS signal_to_noise, CAST(floor(log2(max - min + 1)) AS INT) AS effective_bits, round(sparsity, 6) AS sparsity,
+round(mean_variation, 6) AS mean_variation, round(std_variation, 6) AS std_variation, round(range_variation, 6) AS range_variation, high_variance_slices, low_signal_slices FROM d"""
+)
+def volume_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_analysed(spark, d), "variation", "mean", "std", "min", "max", "skewness", "signal_to_noise", "sparsity", "mean_variation", "std_variation", "range_variation")
+
+
+@query(_SLICES + "SELECT count(*) AS n_volumes, count(*) FILTER (is_3d) AS n_3d, count(*) FILTER (confidence = 'high') AS n_high, CASE WHEN 2 * count(*) FILTER (is_3d) > count(*) THEN '3D' ELSE '2D' END AS approach, round(greatest(count(*) FILTER (is_3d), count(*) FILTER (NOT is_3d)) / count(*), 6) AS share, count(*) FILTER (is_3d) / count(*) > 0.3 AND count(*) FILTER (is_3d) / count(*) < 0.7 AS mixed FROM d")
+def batch_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(dimension.batch_recommendation(_analysed(spark, d)), "share")
