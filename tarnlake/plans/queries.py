@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions import columns as C
 from tarnlake.functions.ordered import order_statistics, with_ranks
-from tarnlake.operators import assignment, clustering, dimension, folds, fusion, inference, information, kernels, models, nested, regions, reports, selector, statistics, survival, textures, validate, voxels
+from tarnlake.operators import assignment, clustering, dimension, folds, fusion, grids, inference, information, kernels, models, nested, regions, reports, selector, statistics, survival, textures, validate, voxels
 from tarnlake.sources import dicom
 
 QUERIES: dict = {}
@@ -1080,3 +1080,37 @@ def volume_dimensions(spark: SparkSession, d: str) -> DataFrame:
 @query(_SLICES + "SELECT count(*) AS n_volumes, count(*) FILTER (is_3d) AS n_3d, count(*) FILTER (confidence = 'high') AS n_high, CASE WHEN 2 * count(*) FILTER (is_3d) > count(*) THEN '3D' ELSE '2D' END AS approach, round(greatest(count(*) FILTER (is_3d), count(*) FILTER (NOT is_3d)) / count(*), 6) AS share, count(*) FILTER (is_3d) / count(*) > 0.3 AND count(*) FILTER (is_3d) / count(*) < 0.7 AS mixed FROM d")
 def batch_dimensions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dimension.batch_recommendation(_analysed(spark, d)), "share")
+
+
+_GRID = "WITH v AS (SELECT vec_id, (i - 1) // 16 AS a, (i - 1) // 4 % 4 AS b, (i - 1) % 4 AS c, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i))"
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as volumes of 4 x 4 x 4 whose axes are oblique and whose origin depends on the vector."""
+    rows = ((2.0, 0.5, 0.0, F.col("vec_id").cast("double")), (0.0, 1.5, 0.25, F.lit(-3.0)), (0.0, 0.0, 4.0, F.lit(7.0)), (0.0, 0.0, 0.0, F.lit(1.0)))
+    affine = F.array(*[x if not isinstance(x, float) else F.lit(x) for row in rows for x in row])
+    data = F.col("embedding").cast("array<double>")
+    return table(spark, d, "embeddings").select("vec_id", F.array(*[F.lit(4)] * 3).alias("shape"), affine.alias("affine"), data.alias("data"), F.transform(data, lambda x: (x > 0.2).cast("int")).alias("mask"))
+
+
+def _described(df: DataFrame, *more: str) -> DataFrame:
+    lengths = F.concat_ws("x", F.col("shape").cast("array<string>"))
+    out = df.select("vec_id", *more, lengths.alias("lengths"), voxels.total(F.col("data")).alias("total"), F.col("data")[0].alias("first"), *[F.col("affine")[4 * r + 3].alias(n) for r, n in enumerate("xyz")])
+    return rounded(out, "total", "first", "x", "y", "z")
+
+
+@query(_GRID + """, s AS (SELECT vec_id, sum(x) AS whole, min(x) AS least, sum(x) FILTER (a BETWEEN 1 AND 2 AND c < 3) AS kept, max(x) FILTER (a = 1 AND b = 0 AND c = 0) AS here FROM v GROUP BY 1)
+SELECT vec_id, 'crop' AS way, '2x4x3' AS lengths, round(kept, 6) AS total, round(here, 6) AS first, vec_id + 2.0::DOUBLE AS x, -3.0::DOUBLE AS y, 7.0::DOUBLE AS z FROM s
+UNION ALL SELECT vec_id, 'pad', '7x4x6', round(whole + least * (7 * 4 * 6 - 64), 6), round(least, 6), vec_id - 2.0::DOUBLE, -3.25::DOUBLE, 3.0::DOUBLE FROM s""")
+def volume_windows(spark: SparkSession, d: str) -> DataFrame:
+    e = _grid(spark, d)
+    ways = [_described(f.withColumn("way", F.lit(n)), "way") for n, f in (("crop", grids.centre_cropped(e, (2, 9, 3))), ("pad", grids.padded(e, (7, 2, 6), "min")))]
+    return ways[0].unionByName(ways[1])
+
+
+@query(_GRID + """, o AS (SELECT vec_id, greatest(min(a) - 1, 0) AS a0, least(max(a) + 2, 4) AS a1, min(b) AS b0, max(b) + 1 AS b1, greatest(min(c) - 1, 0) AS c0, least(max(c) + 2, 4) AS c1 FROM v WHERE x > 0.2 GROUP BY 1)
+SELECT vec_id, count(*) FILTER (v.x > 0.2) AS n_mask, concat_ws('x', a1 - a0, b1 - b0, c1 - c0) AS lengths, round(sum(v.x), 6) AS total, round(max(v.x) FILTER (a = a0 AND b = b0 AND c = c0), 6) AS first, round(vec_id + 2.0 * a0 + 0.5 * b0, 6)::DOUBLE AS x, round(-3 + 1.5 * b0 + 0.25 * c0, 6)::DOUBLE AS y, (7 + 4.0 * c0)::DOUBLE AS z
+FROM v JOIN o USING (vec_id) WHERE a >= a0 AND a < a1 AND b >= b0 AND b < b1 AND c >= c0 AND c < c1 GROUP BY vec_id, a0, a1, b0, b1, c0, c1""")
+def region_extraction(spark: SparkSession, d: str) -> DataFrame:
+    found = grids.regions_of_interest(_grid(spark, d), margin=(1, 0, 1))
+    return _described(found.withColumn("n_mask", F.size(F.filter("mask", lambda x: x > 0)).cast("long")), "n_mask")
