@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions import columns as C
 from tarnlake.functions.ordered import order_statistics, with_ranks
 from tarnlake.operators import assignment, clustering, dimension, folds, fusion, grids, inference, information, kernels, models, nested, regions, reports, selector, statistics, survival, textures, validate, voxels
-from tarnlake.sources import dicom
+from tarnlake.sources import dicom, images, nrrd
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1114,3 +1114,12 @@ FROM v JOIN o USING (vec_id) WHERE a >= a0 AND a < a1 AND b >= b0 AND b < b1 AND
 def region_extraction(spark: SparkSession, d: str) -> DataFrame:
     found = grids.regions_of_interest(_grid(spark, d), margin=(1, 0, 1))
     return _described(found.withColumn("n_mask", F.size(F.filter("mask", lambda x: x > 0)).cast("long")), "n_mask")
+
+
+@query(_GRID + " SELECT vec_id, '4x4x4' AS lengths, round(sum(x), 6) AS total, round(max(x) FILTER (a = 0 AND b = 0 AND c = 0), 6) AS first, round(max(x) FILTER (a = 0 AND b = 0 AND c = 1), 6) AS second, vec_id::DOUBLE AS x, -3.0::DOUBLE AS y, 7.0::DOUBLE AS z FROM v GROUP BY vec_id")
+def nrrd_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """Volumes written as files, every other one packed, and read back."""
+    e = _grid(spark, d).withColumn("path", F.col("vec_id").cast("string"))
+    files = nrrd.encoded(e.filter("vec_id % 2 = 0"), "gzip").unionByName(nrrd.encoded(e.filter("vec_id % 2 = 1"), "raw"))
+    found = images.decoded(files, nrrd.decode_nrrd).withColumn("vec_id", F.col("path").cast("long"))
+    return rounded(_described(found.withColumn("second", F.col("data")[1]), "second"), "second")

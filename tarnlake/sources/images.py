@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gzip
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,20 +61,20 @@ def encode_nifti(data: np.ndarray, affine: np.ndarray | None = None, spacing: li
     return gzip.compress(bytes(head) + np.asfortranarray(data, dtype="<f4").tobytes(order="F"), mtime=0)
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], decode: Callable[[bytes], tuple]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             try:
-                data, spacing, affine = decode_nifti(content.as_py())
-                row = (path, list(data.shape), spacing, affine.ravel().tolist(), data.ravel().tolist(), None)
-            except (ValueError, struct.error, OSError, EOFError) as e:  # a bad file is a row with its error, as in a batch report
+                data, spacing, affine = decode(content.as_py())
+                row = (path, list(data.shape), spacing, affine.ravel().tolist(), data.ravel(), None)
+            except (ValueError, struct.error, zlib.error, OSError, EOFError) as e:  # a bad file is a row with its error, as in a batch report
                 row = (path, None, None, None, None, str(e))
             yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, _volume, strict=True)], schema=_volume)
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """Volumes of a binaryFile table, one row a file; data is in C order. A file that can't be read has its error instead."""
-    return files.select("path", "content").mapInArrow(_decode, VOLUME)
+def decoded(files: DataFrame, decode: Callable[[bytes], tuple] = decode_nifti) -> DataFrame:
+    """Volumes of a binaryFile table, one row a file; data is in C order. A file that can't be read has its error instead. decode: from content to values, spacing and affine."""
+    return files.select("path", "content").mapInArrow(lambda batches: _decode(batches, decode), VOLUME)
 
 
 def read_volumes(spark: SparkSession, path: str, glob: str = "*.nii*", recursive: bool = False) -> DataFrame:
