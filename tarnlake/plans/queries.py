@@ -938,7 +938,7 @@ def median_filter(spark: SparkSession, d: str) -> DataFrame:
 """)
 def adaptive_equalisation(spark: SparkSession, d: str) -> DataFrame:
     found = kernels.mapped(_square(spark, d), "image", "shape", lambda a: kernels.adaptively_equalised(a, 4, 0.2, 16), ["vec_id"])
-    return found.select("vec_id", F.posexplode("data").alias("pos", "value")).withColumn("value", F.round("value", 6))
+    return found.select("vec_id", F.posexplode("data").alias("pos", "value")).withColumn("value", F.round(F.col("value") * 1e6) / 1e6)  # values at a tie are rounded as SQL's round does
 
 
 @query()
