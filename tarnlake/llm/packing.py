@@ -18,6 +18,7 @@ import itertools
 import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -37,17 +38,12 @@ RANKS = 4096
 
 
 class PieceTokenizer:
-    """Ids of byte-level BPE, the same as the tokenizers library gives, with whole words remembered.
+    """Ids of byte-level BPE, the same as the tokenizers library gives: whole texts go through tiktoken, over the merge ranks of the same tokenizer file.
 
-    Where white space is single spaces and line ends between words, the pre-tokeniser cuts before each space and around each line end, so that
-    a word with its space is encoded alike anywhere; other texts are encoded whole. Words not seen before go through tiktoken, over
-    the merge ranks of the same tokenizer file; encoding whole texts with the tokenizers library takes four to five times the CPU time.
+    Words aren't remembered: where most of a text's words are new, the memory cost more time than it saved, and space for each worker.
 
     added_tokens: tokens that the file adds, such as the end of a text, are one id where they occur in a text, as in the library's default setting; else they are text."""
 
-    #: Words that are remembered; then the memory starts anew.
-    MOST = 300_000
-
     def __init__(self, path: str, added_tokens: bool = False) -> None:
         import tiktoken
         from tokenizers import pre_tokenizers
@@ -67,45 +63,19 @@ class PieceTokenizer:
         import public_tokenizers
 
         self.encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
-        self.line = self._ids("\n")
         self.added = {token: np.array([i], dtype="<u4").tobytes() for token, i in special.items()} if added_tokens else {}
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
-
-    def _learn(self, parts: list[str]) -> bool:
-        """Encode the new ones among the parts; False if one isn't a single word after its space or line end."""
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        for part in parts:
-            if part not in self.known:
-                word = part[1:] if part[:1] == "\n" else part
-                if word.split() != [word]:
-                    return False
-                self.known[part] = self.line + self._ids(word) if word != part else self._ids(" " + word)
-        return True
+        return np.array(array("I", self.encode(text)), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
         if self.at_added and self.at_added.search(text):
-            return b"".join(self.added[part] if nth % 2 else self._text(part) for nth, part in enumerate(self.at_added.split(text)))
-        return self._text(text)
-
-    def _text(self, text: str) -> bytes:
-        """Ids of a text in which no added token counts."""
-        if not text:
-            return b""
-        parts = ("\n" + text.replace("\n", " \n")).split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, parts))[len(self.line) :]
-        except KeyError:
-            if not self._learn(parts):
-                return self._ids(text)
-        return b"".join(map(self.known.__getitem__, parts))[len(self.line) :]
+            return b"".join(self.added[part] if nth % 2 else self._ids(part) for nth, part in enumerate(self.at_added.split(text)))
+        return self._ids(text)
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}

@@ -269,3 +269,18 @@ def test_rows_are_dropped_without_a_shuffle_of_the_others(spark, most_bits):
     found = {r.key_0 for r in maybe.select("key_0").collect()}
     assert {i for i in range(0, 60_000, 3) if i % 1000 != 7} <= found and len(found) < 23_000
     assert maybe.count() + surely_not.count() == docs.count()
+
+
+def test_new_words_are_encoded_with_their_text():
+    """A text of words never seen before goes to the encoder once, not once for each word."""
+    from tokenizers import Tokenizer
+
+    from tarnlake.llm import packing
+    from tarnlake.llm.queries import tokenizer_path
+
+    mine, calls = packing.PieceTokenizer(tokenizer_path(), added_tokens=True), []
+    encode = mine.encode
+    mine.encode = lambda text: calls.append(text) or encode(text)
+    text = "\n".join(" ".join(f"w{i * j}x{j}" for j in range(50)) for i in range(20)) + "  end "
+    assert np.frombuffer(mine(text), "<u4").tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert len(calls) == 1
