@@ -35,6 +35,8 @@ from tarnlake.llm.staging import new_path, parts, staged, text_bytes
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5E6546B64)
 #: Words that a task gathers before it sums and sends them.
 GATHERED = 3 << 19
+#: n-grams whose hashes and buckets are worked out at once; the steps between take several times their space.
+CHUNK = 1 << 16
 #: Bytes of text whose look-ups are sorted together.
 SCORED_BYTES = 1 << 21
 MARK = "complete"
@@ -65,9 +67,22 @@ def _sum(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[order[new]], np.add.reduceat(counts[order], new) if len(h) else counts
 
 
+def _chunks(n: int) -> Iterator[slice]:
+    return (slice(a, a + CHUNK) for a in range(0, n, CHUNK))
+
+
 def ngram_hash(rows: np.ndarray) -> np.ndarray:
     """Of an (m, n) array of word hashes; all empty n-grams are one."""
-    return hash_runs([rows[:, j] for j in range(rows.shape[1])]) if rows.shape[1] else np.zeros(len(rows), np.uint64)
+    out = np.zeros(len(rows), np.uint64)
+    if rows.shape[1]:
+        for own in _chunks(len(rows)):
+            out[own] = hash_runs([rows[own, j] for j in range(rows.shape[1])])
+    return out
+
+
+def _by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """Order of buckets; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
 
 
 def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -92,8 +107,11 @@ def _range_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def places(rows: np.ndarray, frequent: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Each n-gram's bucket, and whether its context is split over buckets."""
-    key, split = context_keys(rows[:, :-1], frequent)
-    return _range_of(np.where(split, ngram_hash(rows), key), buckets), split
+    bucket, split = np.empty(len(rows), np.int64), np.empty(len(rows), bool)
+    for own in _chunks(len(rows)):
+        key, split[own] = context_keys(rows[own, :-1], frequent)
+        bucket[own] = _range_of(np.where(split[own], ngram_hash(rows[own]), key), buckets)
+    return bucket, split
 
 
 _packed = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("numbers", pa.list_(pa.int64()))])
@@ -146,7 +164,7 @@ def unpack(data: bytes, numbers: list[int], width: int) -> tuple[np.ndarray, np.
 def _deal(rows: np.ndarray, counts: np.ndarray, frequent: np.ndarray, buckets: int) -> list[tuple]:
     """A message of n-grams for each bucket."""
     bucket, _ = places(rows, frequent, buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = _by_bucket(bucket)
     cut = _firsts(bucket[order])
     return [(int(bucket[order[a]]), rows.shape[1], *pack(rows[order[a:b]], counts[order[a:b]])) for a, b in zip(cut, [*cut[1:], len(order)], strict=True)]
 
@@ -156,16 +174,18 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, frequent: np.ndarray,
     held: list[np.ndarray] = []  # words, then begin marks after the last one
 
     def close() -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate(held)
+        grams = np.lib.stride_tricks.sliding_window_view(np.concatenate(held), order)  # of the words' own space
         held.clear()
         # an n-gram begins wherever its last word isn't a begin mark
-        starts = np.flatnonzero(tokens[order - 1 :] != BEGIN)
-        h = hash_runs([tokens[j : len(tokens) - order + 1 + j] for j in range(order)])[starts]
+        starts = np.flatnonzero(grams[:, -1] != BEGIN)
+        h = ngram_hash(grams)[starts]
         by = np.argsort(h)
         new = _firsts(h[by])
         starts, counts = starts[by[new]], np.diff(np.concatenate([new, [len(by)]]))
-        del h, by
-        yield from table_of(_deal(np.stack([tokens[starts + j] for j in range(order)], axis=1), counts, frequent, buckets), _packed).to_batches()
+        del h, by, new
+        rows = grams[starts]
+        del grams, starts
+        yield from table_of(_deal(rows, counts, frequent, buckets), _packed).to_batches()
 
     for batch in batches:
         for _, _, data, offsets in slices(batch.column(0)):
@@ -204,7 +224,7 @@ def _save(path: str, arrays: list[np.ndarray]) -> None:
 def _load(path: str, n: int) -> list[np.ndarray] | None:
     if not os.path.exists(path):
         return None
-    data, at, out = np.memmap(path, np.uint8, "r"), 16 * n, []
+    data, at, out = np.asarray(np.memmap(path, np.uint8, "r")), 16 * n, []  # a plain array: a memmap makes each index slow
     for size, length in data[:at].view("<i8").reshape(n, 2).tolist():
         out.append(data[at : at + size * length].view(f"<u{size}"))
         at += -(-size * length // 8) * 8
@@ -287,32 +307,47 @@ _ONES = {1: (0,), 4: (0, 1, 3)}
 _N_ARRAYS = {1: 9, 4: 15}
 
 
+def _written(rows: np.ndarray, counts: np.ndarray, path: str, frequent: np.ndarray, buckets: int) -> list[tuple]:
+    """Writes n-grams and contexts; gives the sums of split contexts."""
+    arrays = _by_key(ngram_hash(rows), [counts], counts == 1)
+    context = ngram_hash(rows[:, :-1])
+    by = np.argsort(context)
+    context = context[by]
+    new = _firsts(context)
+    own, first = context[new], by[new]
+    del context
+    whole = ~places(rows[first], frequent, buckets)[1]
+    ordered = counts[by]
+    del by, first
+    sums = [np.add.reduceat(x, new, dtype=np.int64) for x in (ordered, ordered == 1, ordered == 2)] + [np.diff(new, append=len(ordered))]
+    del ordered
+    _save(path, arrays + _by_key(own[whole], [x[whole] for x in sums], sums[0][whole] == 1))
+    apart = np.flatnonzero(~whole)
+    return [(int(to), SPLIT + rows.shape[1], own[i].tobytes(), [int(x[i]) for x in sums]) for i, to in zip(apart.tolist(), _range_of(own[apart], buckets), strict=True)]
+
+
 def _ngrams(order: int, folder: str, frequent: np.ndarray, buckets: int, table: pa.Table) -> pa.Table:
     """Writes a bucket's n-grams and contexts; gives the next lower order's n-grams, sums of split contexts and a row of totals. What isn't an n-gram of this order passes through."""
     kinds = table.column("kind").to_pylist()
-    rows, counts, out = [], [], []
+    every, out, at = table.column("numbers").to_pylist(), [], 0
     bucket = table.column("bucket")[0].as_py()
-    for kind, data, numbers in zip(kinds, table.column("data"), table.column("numbers").to_pylist(), strict=True):
+    total = sum(numbers[0] for kind, numbers in zip(kinds, every, strict=True) if kind == order)
+    rows, counts = np.empty((total, order), np.uint64), np.empty(total, np.int64)
+    for kind, data, numbers in zip(kinds, table.column("data"), every, strict=True):
         if kind == order:
-            r, c = unpack(data.as_py(), numbers, order)
-            rows.append(r)
-            counts.append(c)
+            rows[at : at + numbers[0]], counts[at : at + numbers[0]] = unpack(data.as_py(), numbers, order)
+            at += numbers[0]
         else:
             out.append((bucket, kind, data.as_py(), numbers))
-    if rows:
-        rows, counts = _sum(np.concatenate(rows), np.concatenate(counts))
-        context, (_, split) = ngram_hash(rows[:, :-1]), places(rows, frequent, buckets)
-        by = np.argsort(context, kind="stable")
-        new = _firsts(context[by])
-        sums = [np.add.reduceat(x[by], new) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), np.ones_like(counts))]
-        own, whole = context[by[new]], ~split[by[new]]
-        _save(f"{folder}/{order}/{bucket:08d}", _by_key(ngram_hash(rows), [counts], counts == 1) + _by_key(own[whole], [x[whole] for x in sums], sums[0][whole] == 1))
-        to = _range_of(own, buckets)
-        for i in np.flatnonzero(~whole).tolist():
-            out.append((int(to[i]), SPLIT + order, own[i].tobytes(), [int(x[i]) for x in sums]))
-        if order > 1:
-            out += _deal(*_sum(rows[:, 1:], np.ones(len(rows), np.int64)), frequent, buckets)
+    if total:
+        rows, counts = _sum(rows, counts)
+        out += _written(rows, counts, f"{folder}/{order}/{bucket:08d}", frequent, buckets)
         out.append((bucket, TOTAL + order, b"", [int((counts == j).sum()) for j in (1, 2, 3, 4)]))
+        del counts
+        if order > 1:
+            lower = _sum(rows[:, 1:], np.ones(len(rows), np.int64))
+            del rows
+            out += _deal(*lower, frequent, buckets)
     return table_of(out, _packed)
 
 
@@ -408,7 +443,7 @@ class Files:
         out = [np.zeros(len(h), dtype=np.int64) for _ in range(n)]
         if not len(h):
             return out
-        order = np.argsort(bucket, kind="stable")
+        order = _by_bucket(bucket)
         cut = _firsts(bucket[order])
         for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
             own = order[a:b]
@@ -466,7 +501,11 @@ def log10_probabilities(model: NgramModel, tokens: np.ndarray, at: np.ndarray) -
         context = grams[before] if width > 1 else np.zeros(len(ends), np.int64)
         key = code.astype(np.int64)
         key[1:] += grams[:-1] * len(words)
-        _, first, own = np.unique(key, return_index=True, return_inverse=True)
+        by = np.argsort(key)  # any of an n-gram's places will do, so that the sort needn't be stable
+        ordered = key[by]
+        new = _firsts(ordered)
+        first, own = by[new], np.empty(len(by), np.int64)
+        own[by] = np.repeat(np.arange(len(new)), np.diff(new, append=len(by)))
         rows, grams = np.stack([tokens[np.maximum(first - width + 1 + j, 0)] for j in range(width)], axis=1), own
         c = files.counts(rows)
         own = np.maximum(c - d[np.minimum(c, 3)], 0)[grams[ends]]

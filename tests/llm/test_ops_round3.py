@@ -284,3 +284,25 @@ def test_new_words_are_encoded_with_their_text():
     text = "\n".join(" ".join(f"w{i * j}x{j}" for j in range(50)) for i in range(20)) + "  end "
     assert np.frombuffer(mine(text), "<u4").tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
     assert len(calls) == 1
+
+
+def test_buckets_of_ngrams_fit_beside_the_executor():
+    """A bucket of two million n-grams is summed, written and passed on in less than seven times their own space."""
+    import tempfile
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tarnlake.llm import ngram_lm
+
+    rng, frequent = np.random.default_rng(5), np.array([ngram_lm.BEGIN])
+    words = rng.integers(1, 1 << 63, 4000, dtype=np.uint64)
+    messages = [(0, 3, *ngram_lm.pack(words[rng.integers(0, 4000, (50_000, 3))], np.ones(50_000, np.int64))) for _ in range(40)]
+    table = ngram_lm.table_of(messages, ngram_lm._packed)
+    with tempfile.TemporaryDirectory() as folder:
+        tracemalloc.start()
+        out = ngram_lm._ngrams(3, folder, frequent, 64, table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert isinstance(out, pa.Table) and out.num_rows > 1
+    assert peak < 7 * 2_000_000 * 24, peak
