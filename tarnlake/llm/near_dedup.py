@@ -290,10 +290,10 @@ def linked_components(signed: DataFrame, num: int, den: int, rounds: int = 2) ->
             new = verified(staged(pairs, "candidates"), signed, num, den)
         else:
             new = verified(staged(_sharing_singles(own, num, den), "candidates"), signed, num, den).unionByName(_family_links(own, signed, num, den))
-        new = staged(new, "links")
+        new = staged(new, "links", narrow=True)
         if not new.isEmpty():
             links = links.unionByName(new)
-            found = staged(components(links), "components")
+            found = staged(components(links), "components", narrow=True)
     return found if found is not None else spark.createDataFrame([], "node binary, component binary")
 
 

@@ -32,9 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read from Parquet in the shared folder. Lost executors lose none of it."""
+def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df, computed once and read from Parquet in the shared folder. Lost executors lose none of it.
+
+    narrow: rows are a few numbers, so that tasks are four a core, or 32, at most, each with several partitions after each other. An executor starts processes for each file that it writes, and
+    a loop over small tables else writes thousands of files of a few rows."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism))
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -306,3 +306,20 @@ def test_buckets_of_ngrams_fit_beside_the_executor():
         tracemalloc.stop()
     assert isinstance(out, pa.Table) and out.num_rows > 1
     assert peak < 7 * 2_000_000 * 24, peak
+
+
+def test_links_are_kept_in_few_files(spark):
+    """However many partitions a shuffle has, the tables of a search for components are a few files each."""
+    from tarnlake.llm.components import components
+
+    conf = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.range(4000).selectExpr("id AS a", "id - id % 4 AS b"))
+        assert len(found.inputFiles()) <= max(32, 4 * spark.sparkContext.defaultParallelism) < 211
+        assert {(r["node"], r["component"]) for r in found.collect()} == {(i, i - i % 4) for i in range(4000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
