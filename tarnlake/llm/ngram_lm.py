@@ -6,7 +6,7 @@ whole in one bucket and few n-grams of the lower order are counted in two; where
 the last case the context's sums are added up over buckets. No frequent word makes a bucket larger than others.
 
 A bucket's arrays are one file in the shared folder: n-grams and their counts, contexts with total and how many of their continuations have count 1, 2 and more, both sorted by hash. Of a
-hash 24 bits are stored, others say where to look, so that about one look-up in a million finds what isn't there. Workers map files into memory, so that the model is neither sent through the driver nor held by any
+hash 24 bits are stored, others say where to look, so that about one look-up in five million finds what isn't there. Workers map files into memory, so that the model is neither sent through the driver nor held by any
 process. A slice's look-ups are sorted first, so that each file is read in order. The folder has to be mounted where tasks run; a worker that doesn't see the model's mark in it raises.
 
 p_k(w | u) = max(c(uw) - D(c(uw)), 0) / c(u.) + (D1 N1(u.) + D2 N2(u.) + D3 N3+(u.)) / c(u.) * p_{k-1}(w | u'), down to 1 / (V + 1) below unigrams;
@@ -39,6 +39,8 @@ GATHERED = 3 << 19
 CHUNK = 1 << 16
 #: Bytes of text whose look-ups are sorted together.
 SCORED_BYTES = 1 << 21
+#: Hashes that are compared with stored keys at once.
+COMPARED = 1 << 14
 MARK = "complete"
 
 
@@ -59,12 +61,47 @@ def _firsts(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
 
 
+def _sorted(h: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal numbers of so many bits are neighbours, and the numbers in it.
+
+    Numbers are sorted with their places as lowest bits, several times faster than argsort. Where bits had to give way to these and were all that numbers differ in, argsort serves."""
+    low = np.uint64(len(h).bit_length())
+    place = (np.uint64(1) << low) - np.uint64(1)
+    fit = bits + int(low) <= 64
+    both = (h.astype(np.uint64) << low) if fit else h & ~place
+    both |= np.arange(len(h), dtype=np.uint64)
+    both.sort()
+    if fit:
+        order = (both & place).view(np.int64)
+        both >>= low
+        return order, both
+    alike = np.zeros(max(len(h) - 1, 0), dtype=bool)
+    for own in _chunks(len(alike)):
+        alike[own] = (both[own.start + 1 : own.stop + 1] ^ both[:-1][own]) <= place
+    both &= place
+    order = both.view(np.int64)
+    ordered = h[order]
+    if np.any(alike & (ordered[1:] != ordered[:-1])):
+        order = np.argsort(h)
+        ordered = h[order]
+    return order, ordered
+
+
+def _coded(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, and which of them each one is."""
+    order, ordered = _sorted(words)
+    new = _firsts(ordered)
+    code = np.empty(len(words), np.int64)
+    code[order] = np.repeat(np.arange(len(new)), np.diff(new, append=len(words)))
+    return ordered[new], code
+
+
 def _sum(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of n words each and their summed counts, in order of the n-gram's hash."""
-    h = ngram_hash(rows)
-    order = np.argsort(h)
-    new = _firsts(h[order])
-    return rows[order[new]], np.add.reduceat(counts[order], new) if len(h) else counts
+    """Distinct rows of n words each and their summed counts."""
+    order, h = _sorted(ngram_hash(rows))
+    new = _firsts(h)
+    del h
+    return rows[order[new]], np.add.reduceat(counts[order], new) if len(order) else counts
 
 
 def _chunks(n: int) -> Iterator[slice]:
@@ -95,10 +132,12 @@ def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 def context_keys(contexts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What each context is dealt by, and whether it is split over buckets instead. frequent: sorted words, the begin mark among them."""
     often = [_is_in(contexts[:, j], frequent) for j in range(contexts.shape[1])]
-    key = ngram_hash(contexts)
-    if len(often) > 1:
-        key = np.where(np.logical_and.reduce(often[1:]), key, ngram_hash(contexts[:, 1:]))
-    return key, np.logical_and.reduce([np.ones(len(contexts), bool), *often])
+    if len(often) < 2:
+        return ngram_hash(contexts), np.logical_and.reduce([np.ones(len(contexts), bool), *often])
+    key, whole = ngram_hash(contexts[:, 1:]), np.logical_and.reduce(often[1:])
+    own = np.flatnonzero(whole)
+    key[own] = ngram_hash(contexts[own])
+    return key, whole & often[0]
 
 
 def _range_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -110,7 +149,9 @@ def places(rows: np.ndarray, frequent: np.ndarray, buckets: int) -> tuple[np.nda
     bucket, split = np.empty(len(rows), np.int64), np.empty(len(rows), bool)
     for own in _chunks(len(rows)):
         key, split[own] = context_keys(rows[own, :-1], frequent)
-        bucket[own] = _range_of(np.where(split[own], ngram_hash(rows[own]), key), buckets)
+        apart = np.flatnonzero(split[own])
+        key[apart] = ngram_hash(rows[own][apart])
+        bucket[own] = _range_of(key, buckets)
     return bucket, split
 
 
@@ -137,8 +178,8 @@ def _least_type(a: np.ndarray) -> np.ndarray:
 def pack(rows: np.ndarray, counts: np.ndarray) -> tuple[bytes, list[int]]:
     """n-grams as numbers of their distinct words, the most frequent ones first, sorted and compressed, and what it takes to read them."""
     width = rows.shape[1]
-    words, code, n = np.unique(rows, return_inverse=True, return_counts=True)
-    rank = np.lexsort((words, -n))
+    words, code = _coded(rows.reshape(-1))
+    rank = np.lexsort((words, -np.bincount(code)))
     to = np.empty(len(rank), np.int64)
     to[rank] = np.arange(len(rank))
     code, words = to[code.reshape(rows.shape)], words[rank]
@@ -146,7 +187,7 @@ def pack(rows: np.ndarray, counts: np.ndarray) -> tuple[bytes, list[int]]:
         key = np.zeros(len(rows), np.int64)
         for j in [*range(1, width - 1), 0, *[width - 1] * (width > 1)]:
             key = key * len(words) + code[:, j]
-        order = np.argsort(key)
+        order, _ = _sorted(key.astype(np.uint64), (len(words) ** width).bit_length())
         code, counts = code[order], counts[order]
     code, counts = _least_type(code), _least_type(counts)
     data = _planes(np.diff(words, prepend=np.uint64(0))) + b"".join(_planes(np.ascontiguousarray(code[:, j])) for j in range(width)) + _planes(counts)
@@ -178,9 +219,8 @@ def _count(batches: Iterator[pa.RecordBatch], order: int, frequent: np.ndarray,
         held.clear()
         # an n-gram begins wherever its last word isn't a begin mark
         starts = np.flatnonzero(grams[:, -1] != BEGIN)
-        h = ngram_hash(grams)[starts]
-        by = np.argsort(h)
-        new = _firsts(h[by])
+        by, h = _sorted(ngram_hash(grams)[starts])
+        new = _firsts(h)
         starts, counts = starts[by[new]], np.diff(np.concatenate([new, [len(by)]]))
         del h, by, new
         rows = grams[starts]
@@ -233,21 +273,27 @@ def _load(path: str, n: int) -> list[np.ndarray] | None:
 
 #: Bits of a key that are stored; those above say where to look.
 STORED = 24
+#: Keys in a place on average, and bits of the number of places of which the first one's begin is stored whole; the others count on from it.
+LOAD, GROUP = 3, 5
 
 
-def _slots(n: int) -> int:
-    """Bits of a key that pick one of about n / 8 places."""
-    return max(0, n.bit_length() - 4)
+def _place(h: np.ndarray, n: int) -> np.ndarray:
+    """Which of about n / LOAD places a key is in; the highest bits of a hash say in which bucket."""
+    return ((((h >> np.uint64(STORED)) & np.uint64(0xFFFFFF)) * np.uint64(n // LOAD + 1)) >> np.uint64(24)).astype(np.int64)
 
 
 def _sorted_keys(h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Order of the keys, and where each place begins and the stored bits in this order."""
-    bits = _slots(len(h))
-    key = h & np.uint64((1 << (bits + STORED)) - 1)
-    order = np.argsort(key)
-    key = key[order]
-    begin = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(STORED))
-    return order, [begin.astype("<u4"), (key & np.uint64(0xFFFF)).astype("<u2"), ((key >> np.uint64(16)) & np.uint64(0xFF)).astype("<u1")]
+    place = _place(h, len(h))
+    begin = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(h) // LOAD + 1))])
+    whole = begin[:: 1 << GROUP].astype("<u4")
+    on = _least_type(begin - whole[np.arange(len(begin)) >> GROUP])
+    del begin
+    key = place.view(np.uint64) << np.uint64(STORED)
+    del place
+    key |= h & np.uint64((1 << STORED) - 1)
+    order, key = _sorted(key, STORED + (len(h) // LOAD + 1).bit_length())
+    return order, [whole, on, (key & np.uint64(0xFFFF)).astype("<u2"), ((key >> np.uint64(16)) & np.uint64(0xFF)).astype("<u1")]
 
 
 def _by_key(h: np.ndarray, columns: list[np.ndarray], plain: np.ndarray) -> list[np.ndarray]:
@@ -260,59 +306,63 @@ def _by_key(h: np.ndarray, columns: list[np.ndarray], plain: np.ndarray) -> list
     return [*out, *keys, *(np.minimum(c[order], 255).astype("<u1") for c in columns), large.astype("<u4"), *(c[order[large]].astype("<u8") for c in columns)]
 
 
-def _found(begin: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Where each hash is in sorted keys, or -1; a binary search in its place."""
-    key = h & np.uint64((1 << (_slots(len(low)) + STORED)) - 1)
-    slot, key = (key >> np.uint64(STORED)).astype(np.int64), (key & np.uint64((1 << STORED) - 1)).astype(np.int64)
-    a, end = begin[slot].astype(np.int64), begin[slot + 1].astype(np.int64)
-    b = end.copy()
-    left = np.flatnonzero(a < b)
-    while len(left):
-        x, y = a[left], b[left]
-        mid = (x + y) >> 1
-        less = (low[mid] | high[mid].astype(np.int64) << 16) < key[left]
-        a[left], b[left] = np.where(less, mid + 1, x), np.where(less, y, mid)
-        left = left[a[left] < b[left]]
+def _found(whole: np.ndarray, on: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash is in sorted keys, or -1; it is compared with the keys in its place, the first ones of all places first."""
     out = np.full(len(h), -1, dtype=np.int64)
-    left = np.flatnonzero(a < end)
-    at = a[left]
-    hit = (low[at] | high[at].astype(np.int64) << 16) == key[left]
-    out[left[hit]] = at[hit]
+    if not len(low):
+        return out
+    for a in range(0, len(h), COMPARED):
+        own, found = h[a : a + COMPARED], out[a : a + COMPARED]
+        place = _place(own, len(low))
+        begin = whole.take(place >> GROUP).astype(np.int64) + on.take(place)
+        place += 1
+        end = whole.take(place >> GROUP).astype(np.int64) + on.take(place)
+        own_low, own_high = own.astype(np.uint16), (own >> np.uint64(16)).astype(np.uint8)
+        for _ in range(LOAD):
+            hit = (low.take(begin, mode="clip") == own_low) & (high.take(begin, mode="clip") == own_high) & (begin < end)
+            np.copyto(found, begin, where=hit)
+            begin += 1
+        left = np.flatnonzero((begin < end) & (found < 0))
+        n = end[left] - begin[left]
+        which = left.repeat(n)
+        at = (begin[left] - np.cumsum(n) + n).repeat(n) + np.arange(len(which))
+        hit = (low[at] == own_low[which]) & (high[at] == own_high[which])
+        found[which[hit]] = at[hit]
     return out
 
 
 def _looked_up(arrays: list[np.ndarray], h: np.ndarray, n: int) -> list[np.ndarray]:
     """The n columns of each hash, 0 where it isn't there."""
     out = [np.zeros(len(h), dtype=np.int64) for _ in range(n)]
-    plain = _found(*arrays[:3], h) >= 0
+    plain = _found(*arrays[:4], h) >= 0
     missing = np.flatnonzero(~plain)
-    other = np.full(len(h), -1, dtype=np.int64)
-    other[missing] = _found(*arrays[3:6], h[missing])
-    hit = other >= 0
-    large = arrays[6 + n]
+    for j in _ONES[n]:
+        out[j][plain] = 1
+    at = _found(*arrays[4:8], h[missing])
+    hit = np.flatnonzero(at >= 0)
+    missing, at = missing[hit], at[hit]
+    large, beyond = arrays[8 + n], np.zeros(len(at), dtype=bool)
     for j, c in enumerate(out):
-        c[plain] = j in _ONES[n]
-        c[hit] = arrays[6 + j][other[hit]]
-    if len(large):
-        at = np.searchsorted(large, other)
-        at[at == len(large)] = 0
-        hit &= large[at] == other
+        stored = arrays[8 + j][at]
+        c[missing] = stored
+        beyond |= stored == 255
+    beyond = np.flatnonzero(beyond)
+    if len(beyond):
+        row = np.searchsorted(large, at[beyond])
         for j, c in enumerate(out):
-            c[hit] = arrays[7 + n + j][at[hit]]
+            c[missing[beyond]] = arrays[9 + n + j][row]
     return out
 
 
 #: Which columns of a plain row are 1: an n-gram's count; a context's total, continuations of count 1 and all continuations.
 _ONES = {1: (0,), 4: (0, 1, 3)}
-_N_ARRAYS = {1: 9, 4: 15}
+_N_ARRAYS = {1: 11, 4: 17}
 
 
 def _written(rows: np.ndarray, counts: np.ndarray, path: str, frequent: np.ndarray, buckets: int) -> list[tuple]:
     """Writes n-grams and contexts; gives the sums of split contexts."""
     arrays = _by_key(ngram_hash(rows), [counts], counts == 1)
-    context = ngram_hash(rows[:, :-1])
-    by = np.argsort(context)
-    context = context[by]
+    by, context = _sorted(ngram_hash(rows[:, :-1]))
     new = _firsts(context)
     own, first = context[new], by[new]
     del context
@@ -320,10 +370,16 @@ def _written(rows: np.ndarray, counts: np.ndarray, path: str, frequent: np.ndarr
     ordered = counts[by]
     del by, first
     sums = [np.add.reduceat(x, new, dtype=np.int64) for x in (ordered, ordered == 1, ordered == 2)] + [np.diff(new, append=len(ordered))]
-    del ordered
-    _save(path, arrays + _by_key(own[whole], [x[whole] for x in sums], sums[0][whole] == 1))
+    del ordered, new
     apart = np.flatnonzero(~whole)
-    return [(int(to), SPLIT + rows.shape[1], own[i].tobytes(), [int(x[i]) for x in sums]) for i, to in zip(apart.tolist(), _range_of(own[apart], buckets), strict=True)]
+    split = [(int(to), SPLIT + rows.shape[1], own[i].tobytes(), [int(x[i]) for x in sums]) for i, to in zip(apart.tolist(), _range_of(own[apart], buckets), strict=True)]
+    if len(apart):
+        own = own[whole]
+        for j, x in enumerate(sums):
+            sums[j] = x[whole]
+        del x
+    _save(path, arrays + _by_key(own, sums, sums[0] == 1))
+    return split
 
 
 def _ngrams(order: int, folder: str, frequent: np.ndarray, buckets: int, table: pa.Table) -> pa.Table:
@@ -455,17 +511,17 @@ class Files:
 
     def plain(self, words: np.ndarray) -> np.ndarray:
         rows = words.reshape(-1, 1)
-        return self._find("plain", places(rows, self.frequent, self.model.buckets)[0], ngram_hash(rows), 0, 1, 9)[0]
+        return self._find("plain", places(rows, self.frequent, self.model.buckets)[0], ngram_hash(rows), 0, 1, _N_ARRAYS[1])[0]
 
     def counts(self, rows: np.ndarray) -> np.ndarray:
-        return self._find(f"{rows.shape[1]}", places(rows, self.frequent, self.model.buckets)[0], ngram_hash(rows), 0, 1, 24)[0]
+        return self._find(f"{rows.shape[1]}", places(rows, self.frequent, self.model.buckets)[0], ngram_hash(rows), 0, 1, sum(_N_ARRAYS.values()))[0]
 
     def contexts(self, rows: np.ndarray) -> list[np.ndarray]:
         """Total, ones, twos and all of each context."""
         width, h = rows.shape[1] + 1, ngram_hash(rows)
         key, split = context_keys(rows, self.frequent)
         out = [np.zeros(len(rows), dtype=np.int64) for _ in range(4)]
-        for which, key, folder, first, n_arrays in ((~split, key, f"{width}", 9, 24), (split, h, f"{width}split", 0, 15)):
+        for which, key, folder, first, n_arrays in ((~split, key, f"{width}", _N_ARRAYS[1], sum(_N_ARRAYS.values())), (split, h, f"{width}split", 0, _N_ARRAYS[4])):
             own = np.flatnonzero(which)
             for c, found in zip(out, self._find(folder, _range_of(key[own], self.model.buckets), h[own], first, 4, n_arrays), strict=True):
                 c[own] = found
@@ -491,26 +547,30 @@ def log10_probabilities(model: NgramModel, tokens: np.ndarray, at: np.ndarray) -
     for j in range(n - 1):
         inside[at[:-1] + j] = False
     ends = np.flatnonzero(inside)
-    words, code = np.unique(tokens, return_inverse=True)
-    p = np.full(len(ends), 1 / (model.types + 1))
-    grams, rows = np.zeros(len(tokens), np.int64), np.zeros((1, 0), np.uint64)  # number of the (width - 1)-gram that ends at each token; these n-grams
+    words, code = _coded(tokens)
+    # number of the (width - 1)-gram that ends at each token; these n-grams and their probabilities
+    grams, rows, p = np.zeros(len(tokens), np.int64), np.zeros((1, 0), np.uint64), np.full(1, 1 / (model.types + 1))
     for width in range(1, n + 1):
         d = np.array([0.0, *model.discounts[width - 1]])
         total, ones, twos, every = files.contexts(rows)
-        left, before = d[1] * ones + d[2] * twos + d[3] * (every - ones - twos), np.maximum(ends - 1, 0)
-        context = grams[before] if width > 1 else np.zeros(len(ends), np.int64)
-        key = code.astype(np.int64)
-        key[1:] += grams[:-1] * len(words)
-        by = np.argsort(key)  # any of an n-gram's places will do, so that the sort needn't be stable
-        ordered = key[by]
-        new = _firsts(ordered)
-        first, own = by[new], np.empty(len(by), np.int64)
-        own[by] = np.repeat(np.arange(len(new)), np.diff(new, append=len(by)))
-        rows, grams = np.stack([tokens[np.maximum(first - width + 1 + j, 0)] for j in range(width)], axis=1), own
-        c = files.counts(rows)
-        own = np.maximum(c - d[np.minimum(c, 3)], 0)[grams[ends]]
-        p = np.where(total[context] > 0, (own + left[context] * p) / np.maximum(total[context], 1), p)
-    return np.log10(p), files.plain(words)[code[ends]]
+        left = d[1] * ones + d[2] * twos + d[3] * (every - ones - twos)
+        if width == 1:
+            number, first = code, np.empty(len(words), np.int64)
+            first[code] = np.arange(len(code))
+        else:
+            key = code.copy()
+            key[1:] += grams[:-1] * len(words)
+            by, ordered = _sorted(key.view(np.uint64), (len(rows) * len(words)).bit_length())
+            new = _firsts(ordered)
+            first, number = by[new], np.empty(len(by), np.int64)
+            number[by] = np.repeat(np.arange(len(new)), np.diff(new, append=len(by)))
+        context, shorter = grams[np.maximum(first - 1, 0)], p[grams[first]]
+        rows, grams = np.stack([tokens[np.maximum(first - width + 1 + j, 0)] for j in range(width)], axis=1), number
+        c, total = files.counts(rows), total[context]
+        p = np.where(total > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + left[context] * shorter) / np.maximum(total, 1), shorter)
+        if width == 1:
+            plain = files.plain(rows)
+    return np.log10(p)[grams[ends]], plain[code[ends]]
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
