@@ -7,7 +7,7 @@ the last case the context's sums are added up over buckets. No frequent word mak
 
 A bucket's arrays are one file in the shared folder: n-grams and their counts, contexts with total and how many of their continuations have count 1, 2 and more, both sorted by hash. Of a
 hash 24 bits are stored, others say where to look, so that about one look-up in five million finds what isn't there. Workers map files into memory, so that the model is neither sent through the driver nor held by any
-process. A slice's look-ups are sorted first, so that each file is read in order. The folder has to be mounted where tasks run; a worker that doesn't see the model's mark in it raises.
+process. A slice's look-ups are put in order of their files, and files with few of them share numpy's calls but for the reading. The folder has to be mounted where tasks run; a worker that doesn't see the model's mark in it raises.
 
 p_k(w | u) = max(c(uw) - D(c(uw)), 0) / c(u.) + (D1 N1(u.) + D2 N2(u.) + D3 N3+(u.)) / c(u.) * p_{k-1}(w | u'), down to 1 / (V + 1) below unigrams;
 an unseen context passes to the next lower order whole. A text's first words see begin marks as context, which are never predicted.
@@ -19,7 +19,9 @@ Repeated rows count as often as they occur, null ids are in fold 0, other column
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -261,10 +263,17 @@ def _save(path: str, arrays: list[np.ndarray]) -> None:
     os.replace(mine, path)
 
 
+#: A mapped file then needs no open one, of which a process has few.
+_UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
+
 def _load(path: str, n: int) -> list[np.ndarray] | None:
-    if not os.path.exists(path):
+    try:
+        with open(path, "rb") as f:
+            data = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED), np.uint8)
+    except FileNotFoundError:
         return None
-    data, at, out = np.asarray(np.memmap(path, np.uint8, "r")), 16 * n, []  # a plain array: a memmap makes each index slow
+    at, out = 16 * n, []
     for size, length in data[:at].view("<i8").reshape(n, 2).tolist():
         out.append(data[at : at + size * length].view(f"<u{size}"))
         at += -(-size * length // 8) * 8
@@ -277,9 +286,9 @@ STORED = 24
 LOAD, GROUP = 3, 5
 
 
-def _place(h: np.ndarray, n: int) -> np.ndarray:
+def _place(h: np.ndarray, n: int | np.ndarray) -> np.ndarray:
     """Which of about n / LOAD places a key is in; the highest bits of a hash say in which bucket."""
-    return ((((h >> np.uint64(STORED)) & np.uint64(0xFFFFFF)) * np.uint64(n // LOAD + 1)) >> np.uint64(24)).astype(np.int64)
+    return ((((h >> np.uint64(STORED)) & np.uint64(0xFFFFFF)) * np.asarray(n // LOAD + 1, np.uint64)) >> np.uint64(24)).astype(np.int64)
 
 
 def _sorted_keys(h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -306,57 +315,93 @@ def _by_key(h: np.ndarray, columns: list[np.ndarray], plain: np.ndarray) -> list
     return [*out, *keys, *(np.minimum(c[order], 255).astype("<u1") for c in columns), large.astype("<u4"), *(c[order[large]].astype("<u8") for c in columns)]
 
 
-def _found(whole: np.ndarray, on: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Where each hash is in sorted keys, or -1; it is compared with the keys in its place, the first ones of all places first."""
-    out = np.full(len(h), -1, dtype=np.int64)
-    if not len(low):
-        return out
-    for a in range(0, len(h), COMPARED):
-        own, found = h[a : a + COMPARED], out[a : a + COMPARED]
-        place = _place(own, len(low))
-        begin = whole.take(place >> GROUP).astype(np.int64) + on.take(place)
-        place += 1
-        end = whole.take(place >> GROUP).astype(np.int64) + on.take(place)
-        own_low, own_high = own.astype(np.uint16), (own >> np.uint64(16)).astype(np.uint8)
-        for _ in range(LOAD):
-            hit = (low.take(begin, mode="clip") == own_low) & (high.take(begin, mode="clip") == own_high) & (begin < end)
-            np.copyto(found, begin, where=hit)
-            begin += 1
-        left = np.flatnonzero((begin < end) & (found < 0))
+def _taken(arrays: list[np.ndarray], cut: list[int], index: np.ndarray, kind: type) -> np.ndarray:
+    """What each file's array has at its part of the index's last axis; a number where that is beyond the end, too."""
+    out = np.zeros(index.shape, kind)
+    for array, a, b in zip(arrays, cut, cut[1:], strict=False):
+        if a < b and len(array):
+            out[..., a:b] = array.take(index[..., a:b], mode="clip")
+    return out
+
+
+def _found(files: list[list[np.ndarray]], cut: list[int], h: np.ndarray) -> np.ndarray:
+    """Where each hash is in its file's sorted keys, or -1; it is compared with the keys in its place, the first ones of all places first."""
+    whole, on, low, high = zip(*files, strict=True)
+    place = _place(h, np.repeat(np.array([len(x) for x in low], np.uint64), np.diff(cut)))
+    place = np.stack([place, place + 1])
+    begin, end = _taken(whole, cut, place >> GROUP, np.int64) + _taken(on, cut, place, np.int64)
+    own_low, own_high, out = h.astype(np.uint16), (h >> np.uint64(16)).astype(np.uint8), np.full(len(h), -1, dtype=np.int64)
+    at = begin + np.arange(LOAD)[:, None]
+    hit = (_taken(low, cut, at, np.uint16) == own_low) & (_taken(high, cut, at, np.uint8) == own_high) & (at < end)
+    for which, x in zip(hit, at, strict=True):
+        np.copyto(out, x, where=which)
+    begin += LOAD
+    left = np.flatnonzero((begin < end) & (out < 0))
+    if len(left):
         n = end[left] - begin[left]
         which = left.repeat(n)
         at = (begin[left] - np.cumsum(n) + n).repeat(n) + np.arange(len(which))
-        hit = (low[at] == own_low[which]) & (high[at] == own_high[which])
-        found[which[hit]] = at[hit]
+        cut = np.searchsorted(which, cut).tolist()
+        hit = (_taken(low, cut, at, np.uint16) == own_low[which]) & (_taken(high, cut, at, np.uint8) == own_high[which])
+        out[which[hit]] = at[hit]
     return out
 
 
-def _looked_up(arrays: list[np.ndarray], h: np.ndarray, n: int) -> list[np.ndarray]:
-    """The n columns of each hash, 0 where it isn't there."""
+def _groups(pieces: list[tuple[int, int, list[np.ndarray]]]) -> Iterator[list[tuple[int, int, list[np.ndarray]]]]:
+    """Pieces cut to COMPARED hashes at most, and of small ones as many together."""
+    group: list[tuple[int, int, list[np.ndarray]]] = []
+    for start, stop, arrays in pieces:
+        for a in range(start, stop, COMPARED):
+            b = min(stop, a + COMPARED)
+            if group and b - group[0][0] > COMPARED:
+                yield group
+                group = []
+            group.append((a, b, arrays))
+    if group:
+        yield group
+
+
+def _in_files(pieces: list[tuple[int, int, list[np.ndarray]]], h: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n columns of each hash, 0 where it isn't there. pieces: from, to and the arrays of the file where these hashes may be.
+
+    With many files each has few hashes, so that numpy's calls are shared between files but for the reading itself."""
     out = [np.zeros(len(h), dtype=np.int64) for _ in range(n)]
-    plain = _found(*arrays[:4], h) >= 0
-    missing = np.flatnonzero(~plain)
-    for j in _ONES[n]:
-        out[j][plain] = 1
-    at = _found(*arrays[4:8], h[missing])
-    hit = np.flatnonzero(at >= 0)
-    missing, at = missing[hit], at[hit]
-    large, beyond = arrays[8 + n], np.zeros(len(at), dtype=bool)
-    for j, c in enumerate(out):
-        stored = arrays[8 + j][at]
-        c[missing] = stored
-        beyond |= stored == 255
-    beyond = np.flatnonzero(beyond)
-    if len(beyond):
-        row = np.searchsorted(large, at[beyond])
+    for group in _groups(pieces):
+        start, files = group[0][0], [arrays for _, _, arrays in group]
+        own, cut = h[start : group[-1][1]], [0, *(b - start for _, b, _ in group)]
+        plain = _found([x[:4] for x in files], cut, own) >= 0
+        for j in _ONES[n]:
+            out[j][start : start + len(own)] = plain
+        missing = np.flatnonzero(~plain)
+        at = _found([x[4:8] for x in files], np.searchsorted(missing, cut).tolist(), own[missing])
+        hit = np.flatnonzero(at >= 0)
+        missing, at = missing[hit], at[hit]
+        cut, beyond = np.searchsorted(missing, cut).tolist(), np.zeros(len(at), dtype=bool)
         for j, c in enumerate(out):
-            c[missing[beyond]] = arrays[9 + n + j][row]
+            stored = _taken([x[8 + j] for x in files], cut, at, np.uint8)
+            c[start + missing] = stored
+            beyond |= stored == 255
+        beyond = np.flatnonzero(beyond)
+        if len(beyond):
+            cut = np.searchsorted(beyond, cut).tolist()
+            for arrays, a, b in zip(files, cut, cut[1:], strict=False):
+                if a < b:
+                    row = np.searchsorted(arrays[8 + n], at[beyond[a:b]])
+                    for j, c in enumerate(out):
+                        c[start + missing[beyond[a:b]]] = arrays[9 + n + j][row]
     return out
 
 
+def _looked_up(arrays: list[np.ndarray], h: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n columns of each hash in one file's arrays."""
+    return _in_files([(0, len(h), arrays)], h, n)
+
+
 #: Which columns of a plain row are 1: an n-gram's count; a context's total, continuations of count 1 and all continuations.
 _ONES = {1: (0,), 4: (0, 1, 3)}
 _N_ARRAYS = {1: 11, 4: 17}
+#: The arrays of no rows.
+_NOTHING = {n: _by_key(np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * n, np.zeros(0, bool)) for n in _ONES}
 
 
 def _written(rows: np.ndarray, counts: np.ndarray, path: str, frequent: np.ndarray, buckets: int) -> list[tuple]:
@@ -479,7 +524,7 @@ class Files:
     """A model's files as this process has them mapped."""
 
     #: Files that are mapped at once; a process may not map any number.
-    MOST = 4096
+    MOST = 1 << 14 if _UNTRACKED else 1 << 12
 
     def __init__(self, model: NgramModel) -> None:
         if not os.path.exists(f"{model.folder}/{MARK}"):
@@ -500,13 +545,13 @@ class Files:
         if not len(h):
             return out
         order = _by_bucket(bucket)
-        cut = _firsts(bucket[order])
-        for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
-            own = order[a:b]
-            arrays = self.part(f"{folder}/{bucket[own[0]]:08d}", n_arrays)
-            if arrays is not None:
-                for c, found in zip(out, _looked_up(arrays[first : first + _N_ARRAYS[n]], h[own], n), strict=True):
-                    c[own] = found
+        bucket = bucket[order]
+        cut, pieces = _firsts(bucket), []
+        for a, b, k in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], bucket[cut].tolist(), strict=True):
+            arrays = self.part(f"{folder}/{k:08d}", n_arrays)
+            pieces.append((a, b, _NOTHING[n] if arrays is None else arrays[first : first + _N_ARRAYS[n]]))
+        for c, found in zip(out, _in_files(pieces, h[order], n), strict=True):
+            c[order] = found
         return out
 
     def plain(self, words: np.ndarray) -> np.ndarray:

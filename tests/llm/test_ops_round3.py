@@ -377,3 +377,29 @@ def test_numbers_sort_with_their_places():
             assert sorted(order.tolist()) == list(range(len(h))) and ordered.tolist() == h[order].tolist() == sorted(h.tolist())
         words, code = ngram_lm._coded(h)
         assert len(set(words.tolist())) == len(words) and words[code].tolist() == h.tolist()
+
+
+def test_look_ups_share_calls_between_files(tmp_path):
+    """A model of many files, with few hashes for each, takes few calls a file, and its files aren't held open."""
+    import cProfile
+    import os
+    import pstats
+    import sys
+
+    from tarnlake.llm import ngram_lm
+
+    rng, n = np.random.default_rng(8), 400
+    h = rng.integers(0, 1 << 64, 12_000, dtype=np.uint64)
+    bucket, counts = ngram_lm._range_of(h, n), rng.choice([1, 2, 300], len(h))
+    for k in range(1, n):  # nothing fell in the first
+        own = bucket == k
+        ngram_lm._save(f"{tmp_path}/plain/{k:08d}", ngram_lm._by_key(h[own], [counts[own]], counts[own] == 1))
+    (tmp_path / ngram_lm.MARK).touch()
+    files, before = ngram_lm.Files(ngram_lm.NgramModel(1, str(tmp_path), n, 0, 0)), len(os.listdir("/proc/self/fd"))
+    find = lambda: files._find("plain", bucket, h, 0, 1, ngram_lm._N_ARRAYS[1])[0].tolist()
+    assert find() == np.where(bucket == 0, 0, counts).tolist()
+    if sys.version_info >= (3, 13):
+        assert len(os.listdir("/proc/self/fd")) < before + n // 2
+    profile = cProfile.Profile()
+    profile.runcall(find)
+    assert pstats.Stats(profile).total_calls < 60 * n
