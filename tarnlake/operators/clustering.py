@@ -30,6 +30,12 @@ TILE = 4096
 GRID_AXES = 3
 #: Distances that a task holds at once.
 CELLS = 1 << 20
+#: Pairs of points that are compared without halving.
+PAIRS = 1 << 14
+#: Rows of a core row's surroundings up to which points meet by a join of cells.
+FEW_POINTS = 64
+#: Share by which cells are narrower than they could be, and the cells from zero up to which rounding stays below it.
+MARGIN, FAR = 1e-6, 1 << 30
 
 
 def complete_rows(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -85,18 +91,22 @@ def projected(rows: DataFrame, keys: list[str], columns: list[int], standardise:
 def _groups(points: DataFrame, eps: float, axes: list[int], tile: int) -> DataFrame:
     """Points dealt to groups (cell, own tile, other tile) of at most about `tile` own points and as many others.
 
-    Cells are 2 eps wide on the grid's axes; a point goes to its own cell and to each whose box is within eps. Cells with many points, own or near, are split, so that no group grows with a dense place."""
+    Cells are 2 eps wide on the grid's axes; a point goes to its own cell and to each whose box is within eps. Cells with many points, own or near, are split, so that no group grows with a dense place.
+    Where points have a column asks, those that ask are own only, and cells without such are left out."""
     width = 2 * eps
     at = [F.col("v")[a] / width for a in axes]
-    whole = [F.floor(x) for x in at]
+    whole = [F.floor(F.greatest(F.least(x, F.lit(2.0**62)), F.lit(-(2.0**62)))) for x in at]  # the next cell is a long, too
     offsets = [o for o in product((-1, 0, 1), repeat=len(axes))]
 
     def near(o: tuple[int, ...]) -> Column:
         """Within eps, half a width, of the cell at this offset."""
-        return reduce(lambda a, b: a & b, [F.lit(True) if k == 0 else x - w <= 0.5 + 1e-9 if k < 0 else x - w >= 0.5 - 1e-9 for k, x, w in zip(o, at, whole, strict=True)])
+        return reduce(lambda a, b: a & b, [F.lit(True) if k == 0 else x - w <= 0.5 + MARGIN if k < 0 else x - w >= 0.5 - MARGIN for k, x, w in zip(o, at, whole, strict=True)])
 
     cells = F.array(*[F.when(near(o), F.struct(F.concat_ws(",", *[(w + k).cast("string") for w, k in zip(whole, o, strict=True)]).alias("cell"), F.lit(not any(o)).alias("own"))) for o in offsets])
-    sent = points.withColumn("c", F.explode(F.filter(cells, lambda c: c.isNotNull()))).select("id", "v", "weight", *([] if "core" not in points.columns else ["core"]), "c.cell", "c.own")
+    sent = points.withColumn("c", F.explode(F.filter(cells, lambda c: c.isNotNull()))).select("id", "v", "weight", *[n for n in ("core", "node", "asks") if n in points.columns], "c.cell", "c.own")
+    if "asks" in points.columns:
+        sent = sent.withColumn("own", F.col("own") & F.col("asks"))
+        sent = sent.join(sent.filter("own").select("cell").distinct(), "cell", "left_semi").drop("asks")
     sizes = sent.groupBy("cell").agg(F.sum(F.col("own").cast("long")).alias("n_own"), F.count(F.lit(1)).alias("n"))
     large = sizes.filter(f"n > {tile}").select("cell", F.ceil(F.col("n_own") / tile).cast("int").alias("a"), F.ceil(F.col("n") / tile).cast("int").alias("b"))  # at most a row for each `tile` rows sent
     split = sent.join(large, "cell", "left").withColumns({"a": F.greatest(F.coalesce("a", F.lit(1)), F.lit(1)), "b": F.coalesce("b", F.lit(1))})
@@ -114,18 +124,128 @@ def _within(own: np.ndarray, other: np.ndarray, eps: float) -> Iterator[tuple[np
         yield x + a, y
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, eps: float, min_points: int = 5, tile: int = TILE) -> DataFrame:
-    """(key, cluster): DBSCAN over rows with whole vectors; noise is -1.
-
-    A row with at least min_points rows within eps, itself included, is a core row; core rows within eps of each other share a cluster; another row joins the first cluster of a core row within eps. Clusters count from 0 in order of
-    their least core key. Equal vectors are one weighted point. Points meet in cells of the grid and near its borders only; counts, then links between core points, come from two passes over the same groups, and the
-    components from contraction. keys are whole numbers, each of one row."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and id is not null")
+def _touch(x: np.ndarray, y: np.ndarray, eps: float) -> bool:
+    """Whether a row of x is within eps of one of y. Rows too far from the others' box drop out, and the larger side is halved until few pairs are left."""
+    most, todo = eps * eps, [(x, y)]
+    while todo:
+        x, y = todo.pop()
+        for _ in range(2):  # each side against the other's box
+            if len(x) and len(y):
+                gap = np.maximum(np.maximum(y.min(axis=0) - x, x - y.max(axis=0)), 0.0)
+                x = x[(gap**2).sum(axis=1) <= most * (1 + 1e-9)]
+            x, y = y, x
+        if len(x) * len(y) <= PAIRS:
+            if len(x) and len(y) and (((x[:, None] - y[None]) ** 2).sum(axis=2) <= most).any():
+                return True
+            continue
+        x, y = (x, y) if len(x) >= len(y) else (y, x)
+        order = np.argpartition(x[:, np.ptp(x, axis=0).argmax()], len(x) // 2)
+        todo += [(x[order[: len(x) // 2]], y), (x[order[len(x) // 2 :]], y)]
+    return False
+
+
+def _touching(open_pairs: DataFrame, own: DataFrame, d: int, eps: float, tile: int) -> DataFrame:
+    """Those of the pairs (a, b, and the boxes of a's and b's points) of which a point of a is within eps of one of b. Pairs with many such points are split, so that no group grows with a dense place."""
+    sides = []
+    for side, box in (("a", "b"), ("b", "a")):
+        gap = [F.greatest(F.col(f"{box}_lo")[i] - F.col("v")[i], F.col("v")[i] - F.col(f"{box}_hi")[i], F.lit(0.0)) for i in range(d)]
+        near = open_pairs.join(own.select(F.col("node").alias(side), "id", "v"), side).filter(reduce(Column.__add__, [g * g for g in gap]) <= eps * eps * (1 + 1e-9))
+        sides.append(near.select("a", "b", "id", "v", F.lit(side == "a").alias("first")))
+    sent = held(sides[0].unionByName(sides[1]))
+    sizes = held(sent.groupBy("a", "b").agg(*[F.ceil(F.count(F.when(F.col("first") == first, 1)) / tile).alias(n) for n, first in (("m", True), ("n", False))], F.count(F.lit(1)).alias("rows")).filter("m > 0 and n > 0"))
+    buckets = sizes.agg(F.ceil(F.sum("rows") / tile)).first()[0] or 1
+    split = sent.join(sizes, ["a", "b"]).withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    of_a = split.filter("first").withColumns({"i": part("m"), "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))})
+    of_b = split.filter("not first").withColumns({"j": part("n"), "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))})
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("a", "ascending"), ("b", "ascending")])
+        a, b, first, v = table.column("a").to_numpy(), table.column("b").to_numpy(), table.column("first").to_numpy(), list_matrix(table.column("v").combine_chunks())
+        starts = [*np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]).tolist(), len(a)]
+        found = np.array([s for s, e in zip(starts[:-1], starts[1:], strict=True) if _touch(v[s:e][first[s:e]], v[s:e][~first[s:e]], eps)], dtype=np.int64)
+        return pa.table([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
+
+    names = ["a", "b", "first", "v", "bucket", "i", "j"]
+    return of_a.select(names).unionByName(of_b.select(names)).groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _square(a: list[Column], b: list[Column]) -> Column:
+    return reduce(Column.__add__, [(p - q) * (p - q) for p, q in zip(a, b, strict=True)])
+
+
+def _listed(offsets: list[tuple[int, ...]]) -> Column:
+    """A row for each offset."""
+    return F.expr(f"explode(array({', '.join(f'array({", ".join(map(str, o))})' for o in offsets)}))")
+
+
+def _met(asks: DataFrame, tells: DataFrame, c: list[str], width: float, eps: float, few: bool, tile: int) -> DataFrame:
+    """(u, node, n): for each point that asks, the weight of points within eps that tell, by their node. few: few points ask in a cell, so that a join by cell is short; else they meet as arrays."""
+    d = len(c)
+    if not few:
+        points = asks.select("id", "v", "weight", F.lit(None).cast("long").alias("node"), F.lit(True).alias("asks")).unionByName(tells.select("id", "v", "weight", "node", F.lit(False).alias("asks")))
+
+        def run(table: pa.Table) -> pa.Table:
+            own, other = (table.filter(m) for m in (table.column("own"), pc.and_(pc.invert(table.column("own")), pc.is_valid(table.column("node")))))
+            node, code = np.unique(other.column("node").to_numpy(), return_inverse=True)  # a bounded number of cells
+            n, w = np.zeros((own.num_rows, len(node)), np.int64), other.column("weight").to_numpy()
+            if n.size:
+                for i, j in _within(*(list_matrix(t.column("v").combine_chunks()) for t in (own, other)), eps):
+                    np.add.at(n, (i, code[j]), w[j])
+            i, j = np.nonzero(n)
+            return pa.table([pa.array(own.column("id").to_numpy()[i]), pa.array(node[j].astype(np.int64)), pa.array(n[i, j])], names=["u", "node", "n"])
+
+        return _groups(points, eps, list(range(d)), tile).groupBy("group").applyInArrow(run, "u long, node long, n long").groupBy("u", "node").agg(F.sum("n").alias("n"))
+    o = [F.col("o")[i] for i in range(d)]
+    inside = [F.col("v")[i] / width - F.col(n) for i, n in enumerate(c)]
+    gap = [F.when(k > 0, k - x).when(k < 0, x - k - 1).otherwise(0.0) for k, x in zip(o, inside, strict=True)]
+    visits = asks.withColumn("o", _listed(list(product(range(-2, 3), repeat=d)))).filter(reduce(Column.__add__, [g * g for g in gap]) <= d * (1 + 10 * MARGIN))
+    visits = visits.select(F.col("id").alias("u"), F.col("v").alias("y"), *[(F.col(n) + k).alias(n) for n, k in zip(c, o, strict=True)])
+    near = _square([F.col("v")[i] for i in range(d)], [F.col("y")[i] for i in range(d)]) <= eps * eps
+    return visits.join(tells.select(*c, "v", "weight", "node"), c).filter(near).groupBy("u", "node").agg(F.sum("weight").alias("n"))
+
+
+def _cell_clusters(rows: DataFrame, d: int, eps: float, min_points: int, tile: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows of at most GRID_AXES coordinates: points (v, id, node), components (node, root), and links (u, v) of points that aren't core to nodes.
+
+    Cells are a little under eps / sqrt(d) wide, so points of one cell are within eps of each other: the core points of a cell are one node, and with min_points rows in a cell all its points are core. Only points of other
+    cells, fewer than min_points each, are counted around. Nodes are linked by their outermost points along each axis; where these are not within eps and nothing else has linked two nodes, all their points are compared."""
+    width, c, few = eps / math.sqrt(d) * (1 - MARGIN), [f"c{i}" for i in range(d)], min_points <= FEW_POINTS
+    v, offset = ([F.col(n)[i] for i in range(d)] for n in ("v", "o"))
+    points = rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    placed = held(points.withColumns({n: F.floor(x / width) for n, x in zip(c, v, strict=True)}))
+    sized = placed.join(placed.groupBy(*c).agg((F.sum("weight") >= min_points).alias("dense")), c)
+    counts = _met(sized.filter("not dense"), placed.withColumn("node", F.lit(0).cast("long")), c, width, eps, few, tile).select(F.col("u").alias("id"), (F.col("n") >= min_points).alias("many"))
+    known = held(sized.join(counts, "id", "left").select("id", "v", "weight", *c, (F.col("dense") | F.coalesce("many", F.lit(False))).alias("core")))
+
+    ends = [F.struct(*[f(x, v[i]).alias(f"x{k}") for k, x in enumerate(v)]).alias(f"{n}{i}") for n, f in (("lo", F.min_by), ("hi", F.max_by)) for i in range(d)]
+    outer = {n: F.array(*[F.col(f"{n}{i}")[f"x{i}"] for i in range(d)]) for n in ("lo", "hi")}
+    outer["ends"] = F.array(*[F.array(*[F.col(f"{n}{i}")[f"x{k}"] for k in range(d)]) for n in ("lo", "hi") for i in range(d)])
+    nodes = held(known.filter("core").groupBy(*c).agg(F.min("id").alias("node"), *ends).select(*c, "node", *[x.alias(n) for n, x in outer.items()]))
+    own = known.join(nodes.select(*c, "node"), c, "left").withColumn("node", F.when(F.col("core"), F.col("node")))
+
+    a, b = (nodes.select(*c, *[F.col(n).alias(s if n == "node" else f"{s}_{n}") for n in ("node", *outer)]) for s in "ab")
+    a = a.withColumn("o", _listed([o for o in product(range(-2, 3), repeat=d) if o > (0,) * d])).withColumns({n: F.col(n) + k for n, k in zip(c, offset, strict=True)})
+    apart = [F.greatest(F.col("b_lo")[i] - F.col("a_hi")[i], F.col("a_lo")[i] - F.col("b_hi")[i], F.lit(0.0)) for i in range(d)]
+    linked = F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: _square([p[i] for i in range(d)], [q[i] for i in range(d)]) <= eps * eps))
+    pairs = a.join(b, c).filter(reduce(Column.__add__, [g * g for g in apart]) <= eps * eps * (1 + 1e-9))
+    pairs = held(pairs.select("a", "b", "a_lo", "a_hi", "b_lo", "b_hi", linked.alias("linked")))
+    links = pairs.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = connected(links.unionByName(nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))))
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    left = held(pairs.filter(~F.col("linked")).join(of("a"), "a").join(of("b"), "b").filter("a_root <> b_root"))
+    if not left.isEmpty():
+        more = _touching(left.drop("linked", "a_root", "b_root"), own.filter("core"), d, eps, tile).join(left.select("a", "b", "a_root", "b_root"), ["a", "b"])
+        merged = connected(more.select(F.col("a_root").alias("u"), F.col("b_root").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        roots = held(roots.join(merged, "root", "left").select("node", F.coalesce("least", "root").alias("root")))
+    borders = _met(known.filter("not core"), own.filter("core"), c, width, eps, few, tile).select("u", F.col("node").alias("v"))
+    return own.select("v", "id", F.coalesce("node", "id").alias("node")), roots, borders
+
+
+def _tile_clusters(rows: DataFrame, d: int, eps: float, min_points: int, tile: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As _cell_clusters, of vectors of any length d: points meet in cells of the grid and near its borders only; counts, then links between core points, come from two passes over the same groups."""
     points = held(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
-    first = points.select(F.size("v")).first()
-    if first is None:
-        return df.select(F.col(key), F.lit(-1).cast("long").alias("cluster")).limit(0)
-    _, _, cov = mean_and_covariance(points, "v", first[0])
+    _, _, cov = mean_and_covariance(points, "v", d)
     axes = np.argsort(-np.diag(cov), kind="stable")[:GRID_AXES].tolist()
 
     def counted(table: pa.Table) -> pa.Table:
@@ -183,11 +303,30 @@ def density_clusters(df: DataFrame, key: str, vector: str, eps: float, min_point
 
     links = held(_groups(known, eps, axes, tile).groupBy("group").applyInArrow(linked, "u long, v long, core boolean").distinct())
     roots = connected(links.filter("core").select("u", "v").unionByName(known.filter("core").select(F.col("id").alias("u"), F.col("id").alias("v"))))
+    return points.select("v", "id", F.col("id").alias("node")), roots, links.filter(~F.col("core")).select("u", "v")
+
+
+def density_clusters(df: DataFrame, key: str, vector: str, eps: float, min_points: int = 5, tile: int = TILE) -> DataFrame:
+    """(key, cluster): DBSCAN over rows with whole vectors; noise is -1.
+
+    A row with at least min_points rows within eps, itself included, is a core row; core rows within eps of each other share a cluster; another row joins the first cluster of a core row within eps. Clusters count from 0 in order of
+    their least core key. Equal vectors are one weighted point. Vectors of at most GRID_AXES components go through _cell_clusters, whose work doesn't grow with the pairs of a dense place; longer ones, and values beyond
+    FAR cells, through _tile_clusters. Components come from contraction. keys are whole numbers, each of one row. A row with a missing or infinite component is noise."""
+    whole = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and id is not null")
+    rows = held(whole)  # a sum formed twice may round apart, and rows meet their points by value
+    finite = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    d, far = finite.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    if d is None:
+        return rows.select(F.col("id").alias(key), F.lit(-1).cast("long").alias("cluster"))
+    if 0 < d <= GRID_AXES and eps > 0 and far / eps < FAR:
+        points, roots, borders = _cell_clusters(finite, d, eps, min_points, tile)
+    else:
+        points, roots, borders = _tile_clusters(finite, d, eps, min_points, tile)
     names = running_totals(roots.groupBy("root").agg(F.lit(1).cast("long").alias("one")), "root", ["one"]).select("root", F.col("below_one").alias("cluster"))
-    core = held(roots.join(names, "root").select(F.col("node").alias("id"), "cluster"))
-    border = links.filter(~F.col("core")).join(core.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("cluster").alias("cluster"))
-    found = points.join(core.unionByName(border), "id", "left").select("v", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    return rows.join(found, "v").select(F.col("id").alias(key), "cluster")
+    core = held(roots.join(names, "root").select("node", "cluster"))
+    border = borders.join(core.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("cluster").alias("cluster"))
+    found = points.join(core.unionByName(border), "node").select("v", "cluster")
+    return rows.join(found, "v", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def neighbour_radius(df: DataFrame, key: str, vector: str, neighbours: int = 5, share: float = 0.9, most_queries: int = 2000) -> float:

@@ -2,6 +2,7 @@
 
 Each round points every node to the least of its neighbours and itself, follows these pointers to their ends by doubling, and maps the edges to edges between the ends. Every node that has an edge meets another
 node in a round, so nodes at least halve; the least node of a component is always an end, so the last one left is the least. Each step is an aggregation or a join by node, kept in the checkpoint folder.
+Once few edges are left, the driver ends it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tarnlake.functions.held import held
 
+#: Edges that the driver contracts by itself.
+FEW = 1 << 16
+
 
 def _ends(pointers: DataFrame) -> DataFrame:
     """(u, r) with every r followed to the node that points to itself."""
@@ -22,12 +26,31 @@ def _ends(pointers: DataFrame) -> DataFrame:
             return pointers
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of (u, v): root is the least node of its component. Loops make a node its own root."""
+def _ends_of_few(edges: DataFrame) -> DataFrame:
+    """(u, r) of a bounded number of edges, r the least node of u's component."""
+    parent: dict = {}
+
+    def top(i):
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for u, v in edges.select("u", "v").collect():
+        u, v = sorted((top(u), top(v)))
+        parent[v] = u
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(i, top(i)) for i in list(parent)], f"u {kind}, r {kind}")
+
+
+def connected(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """(node, root) of every node of (u, v): root is the least node of its component. Loops make a node its own root. few: edges that may go to the driver."""
     left = held(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     roots = left.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node"))
     left = left.filter("u <> v")
-    while not left.isEmpty():
+    while n := left.limit(few + 1).count():
+        if n <= few:
+            return held(roots.join(_ends_of_few(left).withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("r", "root").alias("root")))
         both = left.select("u", "v").unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         ends = _ends(held(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("r"))))
         roots = held(roots.join(ends.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("r", "root").alias("root")))

@@ -145,3 +145,66 @@ def test_projection(spark):
     axes = vt[:2].T * np.where(vt[:2].T[np.abs(vt[:2].T).argmax(axis=0), [0, 1]] < 0, -1, 1)
     assert np.abs(np.array([got[i] for i in range(80)]) - z @ axes).max() < 1e-6
     assert clustering.selected_features(df.withColumn("v", F.col("v")), list("abcd"), "all") == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize(("d", "least", "few", "tile", "shift"), [(1, 6, 64, 30, 0), (2, 40, 64, 60, 1e6), (2, 40, 0, 60, 0), (3, 5, 64, 20, 0), (3, 5, 0, 4096, 1e12)])
+def test_density_by_cells_against_all_pairs(spark, monkeypatch, d, least, few, tile, shift):
+    """Joins of cells and arrays, few rows and many in a core row's surroundings, values too large for cells."""
+    monkeypatch.setattr(clustering, "FEW_POINTS", few)
+    rng = np.random.default_rng(10 * d + few)
+    middle = rng.uniform(-3, 3, (5, d)) * (8 if d == 1 else 1)
+    x = shift + np.round(np.concatenate([middle[rng.integers(0, 5, 420)] + 0.3 * rng.normal(size=(420, d)), rng.uniform(-4, 4, (100, d)), np.tile(middle[:1], (30, 1))]), 3)
+    eps = {1: 0.03, 2: 0.4, 3: 0.5}[d]
+    got = {r["id"]: r["cluster"] for r in clustering.density_clusters(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", eps, least, tile).collect()}
+    want = plain_density(x, eps, least)
+    assert want.max() >= 1 and (want == -1).any()
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_dense_place_without_all_pairs(spark, monkeypatch):
+    """Two squares of 20,000 points: no point of a cell of many rows is compared with the points around, and the squares touch by a chain."""
+    monkeypatch.setattr(clustering, "_groups", lambda *a: pytest.fail("all pairs of a place"))
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.uniform(0, 1, (20_000, 2)), rng.uniform(0, 1, (20_000, 2)) + [3, 0], [[9, 9]] * 3, rng.uniform(0, 1, (20_000, 2)) + [3, 3]])
+    got = {r["id"]: r["cluster"] for r in clustering.density_clusters(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 0.2, 6).collect()}
+    assert [got[i] for i in range(len(x))] == [0] * 20_000 + [1] * 20_000 + [-1] * 3 + [2] * 20_000
+
+
+def test_cells_linked_by_inner_points_only(spark):
+    """The outermost points of two cells are over eps apart, points between them aren't."""
+    for inner, other, want in ((0.69, 1.5, {0}), (0.4, 1.8, {0, 1})):
+        x = [(0.7, 0.0), (0.0, 0.7), (inner, 0.35), (1.42, 0.7), (2.1, 0.01), (other, 0.35)]
+        df = spark.createDataFrame([(i, list(v)) for i, v in enumerate(x)], "id long, v array<double>")
+        assert {r["cluster"] for r in clustering.density_clusters(df, "id", "v", 1.0, 3, 2).collect()} == want
+
+
+def test_touch():
+    rng = np.random.default_rng(8)
+    for gap, want in ((0.1, True), (0.3, False)):
+        x, y = rng.uniform(0, 1, (3000, 2)), rng.uniform(0, 1, (3000, 2))
+        x[:, 0] *= x[:, 1]  # only near one corner do they come close
+        y[:, 0] = 1 + gap + y[:, 0] * y[:, 1]
+        near = (((x[:, None] - y[None]) ** 2).sum(axis=2) <= 0.2**2).any()
+        assert clustering._touch(x, y, 0.2) == near == want
+    assert not clustering._touch(np.zeros((0, 2)), np.zeros((5, 2)), 1.0)
+
+
+def test_no_row_is_lost_when_vectors_are_formed_again(spark):
+    """Vectors that come out otherwise each time, as sums of doubles in another order may, and missing components."""
+    import random
+
+    any_v = F.udf(lambda i: [random.random(), None if i == 7 else float("nan") if i == 8 else float("inf") if i == 9 else 0.5], "array<double>").asNondeterministic()
+    got = clustering.density_clusters(spark.range(50).withColumn("v", any_v("id")), "id", "v", 2.0, 6).collect()
+    assert {r["id"]: r["cluster"] for r in got} == {i: -1 if i in (7, 8, 9) else 0 for i in range(50)}
+
+
+def test_density_of_values_beyond_whole_numbers(spark):
+    df = spark.createDataFrame([(i, [1e30, 0.0]) for i in range(6)] + [(i, [-1e30 * i, 0.1]) for i in range(6, 12)], "id long, v array<double>")
+    assert {r["id"]: r["cluster"] for r in clustering.density_clusters(df, "id", "v", 1.0, 6).collect()} == {i: 0 if i < 6 else -1 for i in range(12)}
+
+
+def test_components_without_the_driver(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (80, 90), (70, 70)]
+    want = {i: 0 for i in range(41)} | {80: 80, 90: 80, 100: 80, 70: 70}
+    for few in (0, 2, 100):
+        assert {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "u long, v long"), few).collect()} == want
