@@ -766,7 +766,7 @@ def exact_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def _spenders(spark: SparkSession, d: str) -> DataFrame:
     spent = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.sum("o_totalprice") / 1_000_000).alias("spent"))
     rows = table(spark, d, "customer").join(spent, "c_custkey")
-    return rows.select("c_custkey", F.array(F.round(F.col("c_acctbal") / 1000, 3), F.round("spent", 3)).alias("v"))
+    return rows.select("c_custkey", F.array(F.round(F.col("c_acctbal") / 1000 * 1000) / 1000, F.round(F.col("spent") * 1000) / 1000).alias("v"))  # values at a tie are rounded as SQL's round does
 
 
 @query("""

@@ -203,6 +203,18 @@ def test_density_of_values_beyond_whole_numbers(spark):
     assert {r["id"]: r["cluster"] for r in clustering.density_clusters(df, "id", "v", 1.0, 6).collect()} == {i: 0 if i < 6 else -1 for i in range(12)}
 
 
+def test_points_at_a_tie_are_rounded_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from tarnlake.plans import queries
+
+    duckdb.sql(f"COPY (SELECT i AS c_custkey, CAST(i % 11000 - 1000 + 0.5 AS DOUBLE) AS c_acctbal FROM range(11000) t(i)) TO '{tmp_path}/customer.parquet'")
+    duckdb.sql(f"COPY (SELECT i AS o_custkey, i * 1000 + 500.0::DOUBLE AS o_totalprice FROM range(11000) t(i)) TO '{tmp_path}/orders.parquet'")
+    want = duckdb.sql(f"SELECT c_custkey, round(c_acctbal / 1000, 3), round(o_totalprice / 1000000, 3) FROM '{tmp_path}/customer.parquet' JOIN '{tmp_path}/orders.parquet' ON o_custkey = c_custkey").fetchall()
+    got = {r["c_custkey"]: tuple(r["v"]) for r in queries._spenders(spark, str(tmp_path)).collect()}
+    assert got == {i: (x, y) for i, x, y in want}
+
+
 def test_components_without_the_driver(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (80, 90), (70, 70)]
     want = {i: 0 for i in range(41)} | {80: 80, 90: 80, 100: 80, 70: 70}
